@@ -1,0 +1,89 @@
+"""Groups of any size as lists of bounded size.
+
+A list built per key is one row of one task. Where a key may hold far more rows than a task can, its list is cut
+into numbered parts: concatenating the parts in order gives the whole list.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+
+def bounded_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    max_rows: int,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Add ``part`` so that no (keys, part) has more than ``max_rows`` rows.
+
+    One aggregated pass counts rows per key. Where every key fits, ``part`` is 0 and nothing else happens. Otherwise
+    equal rows of the large keys are counted instead of kept, positions are running sums over ``bucket`` and then
+    inside each bucket, and rows are restored part by part.
+
+    ``bucket`` coarsens ``order`` without changing it (for example the minute of a time); parts then follow
+    ``order``. Without it a hash spreads the rows and only the rows inside a part can be sorted.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    if counts.isEmpty():
+        return df.withColumn("part", F.lit(0).cast("long"))
+    return _split_large(df, keys, list(order), max_rows, bucket, counts)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(right[k])
+    return condition
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys match each other; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
+
+
+def _split_large(
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int, bucket: Column | None, counts: DataFrame
+) -> DataFrame:
+    columns = df.columns
+    if not keys:
+        large = df
+        small = None
+    else:
+        large = join_null_safe(df, counts.drop("_n"), keys, "left_semi")
+        small = join_null_safe(df, counts.drop("_n"), keys, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    coarse = bucket if bucket is not None else F.pmod(F.xxhash64(*order), F.lit(4096))
+    distinct = (
+        large.withColumn("_bucket", coarse)
+        .groupBy("_bucket", *columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    )
+    per_bucket = distinct.groupBy(*keys, "_bucket").agg(F.sum("_copies").alias("_size"))
+    over_buckets = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys, "_bucket", F.coalesce(F.sum("_size").over(over_buckets), F.lit(0)).alias("_offset")
+    )
+    rest = [c for c in columns if c not in keys and c not in order]
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order, *rest).rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_null_safe(distinct, offsets, [*keys, "_bucket"]).withColumn(
+        "_end", F.col("_offset") + F.sum("_copies").over(inside)
+    )
+    first = F.floor((F.col("_end") - F.col("_copies")) / max_rows)
+    last = F.floor((F.col("_end") - 1) / max_rows)
+    pieces = placed.withColumn("part", F.explode(F.sequence(first, last)))
+    in_part = F.least(F.col("_end"), (F.col("part") + 1) * max_rows) - F.greatest(
+        F.col("_end") - F.col("_copies"), F.col("part") * max_rows
+    )
+    restored = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), in_part))).select(*columns, "part")
+    return restored if small is None else restored.unionByName(small)
