@@ -6,6 +6,8 @@ A polygon value is ``array<polygon>``, each polygon an array of rings (shell fir
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,53 +24,63 @@ def geometry_type(wkt: Column | str) -> Column:
     return F.when(name != "", name)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def wkt_polygons(wkt: Column | str) -> Column:
     """Rings of POLYGON and MULTIPOLYGON text; null for other types and malformed coordinates."""
     text = _col(wkt)
-    kind = geometry_type(text)
-    body = F.regexp_extract(text, r"(?s)^[^(]*\((.*)\)\s*$", 1)
-    body = F.when(kind == "POLYGON", F.concat(F.lit("("), body, F.lit(")"))).otherwise(body)
-    shapes = F.split(body, r"\)\s*\)\s*,\s*\(\s*\(")
+    body = F.regexp_extract(text, r"(?is)^\s*(?:MULTI)?POLYGON\s*\(\s*\((.*)\)\s*\)\s*$", 1)
+    # One separator per level of nesting, so that every split is by a single character.
+    tidy = F.regexp_replace(F.regexp_replace(body, r"\s*([(),])\s*", "$1"), r"\s+", " ")
+    marked = F.translate(F.replace(F.replace(tidy, F.lit(")),(("), F.lit(";")), F.lit("),("), F.lit("/")), "()", "")
 
     def point(p: Column) -> Column:
-        xy = F.split(F.trim(p), r"\s+")
         return F.struct(
-            F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y")
+            F.substring_index(p, " ", 1).try_cast("double").alias("x"),
+            F.get(F.split(p, " "), F.lit(1)).try_cast("double").alias("y"),
         )
 
-    def ring(r: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(r, r"[()]", ""), ","), point)
+    def checked(shapes: Column) -> Column:
+        broken = F.exists(
+            shapes, lambda s: F.exists(s, lambda r: F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull()))
+        )
+        return F.when(~broken, shapes)
 
-    rings = F.transform(shapes, lambda s: F.transform(F.split(s, r"\)\s*,\s*\("), ring))
-    empty = text.rlike(r"(?i)^\s*(MULTI)?POLYGON\s+EMPTY\s*$")
-    whole = ~F.exists(F.flatten(F.flatten(rings)), lambda p: p["x"].isNull() | p["y"].isNull())
-    return F.when(empty, F.array().cast(POLYGONS)).when(
-        kind.isin("POLYGON", "MULTIPOLYGON") & (body != "()") & (body != "") & whole, rings
+    shapes = F.transform(
+        F.split(marked, ";"), lambda s: F.transform(F.split(s, "/"), lambda r: F.transform(F.split(r, ","), point))
     )
+    empty = text.rlike(r"(?i)^\s*(?:MULTI)?POLYGON\s+EMPTY\s*$")
+    return F.when(empty, F.array().cast(POLYGONS)).otherwise(let(shapes, checked))
+
+
+def _positions(ring: Column) -> Column:
+    """Index of the first point of each edge."""
+    last = F.size(ring) - 2
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def ring_area(ring: Column) -> Column:
     """Signed area, positive when the ring runs counter-clockwise."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
 
-    def cross(acc: Column, i: Column) -> Column:
-        p, q = F.get(ring, i), F.get(ring, i + 1)
-        return acc + (p["x"] - x0) * (q["y"] - y0) - (q["x"] - x0) * (p["y"] - y0)
+    def twice(points: Column) -> Column:
+        x0, y0 = F.get(points, F.lit(0))["x"], F.get(points, F.lit(0))["y"]
+
+        def cross(acc: Column, i: Column) -> Column:
+            p, q = F.get(points, i), F.get(points, i + 1)
+            return acc + (p["x"] - x0) * (q["y"] - y0) - (q["x"] - x0) * (p["y"] - y0)
 
-    steps = F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0)))
-    steps = F.when(F.size(ring) >= 3, steps).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0.0), cross) / 2
+        return F.aggregate(_positions(points), F.lit(0.0), cross)
+
+    return let(ring, twice) / 2
 
 
 def area(polygons: Column | str) -> Column:
     """Planar area, holes subtracted whatever their direction."""
-    return F.aggregate(
-        _col(polygons),
-        F.lit(0.0),
-        lambda total, p: total
-        + F.abs(ring_area(F.get(p, F.lit(0))))
-        - F.aggregate(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), F.lit(0.0), lambda t, r: t + F.abs(ring_area(r))),
-    )
+    ring_areas = F.transform(_col(polygons), lambda p: F.transform(p, lambda r, i: F.abs(ring_area(r)) * F.when(i == 0, 1).otherwise(-1)))
+    return F.aggregate(F.flatten(ring_areas), F.lit(0.0), lambda total, a: total + a)
 
 
 def wkt_area(wkt: Column | str) -> Column:
@@ -77,11 +89,17 @@ def wkt_area(wkt: Column | str) -> Column:
 
 def bbox(polygons: Column | str) -> Column:
     """``struct<x0, y0, x1, y1>`` over the shells."""
-    points = F.flatten(F.transform(_col(polygons), lambda p: F.get(p, F.lit(0))))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")
-    )
+
+    def extremes(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return F.struct(
+            F.array_min(xs).alias("x0"),
+            F.array_min(ys).alias("y0"),
+            F.array_max(xs).alias("x1"),
+            F.array_max(ys).alias("y1"),
+        )
+
+    return let(F.flatten(F.transform(_col(polygons), lambda p: F.get(p, F.lit(0)))), extremes)
 
 
 def oriented_edges(polygons: Column | str) -> Column:
@@ -90,25 +108,27 @@ def oriented_edges(polygons: Column | str) -> Column:
     Edges that run straight up or down are left out: the area integral over x has no use for them.
     """
 
+    def edges(way: Column) -> Column:
+        def edge(i: Column) -> Column:
+            p, q = F.get(way, i), F.get(way, i + 1)
+            return F.when(p["x"] != q["x"], F.array(p["x"], p["y"], q["x"], q["y"])).otherwise(
+                F.array().cast("array<double>")
+            )
+
+        return F.flatten(F.transform(_positions(way), edge))
+
     def ring_edges(ring: Column, is_shell: Column) -> Column:
         flip = (ring_area(ring) < 0) == is_shell
-        way = F.when(flip, F.reverse(ring)).otherwise(ring)
-        steps = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0)))).otherwise(
-            F.array().cast("array<int>")
-        )
-        pairs = F.transform(steps, lambda i: F.struct(F.get(way, i).alias("p"), F.get(way, i + 1).alias("q")))
-        slanted = F.filter(pairs, lambda e: e["p"]["x"] != e["q"]["x"])
-        return F.flatten(F.transform(slanted, lambda e: F.array(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))
+        return let(F.when(flip, F.reverse(ring)).otherwise(ring), edges)
 
-    return F.flatten(
-        F.flatten(F.transform(_col(polygons), lambda p: F.transform(p, lambda r, i: ring_edges(r, i == 0))))
-    )
+    rings = F.transform(_col(polygons), lambda p: F.flatten(F.transform(p, lambda r, i: ring_edges(r, i == 0))))
+    return F.flatten(rings)
 
 
 def size_diff(new_wkt: Column | str, old_wkt: Column | str) -> Column:
     """Relative change of area; null when the old area is zero."""
-    before = wkt_area(old_wkt)
-    return F.try_divide(F.abs(wkt_area(new_wkt) - before), before)
+    sizes = F.struct(wkt_area(new_wkt).alias("new"), wkt_area(old_wkt).alias("old"))
+    return let(sizes, lambda v: F.try_divide(F.abs(v["new"] - v["old"]), v["old"]))
 
 
 def number_text(x: Column) -> Column:

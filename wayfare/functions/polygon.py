@@ -7,10 +7,12 @@ work on one pair at a time, after bounding boxes have thinned the pairs out on t
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +24,14 @@ _CHUNK = 2_000_000
 # ---------------------------------------------------------------- overlay area
 
 
-def _edge_rows(edges: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+_NO_EDGES = np.zeros(0)
+
+
+def _edge_rows(edges: Sequence[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
     """Flat edge rows (n, 4) and the number of edges per input row."""
-    counts = np.nan_to_num(edges.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) // 4
-    values = edges.flatten().to_numpy(zero_copy_only=False)
+    arrays = [_NO_EDGES if e is None else e for e in edges]
+    counts = np.fromiter((len(e) for e in arrays), np.int64, len(arrays)) // 4
+    values = np.concatenate(arrays) if arrays else _NO_EDGES
     return values.reshape(-1, 4), counts
 
 
@@ -63,7 +69,7 @@ def _rows_of_pairs(na: np.ndarray, nb: np.ndarray, start_a: np.ndarray, start_b:
     return start_a[owner] + within // nb[owner], start_b[owner] + within % nb[owner], owner
 
 
-def overlay_areas(edges_a: pa.Array, edges_b: pa.Array) -> np.ndarray:
+def overlay_areas(edges_a: Sequence[np.ndarray | None], edges_b: Sequence[np.ndarray | None]) -> np.ndarray:
     """Common area of each row's two polygons, given as flat oriented edges."""
     a, na = _edge_rows(edges_a)
     b, nb = _edge_rows(edges_b)
@@ -112,10 +118,10 @@ def _large_overlay(a: np.ndarray, b: np.ndarray) -> float:
     return total
 
 
-@F.arrow_udf(T.DoubleType())
-def common_area(edges_a: pa.Array, edges_b: pa.Array) -> pa.Array:
+@F.pandas_udf(T.DoubleType())
+def common_area(edges_a: pd.Series, edges_b: pd.Series) -> pd.Series:
     """Common area of two polygons, from ``geometry.oriented_edges`` of each."""
-    return pa.array(overlay_areas(edges_a, edges_b), pa.float64())
+    return pd.Series(overlay_areas(edges_a.tolist(), edges_b.tolist()))
 
 
 # ---------------------------------------------------------------- single geometries
@@ -262,7 +268,7 @@ def relation_matrix(a: Shape, b: Shape) -> dict[str, bool | int]:
     _half_matrix(b, a, tol, m, "{1}{0}")
     if a.dim == 2 and b.dim == 2:
         area_a, area_b = _net_area(a), _net_area(b)
-        both = float(overlay_areas(_edges_array(a), _edges_array(b))[0])
+        both = float(overlay_areas(_shape_edges(a), _shape_edges(b))[0])
         eps = 1e-9 * min(area_a, area_b)
         m["II"] = 2 if both > eps else m["II"]
         m["IE"] = area_a - both > eps
@@ -317,10 +323,10 @@ def _half_matrix(a: Shape, b: Shape, tol: float, m: dict, key: str) -> None:
 
 
 def _net_area(shape: Shape) -> float:
-    return float(overlay_areas(_edges_array(shape), _edges_array(shape))[0])
+    return float(overlay_areas(_shape_edges(shape), _shape_edges(shape))[0])
 
 
-def _edges_array(shape: Shape) -> pa.Array:
+def _shape_edges(shape: Shape) -> list[np.ndarray]:
     """Edges oriented by nesting depth: rings inside an odd number of other rings are holes."""
     rows = []
     for k, ring in enumerate(shape.paths):
@@ -332,8 +338,7 @@ def _edges_array(shape: Shape) -> pa.Array:
         way = ring[::-1] if (signed < 0) == (depth % 2 == 0) else ring
         edges = np.concatenate([way[:-1], way[1:]], axis=1)
         rows.append(edges[edges[:, 0] != edges[:, 2]])
-    flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
-    return pa.array([flat.tolist()], pa.list_(pa.float64()))
+    return [np.concatenate(rows).ravel() if rows else _NO_EDGES]
 
 
 def relate(a: Shape, b: Shape, relation: str) -> bool:
@@ -509,3 +514,7 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(f"geo_{relation}", relation_udf(relation))
     spark.udf.register("geo_distance", planar_distance)
     spark.udf.register("geo_geodesic", geodesic_distance)
+
+
+# The functions above travel with the plan: executors need numpy and pandas, but no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

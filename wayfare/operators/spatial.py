@@ -97,8 +97,15 @@ def coverage_ratio(common_area: Column | str = "common_area", cell_area: Column
 
 def with_common_area(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "common_area") -> DataFrame:
     """Common area of two WKT columns of the same row."""
-    edges = [G.oriented_edges(G.wkt_polygons(c)) for c in (a_wkt, b_wkt)]
-    return df.withColumn(out, P.common_area(*edges))
+    edges = {f"_{i}_edges": G.oriented_edges(G.wkt_polygons(c)) for i, c in enumerate((a_wkt, b_wkt))}
+    return df.withColumns(edges).withColumn(out, _common_area("_0_edges", "_1_edges")).drop(*edges)
+
+
+def _common_area(a: str, b: str) -> Column:
+    """Zero without edges. Using the edges twice also keeps them a column of their own below the Python step."""
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return F.when(both, P.common_area(a, b)).when(known, F.lit(0.0))
 
 
 def with_coverage(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "coverage") -> DataFrame:
@@ -110,26 +117,54 @@ def with_coverage(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "coverage")
 def with_relation(df: DataFrame, a_wkt: str, b_wkt: str, relation: str, out: str | None = None) -> DataFrame:
     """True or false for one relation (contains, within, overlaps, touches, crosses, disjoint, ...) per row.
 
-    Pairs of polygons whose boxes are apart are settled without leaving the JVM.
+    Polygons whose boxes are apart are settled on the JVM side; areas, taken for whole batches at once, settle
+    most other pairs of polygons. What is left is tested pair by pair.
     """
-    test = P.relation_udf(relation)
-    boxes = df.withColumns(
-        {"_ab": G.bbox(G.wkt_polygons(a_wkt)), "_bb": G.bbox(G.wkt_polygons(b_wkt))}
-    )
-    a, b = F.col("_ab"), F.col("_bb")
+    polygons = df.withColumns({"_pa": G.wkt_polygons(a_wkt), "_pb": G.wkt_polygons(b_wkt)})
+    shaped = polygons.withColumns(
+        {
+            "_ba": G.bbox("_pa"),
+            "_bb": G.bbox("_pb"),
+            "_ea": G.oriented_edges("_pa"),
+            "_eb": G.oriented_edges("_pb"),
+            "_sa": G.area("_pa"),
+            "_sb": G.area("_pb"),
+        }
+    ).drop("_pa", "_pb")
+    a, b = F.col("_ba"), F.col("_bb")
     apart = F.coalesce(
         (a["x0"] > b["x1"]) | (b["x0"] > a["x1"]) | (a["y0"] > b["y1"]) | (b["y0"] > a["y1"]), F.lit(False)
     )
-    flagged = boxes.withColumn("_apart", apart)
-    tested = test(F.when(~F.col("_apart"), F.col(a_wkt)), F.when(~F.col("_apart"), F.col(b_wkt)))
-    far = F.lit(relation == "disjoint")
+    measured = shaped.withColumns({"_apart": apart, "_common": _common_area("_ea", "_eb")}).drop("_ba", "_bb", "_ea", "_eb")
+    settled = F.when(F.col("_apart"), F.lit(relation == "disjoint")).when(
+        (F.col("_sa") > 0) & (F.col("_sb") > 0), _by_areas(relation, F.col("_sa"), F.col("_sb"), F.col("_common"))
+    )
+    known = measured.withColumn("_settled", settled)
+    open_ = F.col("_settled").isNull()
+    tested = P.relation_udf(relation)(F.when(open_, F.col(a_wkt)), F.when(open_, F.col(b_wkt)))
     return (
-        flagged.withColumn("_test", tested)
-        .withColumn(out or relation, F.when(F.col("_apart"), far).otherwise(F.col("_test")))
-        .drop("_ab", "_bb", "_apart", "_test")
+        known.withColumn("_test", tested)
+        .withColumn(out or relation, F.coalesce("_settled", "_test"))
+        .drop("_sa", "_sb", "_apart", "_common", "_settled", "_test")
     )
 
 
+def _by_areas(relation: str, a: Column, b: Column, common: Column) -> Column:
+    """The answer for two polygons as far as areas give it, null where boundaries decide."""
+    least = F.least(a, b) * _REL_TOLERANCE
+    share = common > least
+    a_has_b, b_has_a = b - common <= b * _REL_TOLERANCE, a - common <= a * _REL_TOLERANCE
+    if relation in ("contains", "covers"):
+        return a_has_b
+    if relation == "within":
+        return b_has_a
+    if relation == "overlaps":
+        return share & (a - common > least) & (b - common > least)
+    if relation == "crosses":
+        return F.lit(False)
+    return F.when(share, F.lit(relation == "intersects"))
+
+
 def with_distance(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "distance") -> DataFrame:
     return df.withColumn(out, P.planar_distance(a_wkt, b_wkt))
 
