@@ -124,6 +124,69 @@ def common_area(edges_a: pd.Series, edges_b: pd.Series) -> pd.Series:
     return pd.Series(overlay_areas(edges_a.tolist(), edges_b.tolist()))
 
 
+# ---------------------------------------------------------------- boundary contact
+
+
+def _row_extremes(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest coordinate of each row's edges; infinite where there are none."""
+    low, high = np.full(len(counts), np.inf), np.full(len(counts), -np.inf)
+    some = counts > 0
+    if some.any():
+        starts = (np.cumsum(counts) - counts)[some]
+        low[some] = np.minimum.reduceat(values.min(axis=1), starts)
+        high[some] = np.maximum.reduceat(values.max(axis=1), starts)
+    return low, high
+
+
+def _near(points: np.ndarray, segments: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Which points lie on their segment, for aligned rows."""
+    d = segments[:, 2:] - segments[:, :2]
+    rel = points - segments[:, :2]
+    length = (d**2).sum(axis=1)
+    t = np.clip((rel * d).sum(axis=1) / np.where(length == 0, 1.0, length), 0.0, 1.0)
+    return np.hypot(*(rel - t[:, None] * d).T) <= tolerance
+
+
+def boundary_contacts(edges_a: Sequence[np.ndarray | None], edges_b: Sequence[np.ndarray | None]) -> np.ndarray:
+    """Whether a corner of one boundary lies on the other, per row.
+
+    For polygons without common area that is the same as touching.
+    """
+    a, na = _edge_rows(edges_a)
+    b, nb = _edge_rows(edges_b)
+    low_a, high_a = _row_extremes(a, na)
+    low_b, high_b = _row_extremes(b, nb)
+    low, high = np.minimum(low_a, low_b), np.maximum(high_a, high_b)
+    with np.errstate(invalid="ignore"):
+        tolerance = 1e-10 * (high - low) + 4e-16 * np.maximum(np.abs(low), np.abs(high))
+    start_a, start_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    out = np.zeros(len(na), bool)
+    sizes = na * nb
+    lo = 0
+    while lo < len(na):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), _CHUNK, side="right")))
+        # A row of many edges is taken in blocks of its first boundary.
+        step = max(1, _CHUNK // max(1, int(nb[lo]))) if hi == lo + 1 else int(na[lo:hi].max(initial=1))
+        for block in range(0, max(1, int(na[lo:hi].max(initial=0))), max(1, step)):
+            part = np.clip(na - block, 0, step)
+            ia, ib, owner = _rows_of_pairs(part, nb, start_a + block, start_b, lo, hi)
+            if not len(owner):
+                continue
+            tol = tolerance[owner]
+            hit = _near(a[ia, :2], b[ib], tol) | _near(b[ib, :2], a[ia], tol)
+            out[owner[hit]] = True
+        lo = hi
+    return out
+
+
+@F.pandas_udf(T.BooleanType())
+def boundaries_touch(edges_a: pd.Series, edges_b: pd.Series) -> pd.Series:
+    """Contact of two boundaries given as flat edges; null where either is missing."""
+    known = edges_a.notna() & edges_b.notna()
+    touch = boundary_contacts(edges_a.tolist(), edges_b.tolist())
+    return pd.Series(touch, index=edges_a.index, dtype=object).where(known, None)
+
+
 # ---------------------------------------------------------------- single geometries
 
 _NUMBERS = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")

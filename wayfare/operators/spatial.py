@@ -9,18 +9,25 @@ from wayfare.functions import geometry as G
 from wayfare.functions import polygon as P
 from wayfare.operators.parts import bounded_groups
 from wayfare.operators.tiles import cover_level, levels_in, tile_of, tiles_at
+from wayfare.session import materialize
 
 _REL_TOLERANCE = 1e-9
 
 
-def _prepared(df: DataFrame, wkt: str, prefix: str, overlay: bool) -> DataFrame:
-    """Bounding box, level and, for overlays, edges and area; once per geometry, before any pairing."""
-    polygons = df.withColumn(f"{prefix}_polygons", G.wkt_polygons(wkt)).where(F.size(f"{prefix}_polygons") > 0)
+def _prepared(df: DataFrame, wkt: str, prefix: str, boundary: bool) -> DataFrame:
+    """Bounding box, level, edges, area and, if asked, the whole boundary; once per geometry, before any pairing.
+
+    Empty polygons go, since nothing matches them; a text that is no polygon fails the query.
+    """
+    refuse = F.raise_error(F.concat(F.lit("not a polygon: "), F.substring(wkt, 1, 60))).cast(G.POLYGONS)
+    parsed = F.coalesce(G.wkt_polygons(wkt), F.when(F.col(wkt).isNotNull(), refuse))
+    polygons = df.withColumn(f"{prefix}_polygons", parsed).where(F.size(f"{prefix}_polygons") > 0)
     box = polygons.withColumn(f"{prefix}_box", G.bbox(f"{prefix}_polygons"))
     columns = {f"{prefix}_{k}": F.col(f"{prefix}_box")[k] for k in ("x0", "y0", "x1", "y1")}
-    if overlay:
-        columns[f"{prefix}_edges"] = G.oriented_edges(f"{prefix}_polygons")
-        columns[f"{prefix}_area"] = G.area(f"{prefix}_polygons")
+    columns[f"{prefix}_edges"] = G.oriented_edges(f"{prefix}_polygons")
+    columns[f"{prefix}_area"] = G.area(f"{prefix}_polygons")
+    if boundary:
+        columns[f"{prefix}_boundary"] = G.all_edges(f"{prefix}_polygons")
     extent = F.greatest(
         F.col(f"{prefix}_x1") - F.col(f"{prefix}_x0"), F.col(f"{prefix}_y1") - F.col(f"{prefix}_y0")
     )
@@ -43,8 +50,8 @@ def spatial_join(
     """
     if predicate not in ("covers", "intersects"):
         raise ValueError("predicate must be covers or intersects")
-    a = _prepared(cells, cell_wkt, "_a", True)
-    b = _prepared(areas, area_wkt, "_b", True)
+    a = _prepared(cells, cell_wkt, "_a", predicate == "intersects")
+    b = _prepared(areas, area_wkt, "_b", predicate == "intersects")
     kept = [*cells.columns, *areas.columns]
     ax0, ay0, ax1, ay1 = (F.col(f"_a_{k}") for k in ("x0", "y0", "x1", "y1"))
     bx0, by0, bx1, by1 = (F.col(f"_b_{k}") for k in ("x0", "y0", "x1", "y1"))
@@ -72,21 +79,21 @@ def spatial_join(
             & (F.col("_a_t1") == tile_of(F.greatest(ay0, by0), grid))
         )
     pairs = a_tiles.join(b_tiles, same_tile & boxes, "inner")
-    measured = pairs.select(
-        *kept,
-        F.col("_a_area").alias("cell_area"),
-        F.col("_b_area").alias("area_area"),
-        P.common_area("_a_edges", "_b_edges").alias("common_area"),
+    result = [*kept, "cell_area", "area_area", "common_area"]
+    measured = pairs.withColumns(
+        {
+            "cell_area": F.col("_a_area"),
+            "area_area": F.col("_b_area"),
+            "common_area": P.common_area("_a_edges", "_b_edges"),
+        }
     )
+    least = F.least("cell_area", "area_area") * _REL_TOLERANCE
     if predicate == "covers":
-        return measured.where(F.col("area_area") - F.col("common_area") <= F.col("area_area") * _REL_TOLERANCE)
-    overlapping = F.col("common_area") > F.least("cell_area", "area_area") * _REL_TOLERANCE
-    tested = measured.withColumn(
-        "_touch", F.when(overlapping, True).otherwise(P.relation_udf("intersects")(
-            F.when(~overlapping, F.col(cell_wkt)), F.when(~overlapping, F.col(area_wkt))
-        ))
-    )
-    return tested.where("_touch").drop("_touch")
+        found = measured.where(F.col("area_area") - F.col("common_area") <= F.col("area_area") * _REL_TOLERANCE)
+        return found.select(*result)
+    overlap = F.col("common_area") > least
+    touch = P.boundaries_touch(F.when(~overlap, F.col("_a_boundary")), F.when(~overlap, F.col("_b_boundary")))
+    return measured.withColumn("_touch", touch).where(overlap | F.col("_touch")).select(*result)
 
 
 def coverage_ratio(common_area: Column | str = "common_area", cell_area: Column | str = "cell_area") -> Column:
@@ -97,7 +104,7 @@ def coverage_ratio(common_area: Column | str = "common_area", cell_area: Column
 
 def with_common_area(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "common_area") -> DataFrame:
     """Common area of two WKT columns of the same row."""
-    edges = {f"_{i}_edges": G.oriented_edges(G.wkt_polygons(c)) for i, c in enumerate((a_wkt, b_wkt))}
+    edges = {f"_{i}_edges": G.oriented_edges(G.polygons_sql(c)) for i, c in enumerate((a_wkt, b_wkt))}
     return df.withColumns(edges).withColumn(out, _common_area("_0_edges", "_1_edges")).drop(*edges)
 
 
@@ -129,6 +136,8 @@ def with_relation(df: DataFrame, a_wkt: str, b_wkt: str, relation: str, out: str
             "_eb": G.oriented_edges("_pb"),
             "_sa": G.area("_pa"),
             "_sb": G.area("_pb"),
+            "_la": G.all_edges("_pa"),
+            "_lb": G.all_edges("_pb"),
         }
     ).drop("_pa", "_pb")
     a, b = F.col("_ba"), F.col("_bb")
@@ -141,11 +150,17 @@ def with_relation(df: DataFrame, a_wkt: str, b_wkt: str, relation: str, out: str
     )
     known = measured.withColumn("_settled", settled)
     open_ = F.col("_settled").isNull()
+    if relation in ("touches", "disjoint", "intersects"):
+        flat = open_ & (F.col("_sa") > 0) & (F.col("_sb") > 0)
+        meet = P.boundaries_touch(F.when(flat, F.col("_la")), F.when(flat, F.col("_lb")))
+        known = known.withColumn("_meet", meet).withColumn(
+            "_settled", F.coalesce("_settled", ~F.col("_meet") if relation == "disjoint" else F.col("_meet"))
+        )
     tested = P.relation_udf(relation)(F.when(open_, F.col(a_wkt)), F.when(open_, F.col(b_wkt)))
     return (
         known.withColumn("_test", tested)
         .withColumn(out or relation, F.coalesce("_settled", "_test"))
-        .drop("_sa", "_sb", "_apart", "_common", "_settled", "_test")
+        .select(*df.columns, out or relation)
     )
 
 
@@ -178,6 +193,7 @@ def coverage_lists(
 ) -> DataFrame:
     """Per cell a JSON array of its areas and their shares, sorted by area; above ``max_areas`` in parts."""
     item = pairs.select(cell, F.col(area).alias("geoUnit"), F.col(percentage).alias("percentage"))
-    grouped = bounded_groups(item, [cell], ["geoUnit"], max_areas)
+    # The pairs are counted and then gathered; the join behind them must not run twice.
+    grouped = bounded_groups(materialize(item, "coverage"), [cell], ["geoUnit"], max_areas)
     listed = F.array_sort(F.collect_list(F.struct("geoUnit", "percentage")))
     return grouped.groupBy(cell, "part").agg(F.to_json(listed).alias("coverage"))

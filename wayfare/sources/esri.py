@@ -5,47 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayfare.functions.geometry import POLYGONS, polygons_to_wkt, ring_area
+from wayfare.functions.geometry import POLYGONS, ring_area_sql, wkt_sql
 
 
-def _rings_to_polygons(rings: Column) -> Column:
+def _polygons_of_rings(rings: str) -> str:
     """Group rings into polygons: clockwise rings are shells, the others holes of the shell before them.
 
     Open rings are closed.
     """
+    points = "transform(g, p -> named_struct('x', p[0], 'y', p[1]))"
+    closed = f"if(g[0] = element_at(g, -1), {points}, array_append({points}, named_struct('x', g[0][0], 'y', g[0][1])))"
+    usable = f"transform(filter({rings}, g -> size(g) > 0), g -> {closed})"
+    is_hole = f"{ring_area_sql('r')} > 0 and size(acc) > 0"
+    grown = "array_append(slice(acc, 1, size(acc) - 1), array_append(element_at(acc, -1), r))"
+    return f"aggregate({usable}, cast(array() as {POLYGONS}), (acc, r) -> if({is_hole}, {grown}, array_append(acc, array(r))))"
 
-    def closed(ring: Column) -> Column:
-        points = F.transform(
-            ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
-        )
-        first = F.get(points, F.lit(0))
-        return F.when(F.element_at(points, -1) == first, points).otherwise(F.array_append(points, first))
 
-    def add(shapes: Column, ring: Column) -> Column:
-        is_hole = (ring_area(ring) > 0) & (F.size(shapes) > 0)
-        kept = F.slice(shapes, F.lit(1), F.greatest(F.size(shapes) - 1, F.lit(0)))
-        grown = F.array_append(kept, F.array_append(F.get(shapes, F.size(shapes) - 1), ring))
-        return F.when(is_hole, grown).otherwise(F.array_append(shapes, F.array(ring)))
-
-    usable = F.filter(rings, lambda r: F.size(r) > 0)
-    return F.aggregate(F.transform(usable, closed), F.array().cast(POLYGONS), add)
-
-
-def esri_to_wkt(
-    text: Column | str, on_error: str = "POLYGON EMPTY", quoted: bool = False, always_multi: bool = False
-) -> Column:
-    """WKT of an Esri polygon.
+def esri_to_wkt(text: str, on_error: str = "POLYGON EMPTY", quoted: bool = False, always_multi: bool = False) -> Column:
+    """WKT of an Esri polygon held in a column.
 
     Backslashes are removed; ``quoted`` also removes the first and the last character. Text without readable
     rings gives ``on_error``.
     """
-    source = F.col(text) if isinstance(text, str) else text
-    plain = F.replace(source, F.lit("\\"), F.lit(""))
+    plain = f"replace({text}, r'\\', '')"
     if quoted:
-        plain = F.substring(plain, F.lit(2), F.greatest(F.length(plain) - 2, F.lit(0)))
-    rings = F.from_json(plain, "struct<rings:array<array<array<double>>>>")["rings"]
-    broken = F.exists(
-        F.flatten(rings), lambda p: (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull()
-    )
-    wkt = F.when(rings.isNotNull() & ~broken, polygons_to_wkt(_rings_to_polygons(rings), always_multi))
-    return F.coalesce(wkt, F.lit(on_error))
+        plain = f"substring({plain}, 2, greatest(length({plain}) - 2, 0))"
+    rings = f"from_json({plain}, 'struct<rings:array<array<array<double>>>>').rings"
+    broken = "exists(flatten(v), p -> size(p) < 2 or get(p, 0) is null or get(p, 1) is null)"
+    read = f"get(transform(array({rings}), v -> if({broken}, null, {wkt_sql(_polygons_of_rings('v'), always_multi)})), 0)"
+    return F.coalesce(F.expr(read), F.lit(on_error))

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from wayfare.schemas import ID_MAP, WEIGHT, assert_schema
 
 
+# Type name, then EMPTY or coordinates in one pair of parentheses or more.
+_GEOMETRY = r"(?i)^\s*(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*(?:EMPTY|\([-+0-9.e,()\s]+\))\s*$"
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",") -> DataFrame:
     """Headerless delimited files bound to a schema by position."""
     return spark.read.schema(schema).option("sep", delimiter).csv(path)
@@ -57,15 +61,10 @@ def read_wkt_table(
 
 
 def wkt_table(lines: DataFrame, wkt_column: int, delimiter: str = "\t", skip_invalid: bool = False) -> DataFrame:
-    from wayfare.functions.geometry import geometry_type, wkt_polygons
-
     parts = F.split("value", _literal(delimiter), -1)
     rest = F.filter(parts, lambda _, i: i != wkt_column)
     found = lines.select(F.get(parts, F.lit(wkt_column)).alias("wkt"), F.array_join(rest, "\t").alias("user_data"))
-    kind = geometry_type(F.col("wkt"))
-    polygon_ok = ~kind.isin("POLYGON", "MULTIPOLYGON") | wkt_polygons(F.col("wkt")).isNotNull()
-    other = kind.isin("POINT", "MULTIPOINT", "LINESTRING", "MULTILINESTRING", "POLYGON", "MULTIPOLYGON")
-    valid = F.coalesce(other & polygon_ok, F.lit(False))
+    valid = F.coalesce(F.col("wkt").rlike(_GEOMETRY), F.lit(False))
     if skip_invalid:
         return found.where(valid)
     refuse = F.raise_error(F.concat(F.lit("not a geometry: "), F.coalesce(F.substring("wkt", 1, 60), F.lit("null"))))
