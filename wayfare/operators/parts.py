@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from wayfare.session import materialize
+
 
 def bounded_groups(
     df: DataFrame,
@@ -19,6 +21,7 @@ def bounded_groups(
     order: Sequence[str],
     max_rows: int,
     bucket: Column | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``part`` so that no (keys, part) has more than ``max_rows`` rows.
 
@@ -28,21 +31,19 @@ def bounded_groups(
 
     ``bucket`` coarsens ``order`` without changing it (for example the minute of a time); parts then follow
     ``order``. Without it a hash spreads the rows and only the rows inside a part can be sorted.
+
+    ``sizes`` is a table that is cheaper to count than ``df`` and has at least as many rows of every key, such as
+    ``df`` before a lookup join.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    counted = df if sizes is None else sizes
+    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    counts = materialize(counts, "large-keys")
     if counts.isEmpty():
         return df.withColumn("part", F.lit(0).cast("long"))
     return _split_large(df, keys, list(order), max_rows, bucket, counts)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join in which null keys match each other; the right side's keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

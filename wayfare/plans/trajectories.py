@@ -26,15 +26,17 @@ def event_updates(events: DataFrame) -> DataFrame:
     )
 
 
-def build_trajectories(updates: DataFrame, max_updates: int = 1_000_000) -> DataFrame:
+def build_trajectories(
+    updates: DataFrame, max_updates: int = 1_000_000, sizes: DataFrame | None = None
+) -> DataFrame:
     """``agent_id``, ``part`` and the ordered ``updates``.
 
     Updates of equal time follow their other fields. An agent with more than ``max_updates`` continues in the next
-    part; parts follow one another in time.
+    part; parts follow one another in time. ``sizes`` is as for ``bounded_groups``.
     """
     order = ("timestamp", "lon", "lat", "cell_type", "cell")
     long = updates.select("agent_id", *order)
-    parted = bounded_groups(long, ["agent_id"], order, max_updates, F.substring("timestamp", 1, 16))
+    parted = bounded_groups(long, ["agent_id"], order, max_updates, F.substring("timestamp", 1, 16), sizes)
     gathered = parted.groupBy("agent_id", "part").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_u"))
     arranged = F.transform("_u", lambda u: F.struct(*[u[f].alias(f) for f in UPDATE_FIELDS]))
     return gathered.select("agent_id", "part", arranged.alias("updates"))
@@ -44,8 +46,11 @@ def located_updates(
     event_lines: DataFrame, cells: DataFrame, layout: EventLayout = EventLayout(), id_regex: str = ".*"
 ) -> DataFrame:
     """Event lines to updates: parse, place by cell, keep agents whose whole id matches."""
-    events = parse_events(event_lines, layout).where(full_match("agent_id", id_regex))
-    return event_updates(locate_events(events, cells))
+    return event_updates(locate_events(_wanted_events(event_lines, layout, id_regex), cells))
+
+
+def _wanted_events(event_lines: DataFrame, layout: EventLayout, id_regex: str) -> DataFrame:
+    return parse_events(event_lines, layout).where(full_match("agent_id", id_regex))
 
 
 def trajectory_lines(
@@ -57,4 +62,6 @@ def trajectory_lines(
 ) -> DataFrame:
     """The whole job: event and cell lines in, trajectory text out (column ``value``)."""
     updates = located_updates(event_lines, parse_cells(cell_lines), layout, id_regex)
-    return build_trajectories(updates, max_updates).select("agent_id", "part", format_trajectories().alias("value"))
+    # Placing events by cell only ever drops some, so the parsed events are enough to size the agents.
+    sizes = _wanted_events(event_lines, layout, id_regex).select("agent_id")
+    return build_trajectories(updates, max_updates, sizes).select("agent_id", "part", format_trajectories().alias("value"))
