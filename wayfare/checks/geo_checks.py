@@ -281,7 +281,7 @@ _BOX_TEXT = """concat('POLYGON ((', x0, ' ', y0, ', ', x0, ' ', y1, ', ', x1, '
 @check("x8_esri_to_wkt", f"""
 select id, case when x1 - x0 in (4, 5) then '' else {_BOX_TEXT} end as quoted_wkt, case when x1 - x0 in (4, 5) then 'POLYGON EMPTY' else {_BOX_TEXT} end as plain_wkt from box""")
 def x8(t):
-    polygons = t["esri_line"].withColumn("quoted", F.get(F.split("value", "[|]", -1), F.lit(1)))
+    polygons = t["esri_line"].withColumn("quoted", F.get(F.split("value", "\\|", -1), F.lit(1)))
     polygons = polygons.withColumn("plain", F.regexp_replace("quoted", '^"|"$', ""))
     return polygons.select(
         "id",

@@ -120,7 +120,7 @@ def p13(t):
 @check("p14_quarantine", f"""
 select agent_id, count(*) as lines, count(*) filter (where {_PARSES}) as good, count(*) filter (where not ({_PARSES})) as bad from lbs_event group by agent_id""")
 def p14(t):
-    parts = F.split("value", "[|]", -1)
+    parts = F.split("value", "\\|", -1)
     lines = t["lbs_line"].withColumn("agent_id", F.get(parts, F.lit(1)))
     wide = F.when(F.size(parts) >= 8, F.try_to_timestamp(F.get(parts, F.lit(0)), F.lit("yyyy-MM-dd HH:mm:ss")))
     good, bad = quality.quarantine(lines, wide)

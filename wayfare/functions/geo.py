@@ -21,8 +21,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    a = F.when(a > 1, F.lit(1.0)).otherwise(a)
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    # For opposite points rounding may lift the term just above one.
+    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.abs(1 - a)))
 
 
 def grid_to_coord(grid: Column | str, target: str = "lat") -> Column:
@@ -46,7 +46,18 @@ def grid_distance(a: Column | str, b: Column | str) -> Column:
     return haversine(grid_to_coord(a), grid_to_coord(a, "lon"), grid_to_coord(b), grid_to_coord(b, "lon"))
 
 
-home_work_distance = grid_distance
+def home_work_distance(home: Column | str, work: Column | str) -> Column:
+    """Metres between home and work. Meant for filters, where Spark would compute repeated terms again and again:
+    the four coordinates are taken once and handed on.
+    """
+    ends = F.struct(
+        grid_to_coord(home).alias("lat1"),
+        grid_to_coord(home, "lon").alias("lon1"),
+        grid_to_coord(work).alias("lat2"),
+        grid_to_coord(work, "lon").alias("lon2"),
+    )
+    metres = F.transform(F.array(ends), lambda c: haversine(c["lat1"], c["lon1"], c["lat2"], c["lon2"]))
+    return F.get(metres, F.lit(0))
 
 
 def movement_index(max_distance: Column | str, home_work: Column | str) -> Column:

@@ -35,4 +35,4 @@ def filter_updates(df: DataFrame, start: str, end: str | None = None, column: st
 
 def has_rings(lines: DataFrame, column: str = "value") -> DataFrame:
     """Pipe-separated lines whose second field holds polygon rings."""
-    return lines.where(F.get(F.split(column, "[|]", -1), F.lit(1)).contains("rings"))
+    return lines.where(F.get(F.split(column, "\\|", -1), F.lit(1)).contains("rings"))

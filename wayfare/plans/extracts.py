@@ -21,7 +21,7 @@ def trips_of_category(trips: DataFrame, category: str = "sa2_sa2") -> DataFrame:
 
 def esri_lines_to_wkt(lines: DataFrame) -> DataFrame:
     """``id|quoted Esri JSON`` lines to ``id|WKT`` lines; unreadable polygons leave the WKT empty."""
-    parts = F.split("value", "[|]", -1)
+    parts = F.split("value", "\\|", -1)
     kept = has_rings(lines).select(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("polygon"))
     wkt = esri_to_wkt("polygon", on_error="", quoted=True)
     return kept.select(F.concat("id", F.lit("|"), wkt).alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import split_cgi
-from wayfare.functions.time import format_offset_ts, parse_to_utc
+from wayfare.functions.time import LENIENT_FORMAT, format_offset_ts
 from wayfare.schemas import EVENT
 
 
@@ -36,34 +36,32 @@ SINGAPORE = EventLayout(tz="Asia/Singapore")
 SYDNEY = EventLayout(ts=8, tz="Australia/Sydney")
 
 
+def _quoted(text: str) -> str:
+    return '"' + text.replace('"', '\\"') + '"'
+
+
 def parse_events(lines: DataFrame, layout: EventLayout = EventLayout(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Pipe-separated lines (column ``value``) to events.
 
     Coordinates that are no numbers become null. Lines that are too short or have no valid time are dropped.
     ``keep`` names further input columns to carry along.
     """
-    parts = F.split("value", "[|]", -1)
-
-    def field(i: int) -> Column:
-        return F.get(F.col("_parts"), F.lit(i))
-
+    fields = {
+        "event_time": f"to_utc_timestamp(try_to_timestamp(p[{layout.ts}], {_quoted(LENIENT_FORMAT)}), {_quoted(layout.tz)})",
+        "agent_id": f"p[{layout.agent}]",
+        "msisdn": f"p[{layout.msisdn}]",
+        "cgi": f"p[{layout.cgi}]",
+        "event_type": f"p[{layout.event_type}]",
+        "lat": f"try_cast(p[{layout.lat}] as double)",
+        "lon": f"try_cast(p[{layout.lon}] as double)",
+        "imei": f"p[{layout.imei}]",
+    }
+    event = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+    # A line becomes an array of one event or none, so that its text and its time are read once.
+    wide = f"filter(array(split(value, '\\\\|', -1)), p -> size(p) >= {layout.width})"
+    rows = f"filter(transform({wide}, p -> {event}), e -> e.event_time is not null)"
+    parsed = lines.select(*keep, F.inline(F.expr(rows)))
     cell = split_cgi(F.col("cgi"))
-    parsed = (
-        lines.withColumn("_parts", parts)
-        .where(F.size("_parts") >= layout.width)
-        .select(
-            *keep,
-            parse_to_utc(field(layout.ts), layout.tz).alias("event_time"),
-            field(layout.agent).alias("agent_id"),
-            field(layout.msisdn).alias("msisdn"),
-            field(layout.cgi).alias("cgi"),
-            field(layout.event_type).alias("event_type"),
-            field(layout.lat).try_cast("double").alias("lat"),
-            field(layout.lon).try_cast("double").alias("lon"),
-            field(layout.imei).alias("imei"),
-        )
-        .where(F.col("event_time").isNotNull())
-    )
     located = F.when(
         F.col("lat").isNotNull() & F.col("lon").isNotNull(),
         F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")),
@@ -89,7 +87,7 @@ def parse_cells(lines: DataFrame) -> DataFrame:
 
     A coordinate that is no number fails the query.
     """
-    parts = F.split("value", "[|]", -1)
+    parts = F.split("value", "\\|", -1)
     full = F.size("_parts") == 12
 
     def field(i: int) -> Column:

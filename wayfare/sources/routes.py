@@ -5,53 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LEG_FIELDS = 8
-
-
-def _leg_from_text(text: Column) -> Column:
-    parts = F.split(text, ",", -1)
-
-    def field(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    def number(i: int) -> Column:
-        return F.trim(field(i)).try_cast("double")
-
-    leg = F.struct(
-        field(0).alias("start_time"),
-        number(1).alias("start_lon"),
-        number(2).alias("start_lat"),
-        number(4).alias("end_lon"),
-        number(5).alias("end_lat"),
-        field(3).alias("end_time"),
-        field(6).alias("mode"),
-        field(7).alias("route_taken"),
-    )
-    numbers = number(1).isNotNull() & number(2).isNotNull() & number(4).isNotNull() & number(5).isNotNull()
-    return F.when((F.size(parts) >= _LEG_FIELDS) & numbers, leg)
+def _leg_sql(text: str) -> str:
+    """Leg of a text held in a lambda variable, null when it is too short or a coordinate is no number."""
+
+    def number(i: int) -> str:
+        return f"try_cast(trim(f[{i}]) as double)"
+
+    fields = {
+        "start_time": "f[0]",
+        "start_lon": number(1),
+        "start_lat": number(2),
+        "end_lon": number(4),
+        "end_lat": number(5),
+        "end_time": "f[3]",
+        "mode": "f[6]",
+        "route_taken": "f[7]",
+    }
+    leg = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+    read = f"get(transform(filter(array(split({text}, ',', -1)), f -> size(f) >= 8), f -> {leg}), 0)"
+    known = "v.start_lon is not null and v.start_lat is not null and v.end_lon is not null and v.end_lat is not null"
+    return f"get(filter(array({read}), v -> {known}), 0)"
 
 
 def parse_routes(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines (column ``value``) to routes. One bad leg drops the whole route; quotes around codes are removed."""
-    parts = F.split("value", "\t", -1)
-
-    def field(i: int) -> Column:
-        return F.get("_parts", F.lit(i))
+    """Lines (column ``value``) to routes. One bad leg drops the whole route; quotes around codes are removed.
 
-    legs = F.transform(F.split(field(4), ";", -1), _leg_from_text)
-    return (
-        lines.withColumn("_parts", parts)
-        .where(F.size("_parts") >= 5)
-        .select(
-            *keep,
-            field(0).alias("day_of_week"),
-            field(1).alias("query_time"),
-            F.replace(field(2), F.lit('"'), F.lit("")).alias("start_geo"),
-            F.replace(field(3), F.lit('"'), F.lit("")).alias("end_geo"),
-            legs.alias("route"),
-        )
-        .where(F.forall("route", lambda leg: leg.isNotNull()))
+    A line becomes an array of one route or none, so that every text is taken apart once.
+    """
+    route = (
+        "named_struct('day_of_week', p[0], 'query_time', p[1], 'start_geo', replace(p[2], '\"', ''), "
+        f"'end_geo', replace(p[3], '\"', ''), 'route', transform(split(p[4], ';', -1), x -> {_leg_sql('x')}))"
     )
+    wide = "filter(array(split(value, '\t', -1)), p -> size(p) >= 5)"
+    rows = f"filter(transform({wide}, p -> {route}), o -> forall(o.route, leg -> leg is not null))"
+    return lines.select(*keep, F.inline(F.expr(rows)))
 
 
 def format_routes(route: str = "route") -> Column:

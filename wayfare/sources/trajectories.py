@@ -5,40 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.geo import SENSOR_TYPES, sensor_code, sensor_name
+from wayfare.functions.geo import SENSOR_TYPES, sensor_name
 
 UPDATE_FIELDS = ("lon", "lat", "timestamp", "cell_type", "cell")
 
 
-def update_struct(lon: Column, lat: Column, timestamp: Column, cell_type: Column, cell: Column) -> Column:
-    return F.struct(
-        lon.alias("lon"), lat.alias("lat"), timestamp.alias("timestamp"), cell_type.alias("cell_type"), cell.alias("cell")
-    )
-
-
-def _update_from_text(text: Column) -> Column:
-    parts = F.split(text, ",", -1)
-
-    def required(value: Column, kind: str) -> Column:
-        refuse = F.raise_error(F.concat(F.lit("malformed update: "), text)).cast(kind)
-        return F.when(value.isNotNull(), value).otherwise(refuse)
-
-    return update_struct(
-        required(F.get(parts, F.lit(0)).try_cast("double"), "double"),
-        required(F.get(parts, F.lit(1)).try_cast("double"), "double"),
-        required(F.get(parts, F.lit(2)), "string"),
-        required(sensor_code(F.get(parts, F.lit(3))), "int"),
-        required(F.get(parts, F.lit(4)), "string"),
+def _update_sql(text: str) -> str:
+    """Update of a text held in a lambda variable; a malformed one fails the query."""
+    codes = ", ".join(f"'{name}', {code}, '{code}', {code}" for code, name in SENSOR_TYPES.items())
+    update = (
+        "named_struct('lon', try_cast(get(f, 0) as double), 'lat', try_cast(get(f, 1) as double), 'timestamp', get(f, 2), "
+        f"'cell_type', try_element_at(map({codes}), get(f, 3)), 'cell', get(f, 4))"
     )
+    whole = "v.lon is not null and v.lat is not null and v.cell_type is not null and v.cell is not null"
+    read = f"get(transform(array(split({text}, ',', -1)), f -> {update}), 0)"
+    return f"get(transform(array({read}), v -> if({whole}, v, raise_error(concat('malformed update: ', {text})))), 0)"
 
 
 def parse_trajectories(lines: DataFrame) -> DataFrame:
     """Lines (column ``value``) to ``agent_id`` and ``updates``; a malformed update fails the query."""
     trimmed = F.regexp_replace("value", ";+$", "")
-    parts = F.split(trimmed, ";", -1)
-    rest = F.slice(F.col("_parts"), F.lit(2), F.size("_parts"))
-    return lines.withColumn("_parts", parts).select(
-        F.get("_parts", F.lit(0)).alias("agent_id"), F.transform(rest, _update_from_text).alias("updates")
+    rest = f"transform(slice(_parts, 2, size(_parts)), u -> {_update_sql('u')})"
+    return lines.withColumn("_parts", F.split(trimmed, ";", -1)).select(
+        F.get("_parts", F.lit(0)).alias("agent_id"), F.expr(rest).alias("updates")
     )
 
 
@@ -63,5 +52,3 @@ def format_trajectories(
 
     return F.concat_ws(";", agent_col, F.transform(array, text))
 
-
-__all__ = ["SENSOR_TYPES", "UPDATE_FIELDS", "format_trajectories", "parse_trajectories", "to_long", "update_struct"]
