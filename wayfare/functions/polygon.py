@@ -124,6 +124,10 @@ def common_area(edges_a: pd.Series, edges_b: pd.Series) -> pd.Series:
     return pd.Series(overlay_areas(edges_a.tolist(), edges_b.tolist()))
 
 
+# Results are often filtered. Declared so, a filter on them is not turned into a second run of the Python step.
+common_area = common_area.asNondeterministic()
+
+
 # ---------------------------------------------------------------- boundary contact
 
 
@@ -187,6 +191,9 @@ def boundaries_touch(edges_a: pd.Series, edges_b: pd.Series) -> pd.Series:
     return pd.Series(touch, index=edges_a.index, dtype=object).where(known, None)
 
 
+boundaries_touch = boundaries_touch.asNondeterministic()
+
+
 # ---------------------------------------------------------------- single geometries
 
 _NUMBERS = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
@@ -451,7 +458,7 @@ def relation_udf(relation: str):
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
         return _per_pair(a, b, lambda x, y: relate(x, y, relation))
 
-    return test
+    return test.asNondeterministic()
 
 
 def planar_distance_of(a: Shape, b: Shape) -> float | None:

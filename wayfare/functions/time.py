@@ -59,7 +59,8 @@ def parse_to_utc(text: Column | str, tz: str | Column = "UTC") -> Column:
 
 def parse_any(text: Column | str, tz: str | Column = "UTC") -> Column:
     """Text with an offset, or local text in ``tz``."""
-    return F.coalesce(parse_offset_ts(text), parse_to_utc(text, tz))
+    has_offset = _col(text).rlike(r"[+-][0-9]{4}$")
+    return F.when(has_offset, parse_offset_ts(text)).otherwise(parse_to_utc(text, tz))
 
 
 def date_text(ts: Column | str, tz: str | Column = "UTC") -> Column:

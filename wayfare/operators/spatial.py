@@ -21,7 +21,9 @@ def _prepared(df: DataFrame, wkt: str, prefix: str, boundary: bool) -> DataFrame
     """
     refuse = F.raise_error(F.concat(F.lit("not a polygon: "), F.substring(wkt, 1, 60))).cast(G.POLYGONS)
     parsed = F.coalesce(G.wkt_polygons(wkt), F.when(F.col(wkt).isNotNull(), refuse))
-    polygons = df.withColumn(f"{prefix}_polygons", parsed).where(F.size(f"{prefix}_polygons") > 0)
+    # A filter would be pushed below the parsing and so repeat it; exploding one value or none does not.
+    some = F.filter(F.array(parsed), lambda v: F.size(v) > 0)
+    polygons = df.withColumn(f"{prefix}_polygons", F.explode(some))
     box = polygons.withColumn(f"{prefix}_box", G.bbox(f"{prefix}_polygons"))
     columns = {f"{prefix}_{k}": F.col(f"{prefix}_box")[k] for k in ("x0", "y0", "x1", "y1")}
     columns[f"{prefix}_edges"] = G.oriented_edges(f"{prefix}_polygons")
@@ -109,7 +111,7 @@ def with_common_area(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "common_a
 
 
 def _common_area(a: str, b: str) -> Column:
-    """Zero without edges. Using the edges twice also keeps them a column of their own below the Python step."""
+    """Zero without edges."""
     both = (F.size(a) > 0) & (F.size(b) > 0)
     known = F.col(a).isNotNull() & F.col(b).isNotNull()
     return F.when(both, P.common_area(a, b)).when(known, F.lit(0.0))

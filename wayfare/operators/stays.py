@@ -16,8 +16,9 @@ SLOT_SECONDS = 300
 
 
 def with_slot(updates: DataFrame, seconds: int = SLOT_SECONDS, tz: str = "UTC", time: str = "timestamp") -> DataFrame:
-    """Add ``at`` (instant of the update) and ``slot`` (start of its time slot)."""
-    return updates.withColumn("at", parse_any(time, tz)).withColumn("slot", floor_time("at", seconds, tz))
+    """Add ``at`` (instant of the update) and ``slot`` (start of its time slot); unreadable times go."""
+    readable = F.filter(F.array(parse_any(time, tz)), lambda at: at.isNotNull())
+    return updates.withColumn("at", F.explode(readable)).withColumn("slot", floor_time("at", seconds, tz))
 
 
 def slot_groups(

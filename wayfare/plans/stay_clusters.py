@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wayfare.functions.time import format_offset_ts
 from wayfare.operators.stays import SLOT_SECONDS, clusters, with_slot
@@ -14,7 +13,7 @@ def stay_clusters(
     updates: DataFrame, distance: int, seconds: int = SLOT_SECONDS, tz: str = "UTC", centroid: str = "mean"
 ) -> DataFrame:
     """Centre, radius and status of each agent's updates in each slot."""
-    slotted = with_slot(updates.select("agent_id", "lon", "lat", "timestamp"), seconds, tz).where(F.col("at").isNotNull())
+    slotted = with_slot(updates.select("agent_id", "lon", "lat", "timestamp"), seconds, tz)
     found = clusters(slotted, ["agent_id", "slot"], distance, centroid)
     return found.withColumn("slot_key", format_offset_ts("slot", tz))
 
