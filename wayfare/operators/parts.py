@@ -71,6 +71,7 @@ def _split_large(
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     per_bucket = distinct.groupBy(*keys, "_bucket").agg(F.sum("_copies").alias("_size"))
+    # Ordered here are bucket sizes, not rows: a key has as many as it has buckets (minutes, or 4096 hash values).
     over_buckets = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *keys, "_bucket", F.coalesce(F.sum("_size").over(over_buckets), F.lit(0)).alias("_offset")

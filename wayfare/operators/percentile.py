@@ -47,6 +47,7 @@ def weighted_summary(
     by_bucket = by_value.groupBy(*keys, "_bucket").agg(
         F.sum("_w").alias("_bw"), F.sum(F.col("_value").cast("double") * F.col("_w")).alias("_bx")
     )
+    # What these windows order are bucket sums: a few thousand rows per group in practice, 140,000 at the very most.
     group = Window.partitionBy(*keys or [F.lit(0)])
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     summed = by_bucket.select(
@@ -63,6 +64,8 @@ def weighted_summary(
         .where((F.col("_need") > 0) & (F.col("_need") <= F.col("_bw")))
         .select(*keys, "_bucket", "total", (F.col("_x") / F.col("total")).alias("mean"), "_need")
     )
+    if not keys:
+        target = F.broadcast(target)  # one row
     ordered = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     found = join_null_safe(by_value, target, [*keys, "_bucket"]).withColumn("_run", F.sum("_w").over(ordered))
     return (
