@@ -226,6 +226,8 @@ class Shape:
         paths = [np.array([float(v) for v in _NUMBERS.findall(g)]).reshape(-1, 2) for g in groups]
         self.paths = [p for p in paths if len(p)]
         self.points = np.concatenate(self.paths) if self.paths else np.zeros((0, 2))
+        if len(self.points):
+            self.low, self.high = self.points.min(axis=0), self.points.max(axis=0)
         if self.dim == 0:
             self.segments = np.concatenate([self.points, self.points], axis=1)
         else:
@@ -411,11 +413,17 @@ def _shape_edges(shape: Shape) -> list[np.ndarray]:
     return [np.concatenate(rows).ravel() if rows else _NO_EDGES]
 
 
+def boxes_apart(a: Shape, b: Shape) -> bool:
+    return bool((a.low > b.high).any() or (b.low > a.high).any())
+
+
 def relate(a: Shape, b: Shape, relation: str) -> bool:
     """One named relation between two shapes."""
     if relation == "within":
         return relate(b, a, "contains")
-    if a.empty or b.empty:
+    if a.empty or b.empty or boxes_apart(a, b):
+        if relation not in RELATIONS:
+            raise ValueError(f"unknown relation: {relation}")
         return relation == "disjoint"
     m = relation_matrix(a, b)
     meet = m["II"] >= 0 or m["IB"] or m["BI"] or m["BB"]
@@ -464,14 +472,16 @@ def relation_udf(relation: str):
 def planar_distance_of(a: Shape, b: Shape) -> float | None:
     if a.empty or b.empty:
         return None
-    if relate(a, b, "intersects"):
-        return 0.0
-    return float(
+    near = float(
         min(
             point_segment_distances(a.points, b.segments).min(),
             point_segment_distances(b.points, a.segments).min(),
         )
     )
+    # Boundaries at a distance still leave crossing edges and a shape inside the other.
+    if near == 0.0 or boxes_apart(a, b) or not relate(a, b, "intersects"):
+        return near
+    return 0.0
 
 
 @F.pandas_udf(T.DoubleType())
