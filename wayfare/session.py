@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     fresh = tempfile.mkdtemp(prefix="wayfare-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
