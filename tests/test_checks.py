@@ -5,6 +5,7 @@ import pytest
 from check import rows_of
 
 from __spark_entry__ import entry, oracle_sql, queries
+from wayfare.checks import all_checks
 from wayfare.checks.fixtures import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_checks.QUERIES))
 def test_same_rows(spark, con, name):
     frame = queries()[name](spark, FOLDER)
     found = [tuple(row) for row in frame.collect()]
@@ -29,7 +30,9 @@ def test_same_rows(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_checks.QUERIES) == set(all_checks.ORACLES)
+    assert set(all_checks.QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
