@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import byte_bpe, exact_dedup, mixing, simhash
+from wayfare.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from wayfare.llm.tables import hold
 
 

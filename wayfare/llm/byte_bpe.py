@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.tables import prefixed, text_of, unused
+from wayfare.llm.tables import map_column, prefixed, text_of, unused
 
 UNKNOWN = "<unknown>"
 #: Pre-tokens a worker remembers before it starts afresh.
@@ -128,23 +127,6 @@ def _codec(model: bytes, pieces: list[bytes], pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _mapped(docs: DataFrame, work: str, added: dict[str, str], function) -> DataFrame:
-    """Columns ``added`` computed by ``function`` from column ``work``, which is dropped; Arrow batches, one in and one out."""
-    keep = [c for c in docs.columns if c != work]
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep])
-    ddl = schema.schema
-    for name, kind in added.items():
-        ddl = ddl.add(name, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(work)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, *function(batch.column(at))], names=[*keep, *added])
-
-    return docs.mapInArrow(run, ddl)
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Rows with ``n_tokens`` and ``token_ids`` (binary: ids as little-endian unsigned 32-bit integers); see ``ids_of``.
 
@@ -162,7 +144,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array([np.asarray(x, "<u4").tobytes() for x in ids], pa.binary())]
 
     work = unused(docs, "bpe_text")
-    return _mapped(docs.withColumn(work, text_of(text_col)), work, {"n_tokens": "long", "token_ids": "binary"}, tokens)
+    return map_column(docs.withColumn(work, text_of(text_col)), work, {"n_tokens": "long", "token_ids": "binary"}, tokens)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -175,7 +157,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_
         return [pa.array([b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in column.to_pylist()], pa.binary())]
 
     work = unused(encoded, "bpe_ids")
-    return _mapped(encoded.withColumn(work, F.coalesce(F.col(f"`{ids_col}`"), F.lit(b""))), work, {out_col: "binary"}, text_bytes)
+    return map_column(encoded.withColumn(work, F.coalesce(F.col(f"`{ids_col}`"), F.lit(b""))), work, {out_col: "binary"}, text_bytes)
 
 
 def ids_of(token_ids: str = "token_ids"):

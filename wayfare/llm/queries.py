@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import byte_bpe, exact_dedup, mixing, simhash, token_counts
+from wayfare.llm import byte_bpe, embedding, exact_dedup, mixing, pii, simhash, token_counts, toxicity
 from wayfare.session import ensure_utc
 
 
@@ -20,8 +20,17 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: _ready(query)
-    for query in (exact_dedup.op1_exact_dedup, simhash.op3_simhash, mixing.op4_mixing, byte_bpe.op5_byte_bpe, token_counts.op7_token_counts)
+    for query in (
+        exact_dedup.op1_exact_dedup,
+        toxicity.op2_toxicity,
+        simhash.op3_simhash,
+        mixing.op4_mixing,
+        byte_bpe.op5_byte_bpe,
+        token_counts.op7_token_counts,
+        pii.op8_pii,
+        embedding.op10_embedding,
+    )
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op4_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op4_mixing": mixing.SQL, "op10_embedding": embedding.SQL}

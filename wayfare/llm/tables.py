@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from wayfare.session import materialize, shared_dir
 
-__all__ = ["hold", "low_hex", "prefixed", "shared_dir", "text_of", "unused"]
+__all__ = ["hold", "low_hex", "map_column", "prefixed", "shared_dir", "text_of", "unused"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -41,5 +43,15 @@ def low_hex(number: Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 16, "0"))
 
 
-def fresh(label: str) -> str:
-    return f"{label}-{uuid.uuid4().hex[:12]}"
+def map_column(df: DataFrame, work: str, added: dict[str, str], function: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` without column ``work`` and with the columns ``added`` (name to type) that ``function`` makes from it, an Arrow batch at a time."""
+    keep = [c for c in df.columns if c != work]
+    schema = StructType([f for f in df.schema.fields if f.name != work] + [StructField(name, DataType.fromDDL(kind)) for name, kind in added.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(work)
+            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, *function(batch.column(at))], names=[*keep, *added])
+
+    return df.mapInArrow(run, schema)
