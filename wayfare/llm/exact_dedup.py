@@ -46,6 +46,26 @@ def repeat_filter(texts: DataFrame, hashed: Column, words: int) -> DataFrame:
     return twice.groupBy("word").agg(F.bit_or(_flag(F.col("bit"))).alias("bits"))
 
 
+def _mask(hashed: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for k in range(BITS):
+        out = out.bitwiseOR(_flag(_bit(hashed, k)))
+    return out
+
+
+def maybe_in(rows: DataFrame, key: Column, members: DataFrame, flag: str, words: int = 1 << 21) -> DataFrame:
+    """Rows with a column ``flag``: false where ``key`` (a long) is surely not among ``members`` (one column of longs).
+
+    A broadcast filter of bounded size decides. Every member is flagged, and few others are.
+    """
+    member = F.col(members.columns[0])
+    word, mask, bits = (unused(rows, f"filter_{n}") for n in ("word", "mask", "bits"))
+    seen = members.select(_word(member, words).alias(word), _mask(member).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = rows.withColumn(word, _word(key, words)).withColumn(mask, _mask(key)).join(F.broadcast(seen), word, "left")
+    found = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    return marked.withColumn(flag, found).drop(word, mask, bits)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1 << 21) -> DataFrame:
     """All rows with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` (existing columns of these names are replaced).
 
@@ -61,9 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = F.xxhash64(text)
     flags, word = unused(docs, "repeat_bits"), unused(docs, "filter_word")
     seen = repeat_filter(docs, hashed, words).withColumnsRenamed({"word": word, "bits": flags})
-    mask = F.lit(0).cast("long")
-    for k in range(BITS):
-        mask = mask.bitwiseOR(_flag(_bit(hashed, k)))
+    mask = _mask(hashed)
     marked = docs.withColumn(word, _word(hashed, words)).join(F.broadcast(seen), word, "left")
     maybe = F.coalesce(F.col(flags).bitwiseAND(mask) == mask, F.lit(False))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import byte_bpe, embedding, exact_dedup, mixing, pii, simhash, token_counts, toxicity
+from wayfare.llm import byte_bpe, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
 from wayfare.session import ensure_utc
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         byte_bpe.op5_byte_bpe,
         token_counts.op7_token_counts,
         pii.op8_pii,
+        suffix_dedup.op9_suffix_dedup,
         embedding.op10_embedding,
     )
 }
