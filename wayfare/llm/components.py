@@ -35,15 +35,16 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         adopted = lowest.select(F.col("a").alias("node"), F.least("low", _ranked(F.col("a"), turn))["node"].alias("to"))
         adopted = hold(adopted, "adopted")
         steps.append(adopted)
-        left = adopted.withColumnsRenamed({"node": "a", "to": "a_to"})
-        right = adopted.withColumnsRenamed({"node": "b", "to": "b_to"})
+        left = adopted.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
+        right = adopted.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = current.join(left, "a").join(right, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         current = hold(moved.where("a <> b").distinct(), "links")
     if not steps:
         return nodes.withColumn("component", F.col("value"))
     placed = steps[0]
     for step in steps[1:]:
-        placed = placed.join(step.withColumnsRenamed({"node": "to", "to": "next"}), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        then = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        placed = placed.join(then, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     placed = hold(nodes.join(placed, "node", "left").withColumn("to", F.coalesce("to", "node")), "placed")
     lowest = hold(placed.groupBy("to").agg(F.min("value").alias("component")), "component")
     return placed.join(lowest, "to").select("node", "value", "component")
