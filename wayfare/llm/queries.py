@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import byte_bpe, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
+from wayfare.llm import byte_bpe, compact_windows, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
 from wayfare.session import ensure_utc
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op3_simhash,
         mixing.op4_mixing,
         byte_bpe.op5_byte_bpe,
+        compact_windows.op6_compact_windows,
         token_counts.op7_token_counts,
         pii.op8_pii,
         suffix_dedup.op9_suffix_dedup,
