@@ -98,7 +98,7 @@ def plan_mix(
     * With no words at all every target is 0. An empty table gives no rows.
     """
     docs = prefixed(docs, ADDED)
-    names = {k: unused(docs, f"mix_{k}") for k in ("key", "bucket", "text", "source", "tie")}
+    names = {k: unused(docs, f"mix_{k}") for k in ("key", "bucket", "source", "tie", "start", "offset", "place")}
     carried = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
     sized = hold(
         docs.select(
@@ -110,7 +110,7 @@ def plan_mix(
         ),
         "sized",
     )
-    source, key, bucket = names["source"], names["key"], names["bucket"]
+    source, key, bucket, start, place = (names[k] for k in ("source", "key", "bucket", "start", "place"))
     buckets = 1 << max(4, (sized.count() // BUCKET_ROWS).bit_length())  # the count comes from the files' footers
     hexes = max(2, (buckets.bit_length() + 3) // 4)
     sized = sized.withColumn(bucket, F.substring(key, 1, hexes))
@@ -119,15 +119,15 @@ def plan_mix(
     totals = sums.groupBy(F.col(source).alias("source")).agg(F.sum("bucket_size").alias("source_size"))
     targets = hold(source_targets(totals, share, cap, weights), "targets")
     running = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(source, bucket, F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("bucket_start"))
+    starts = sums.select(source, bucket, F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias(start))
     starts = hold(
-        starts.join(targets.withColumnRenamed("source", source), source).select(source, bucket, "bucket_start", "source_size", "target", "place"),
+        starts.join(targets.withColumnRenamed("source", source), source).select(source, bucket, start, "source_size", "target", F.col("place").alias(place)),
         "starts",
     )
     inside = Window.partitionBy(source, bucket).orderBy(key, names["tie"], "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = sized.withColumn(names["offset"], F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, [source, bucket])
-    offset = F.col("bucket_start") + F.col("offset")
+    offset = F.col(start) + F.col(names["offset"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - whole * F.col("source_size")
     times = (whole + F.when(offset + F.col("size") / 2 < rest, 1).otherwise(0)).cast("int")
@@ -136,7 +136,7 @@ def plan_mix(
         demand = F.when(F.col("target") > 0, (offset + turn * F.col("source_size")) / F.col("target")).otherwise(0.0)
         out = due_time(demand, schedules[-1])
         for i, knots in list(enumerate(schedules))[-2::-1]:
-            out = F.when(F.col("place") % len(schedules) == i, due_time(demand, knots)).otherwise(out)
+            out = F.when(F.col(place) % len(schedules) == i, due_time(demand, knots)).otherwise(out)
         return out
 
     positions = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(cap))), lambda k: F.when(k < times, due(k))), lambda x: x.isNotNull())
