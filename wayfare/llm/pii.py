@@ -154,8 +154,12 @@ _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS
 _SPELLED_PART = re.compile(r"\w+")
 _MASK_TRIGGER = re.compile(r"\bdot\b|[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I)
 _DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})"
+# Endings of addresses. Written in plain words ("look at this dot on the map") an address must have one of them.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|tv|app|dev|ai|eu|us|uk|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|ie|ru|ca|au|nz|in|jp|cn|kr|br|mx|za"
+_LABEL = r"[A-Za-z0-9-]{1,63}"
 _MASKED_AT = re.compile(
-    rf"(?<=[A-Za-z0-9_%+-])(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}(?=[A-Za-z0-9])|\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z]))", re.I
+    rf"(?<=[A-Za-z0-9_%+-])(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}(?=[A-Za-z0-9])|\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}(?:{_ENDINGS})\b))",
+    re.I,
 )
 _MASKED_DOT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){_DOT}(?=[A-Za-z0-9])", re.I)
 
