@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.operators import binning, filters, intervals, lookup, percentile, quality, spatial, stays
-from wayfare.operators.parts import bounded_groups
 from wayfare.plans import cells, movement, routes, trajectories
 from wayfare.sources.trajectories import format_trajectories, parse_trajectories
 
@@ -22,52 +21,22 @@ def hot_rows(seed=1, n=900):
     return rows
 
 
-@pytest.mark.parametrize("max_rows", [7, 50, 10_000])
-@pytest.mark.parametrize("ordered", [True, False])
-def test_bounded_groups_keep_every_row(spark, max_rows, ordered):
-    rows = hot_rows() + [(None, "2024-01-01 00:00:00")] * 20
-    df = spark.createDataFrame(rows, "k string, t string")
-    bucket = F.substring("t", 1, 16) if ordered else None
-    got = bounded_groups(df, ["k"], ["t"], max_rows, bucket).collect()
-    assert Counter((r.k, r.t) for r in got) == Counter(rows)
-    sizes = Counter((r.k, r.part) for r in got)
-    assert max(sizes.values()) <= max_rows
-    full = Counter(r.k for r in got)
-    for key, total in full.items():
-        parts = sorted(p for k, p in sizes if k == key)
-        assert parts == list(range(math.ceil(total / max_rows)))
-    if ordered:
-        for key in full:
-            by_part = defaultdict(list)
-            for r in got:
-                if r.k == key:
-                    by_part[r.part].append(r.t)
-            joined = [t for p in sorted(by_part) for t in sorted(by_part[p])]
-            assert joined == sorted(t for k, t in rows if k == key)
-
-
-def test_bounded_groups_without_keys(spark):
-    df = spark.createDataFrame(hot_rows(), "k string, t string").select("t")
-    sizes = bounded_groups(df, [], ["t"], 100).groupBy("part").count().collect()
-    assert sum(r["count"] for r in sizes) == 900 and max(r["count"] for r in sizes) <= 100
-
-
-def test_long_trajectories_continue_in_parts(spark):
-    rows = [(k, 1.5, 2.5, t, 1, "c") for k, t in hot_rows()]
+def test_trajectories_by_day_make_the_whole_path(spark):
+    rows = [(k, 1.5, 2.5, t.replace("01-01", f"01-0{1 + i % 3}"), 1, "c") for i, (k, t) in enumerate(hot_rows())]
     updates = spark.createDataFrame(rows, "agent_id string, lon double, lat double, timestamp string, cell_type int, cell string")
-    whole = {r.agent_id: r.updates for r in trajectories.build_trajectories(updates).collect()}
-    parts = trajectories.build_trajectories(updates, max_updates=40).collect()
-    assert max(len(r.updates) for r in parts) == 40
-    for agent, full in whole.items():
-        mine = sorted((r for r in parts if r.agent_id == agent), key=lambda r: r.part)
-        assert [u for r in mine for u in r.updates] == full
+    found = trajectories.build_trajectories(updates).collect()
+    assert len({(r.agent_id, r.day) for r in found}) == len(found)
+    for agent in {r[0] for r in rows}:
+        mine = sorted((r for r in found if r.agent_id == agent), key=lambda r: r.day)
+        assert [u.timestamp for r in mine for u in r.updates] == sorted(r[3] for r in rows if r[0] == agent)
 
 
-def test_long_visit_lists(spark):
-    visits = spark.createDataFrame([("a", "u1")] * 50 + [("a", "u2"), ("b", "u3"), ("b", None)], "agent_id string, geo_unit_id string")
-    got = movement.visited_units(visits, max_units=20).collect()
-    assert Counter(u for r in got for u in r.geo_units if r.agent_id == "a") == {"u1": 50, "u2": 1}
-    assert sorted(len(r.geo_units) for r in got) == [1, 11, 20, 20]
+def test_visit_lists_by_tile(spark):
+    rows = [("a", f"g_1_2_103.{k % 4}5_1.25") for k in range(12)] + [("a", None), ("a", "NA"), ("b", "g_1_2_103.05_1.25")]
+    visits = spark.createDataFrame(rows, "agent_id string, geo_unit_id string")
+    found = {(r.agent_id, r.tile_lon): r.geo_units for r in movement.visited_units(visits).collect()}
+    assert found.pop(("a", None)) == ["NA"]
+    assert {k: len(v) for k, v in found.items()} == {("a", 1030): 3, ("a", 1031): 3, ("a", 1032): 3, ("a", 1033): 3, ("b", 1030): 1}
 
 
 def brute_percentile(values, p):
@@ -176,24 +145,18 @@ def test_cluster_of_repeated_places(spark, centroid, lat):
         stays.clusters(df, ["agent_id"], 1000, "mode")
 
 
-def test_slot_groups_in_parts(spark):
+def test_slot_groups(spark):
     rows = [("a", 1.0, 1.0, f"2024-01-01 00:00:{s:02d}", 1, "c") for s in range(60)] + [("a", 1.0, 1.0, "2024-01-01 00:05:00", 1, "c")]
     df = spark.createDataFrame(rows, "agent_id string, lon double, lat double, timestamp string, cell_type int, cell string")
-    got = stays.slot_groups(df, max_updates=25).orderBy("slot", "part").collect()
-    assert [(r.slot_key, r.part, len(r.updates)) for r in got] == [
-        ("2024-01-01 00:00:00+0000", 0, 25),
-        ("2024-01-01 00:00:00+0000", 1, 25),
-        ("2024-01-01 00:00:00+0000", 2, 10),
-        ("2024-01-01 00:05:00+0000", 0, 1),
-    ]
+    got = stays.slot_groups(df).orderBy("slot").collect()
+    assert [(r.slot_key, len(r.updates)) for r in got] == [("2024-01-01 00:00:00+0000", 60), ("2024-01-01 00:05:00+0000", 1)]
     assert [u.timestamp for r in got for u in r.updates] == [r[3] for r in rows]
 
 
-def test_coverage_lists_in_parts(spark):
-    pairs = spark.createDataFrame([("c", f"u{k:02d}", k / 100) for k in range(30)] + [("d", "u1", 0.5)], "cell string, unit string, percentage double")
-    got = spatial.coverage_lists(pairs, "cell", "unit", max_areas=12).collect()
-    assert sum(r.coverage.count("geoUnit") for r in got) == 31
-    assert max(r.coverage.count("geoUnit") for r in got) <= 12
+def test_coverage_lists_by_named_columns(spark):
+    pairs = spark.createDataFrame([("c", f"u{k:02d}", k / 100, k // 12) for k in range(30)] + [("d", "u1", 0.5, 0)], "cell string, unit string, percentage double, tile int")
+    got = spatial.coverage_lists(pairs, "cell", "unit", by=("tile",)).collect()
+    assert sorted(r.coverage.count("geoUnit") for r in got) == [1, 6, 12, 12]
     assert [r.coverage for r in got if r.cell == "d"] == ['[{"geoUnit":"u1","percentage":0.5}]']
 
 

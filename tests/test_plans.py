@@ -86,3 +86,14 @@ def test_movement_shuffles_distinct_values_once(spark):
     result = movement.movement_index_by_level(t["staypoint"], t["homework"], t["geo_hierarchy"], t["weight"], "d")
     result.collect()
     assert "ReusedExchange" in plan(result)
+
+
+@pytest.mark.parametrize("name", ["a1_collect_list", "a5_build_trajectory", "a15_time_slot_group", "a16_coverage_list", "e3_job_trajectories", "e9_job_cell_coverage", "x10_geojson_write"])
+def test_nothing_runs_while_a_query_is_built(spark, name):
+    """Only the schemas of parquet files are read before the first action."""
+    spark.sparkContext.setJobGroup(name, name)
+    queries()[name](spark, FOLDER)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+    assert all(s is None or s.name.startswith("parquet") or s.numTasks == 1 for s in stages)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

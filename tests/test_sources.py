@@ -67,7 +67,7 @@ def test_geojson_round_trip(spark):
     ]}
     features = geojson.parse_feature_collections(lines(spark, json.dumps(doc)))
     texts = features.select(geojson.feature_text().alias("f"))
-    back = json.loads(geojson.feature_collections(texts, "f").first().value)
+    back = json.loads(geojson.feature_collections(texts.withColumn("doc", F.lit(1)), "f", ("doc",)).first().value)
     key = lambda f: json.dumps(f, sort_keys=True)
     assert sorted(back["features"], key=key) == sorted(doc["features"], key=key)
     again = geojson.parse_features(texts.select(F.col("f").alias("value")))
@@ -79,11 +79,13 @@ def test_geojson_round_trip(spark):
         again.select(geojson.feature_property("s", required=True)).collect()
 
 
-def test_collections_are_split(spark):
-    texts = spark.range(25).select(F.concat(F.lit('{"type":"Feature","id":"'), "id", F.lit('"}')).alias("f"))
-    docs = [json.loads(r.value) for r in geojson.feature_collections(texts, "f", max_features=10).collect()]
-    assert sorted(len(d["features"]) for d in docs) == [5, 10, 10]
+def test_collections_by_named_columns(spark):
+    texts = spark.range(25).select((F.col("id") % 3).alias("k"), F.concat(F.lit('{"type":"Feature","id":"'), "id", F.lit('"}')).alias("f"))
+    docs = [json.loads(r.value) for r in geojson.feature_collections(texts, "f", ("k",)).collect()]
+    assert sorted(len(d["features"]) for d in docs) == [8, 8, 9]
     assert {f["id"] for d in docs for f in d["features"]} == {str(k) for k in range(25)}
+    with pytest.raises(ValueError):
+        geojson.feature_collections(texts, "f", ())
 
 
 def test_multipolygon_json(spark):

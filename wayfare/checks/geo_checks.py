@@ -185,12 +185,16 @@ def g13a(t):
 
 # Along the equator a geodesic is an arc of the circle of the long half axis.
 @check("g13b_geodesic_distance", """
-select event_id, round(6378137.0 * radians(abs(lon_s::double - 100.0)), 3) + 0.0 as distance_m from lbs_event""")
+select event_id, 'along the equator' as way, round(6378137.0 * radians(abs(lon_s::double - 100.0)), 3) + 0.0 as distance_m from lbs_event
+union all select event_id, 'to the pole' as way, 10001965.729 as distance_m from lbs_event""")
 def g13b(t):
     points = t["lbs_event"].select(
         "event_id", F.concat(F.lit("POINT ("), "lon_s", F.lit(" 0)")).alias("a"), F.lit("POINT (100 0)").alias("b")
     )
-    return S.with_geodesic(points, "a", "b").select("event_id", r("distance_m", 3).alias("distance_m"))
+    # A quarter of a meridian has a known length, wherever it starts on the equator.
+    poles = points.select("event_id", "a", F.lit("POINT (0 90)").alias("b"), F.lit("to the pole").alias("way"))
+    points = points.withColumn("way", F.lit("along the equator")).unionByName(poles)
+    return S.with_geodesic(points, "a", "b").select("event_id", "way", r("distance_m", 3).alias("distance_m"))
 
 
 @check("g14_wkt_parse", """
@@ -253,9 +257,9 @@ def j6_intersects(t):
 
 
 _LIST = f"""
-with p as (select concat('c', a.id) as cell, concat('x', chr(92), 't', 'u', b.id, chr(92), 't', 'y') as unit, concat('x', chr(9), 'u', b.id, chr(9), 'y') as unit_raw, {_SHARE} as share {_COVERS_SQL})
-select cell, cast(0 as bigint) as part, concat('[', string_agg(concat('{{"geoUnit":"', unit, '","percentage":', cast(round(share, 6) as varchar), '}}'), ',' order by unit_raw), ']') as coverage
-from p group by cell"""
+with p as (select concat('c', a.id) as cell, concat('x', chr(92), 't', 'u', b.id, chr(92), 't', 'y') as unit, concat('x', chr(9), 'u', b.id, chr(9), 'y') as unit_raw, {_SHARE} as share, floor(b.x0 / 16.0)::bigint as tile_x, floor(b.y0 / 16.0)::bigint as tile_y {_COVERS_SQL})
+select cell, tile_x, tile_y, concat('[', string_agg(concat('{{"geoUnit":"', unit, '","percentage":', cast(round(share, 6) as varchar), '}}'), ',' order by unit_raw), ']') as coverage
+from p group by cell, tile_x, tile_y"""
 
 
 def _coarse_share(pairs):
@@ -264,13 +268,13 @@ def _coarse_share(pairs):
 
 @check("a16_coverage_list", _LIST)
 def a16(t):
-    return S.coverage_lists(_coarse_share(C.cell_coverage_pairs(*_tables(t))), "cell", "geo_unit")
+    pairs = _coarse_share(C.cell_coverage_pairs(*_tables(t), tile=16))
+    return S.coverage_lists(pairs, "cell", "geo_unit", by=("tile_x", "tile_y"))
 
 
-@check("e9_job_cell_coverage", f"select concat(cell, '|', coverage) as value from ({_LIST}) l")
+@check("e9_job_cell_coverage", f"select cell, tile_x, tile_y, concat(cell, '|', coverage) as value from ({_LIST}) l")
 def e9(t):
-    lists = S.coverage_lists(_coarse_share(C.cell_coverage_pairs(*_tables(t))), "cell", "geo_unit")
-    return lists.select(F.concat_ws("|", "cell", "coverage").alias("value"))
+    return C.cell_coverage(*_tables(t), tile=16, digits=6)
 
 
 # ---------------------------------------------------------------- Esri polygons

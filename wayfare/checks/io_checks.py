@@ -30,11 +30,19 @@ def _inventory_file(t):
     return path
 
 
-@check("s1_read_csv_typed", """
-select cast(p_partkey as varchar) as site_id, lac, technology, sac_id, cell_id, site_type, cell_status, -33.5::double as cell_lat, p_partkey::int as antenna_azimuth, null::int as beam_width_vertical from inventory""")
+_FILLED = {
+    "site_id": "cast(p_partkey as varchar)", "lac": "lac", "technology": "technology", "sac_id": "sac_id", "cell_id": "cell_id",
+    "site_type": "site_type", "cell_status": "cell_status", "cell_lat": "-33.5::double", "antenna_azimuth": "p_partkey::int",
+}
+_SQL_TYPES = {"string": "varchar", "double": "double", "int": "int"}
+_EVERY_COLUMN = ", ".join(
+    f"{_FILLED.get(f.name, 'null::' + _SQL_TYPES[f.dataType.simpleString()])} as {f.name}" for f in S.CELL_INVENTORY.fields
+)
+
+
+@check("s1_read_csv_typed", f"select {_EVERY_COLUMN} from inventory")
 def s1(t):
-    names = "site_id lac technology sac_id cell_id site_type cell_status cell_lat antenna_azimuth beam_width_vertical"
-    return R.read_csv_typed(t.spark, _inventory_file(t), S.CELL_INVENTORY, "|").select(*names.split())
+    return R.read_csv_typed(t.spark, _inventory_file(t), S.CELL_INVENTORY, "|")
 
 
 @check("s2_read_parquet_typed", "select agent_id, weight from weight")
@@ -44,8 +52,8 @@ def s2(t):
     return R.read_parquet_typed(t.spark, path, S.WEIGHT)
 
 
-# Spark's avro module is no part of the plain distribution; the reader is the same for every self-describing format.
-@check("s3_read_avro_typed", "select sub_mtz, id from id_map")
+# Avro itself needs Spark's avro module, which is no part of the plain distribution; the reader is the same for every self-describing format.
+@check("s3_read_orc_typed", "select sub_mtz, id from id_map")
 def s3(t):
     path = scratch_path(t.spark, "ids")
     t["id_map"].write.orc(path)

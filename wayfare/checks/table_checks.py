@@ -73,15 +73,23 @@ def p8(t):
     return renamed.withColumn("date", F.lit(DATE)).drop("sa3", "gcc", "state")
 
 
-@check("p9_trajectory_time_filter", """
-select agent_id, count(*) filter (where ts_s >= '2024-01-05 00:00:00' and ts_s <= '2024-01-20 12:00:00') as kept, count(*) filter (where ts_s >= '2024-01-05 00:00:00') as open_end
-from lbs_event group by agent_id""")
+# Every third update is written in another zone; what is kept is shown in its own text.
+_ZONED = """case when event_id % 3 = 0 then strftime(ts_s::timestamp + interval 11 hour, '%Y-%m-%d %H:%M:%S') || '+1100' else ts_s || '+0000' end"""
+
+
+@check("p9_trajectory_time_filter", f"""
+with z as (select agent_id, ts_s, {_ZONED} as shown from lbs_event)
+select 'closed' as kind, agent_id, shown from z where ts_s between '2024-01-05 00:00:00' and '2024-01-20 12:00:00'
+union all select 'open' as kind, agent_id, shown from z where ts_s >= '2024-01-05 00:00:00'""")
 def p9(t):
-    paths = T.build_trajectories(updates(t))
-    closed = filters.filter_updates(paths, "2024-01-05 00:00:00", "2024-01-20 12:00:00")
-    counted = closed.groupBy("agent_id").agg(F.sum(F.size("updates")).cast("long").alias("kept"))
-    later = filters.updates_between(updates(t), "2024-01-05 00:00:00").groupBy("agent_id").agg(F.count("*").alias("open_end"))
-    return counted.join(later, "agent_id", "left").select("agent_id", "kept", F.coalesce("open_end", F.lit(0)).alias("open_end"))
+    zoned = t.sql("""
+        select agent_id, cast(lon_s as double) as lon, cast(lat_s as double) as lat, case when event_id % 3 = 0
+            then concat(cast(cast(ts_s as timestamp) + interval '11' hour as string), '+1100') else concat(ts_s, '+0000') end as timestamp,
+          1 as cell_type, cgi as cell from lbs_event""")
+    closed = filters.filter_updates(T.build_trajectories(zoned), "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    closed = closed.select(F.lit("closed").alias("kind"), "agent_id", F.explode("updates").alias("u"))
+    later = filters.updates_between(zoned, "2024-01-05 11:00:00+1100").select(F.lit("open").alias("kind"), "agent_id", F.col("timestamp").alias("shown"))
+    return closed.select("kind", "agent_id", F.col("u.timestamp").alias("shown")).unionByName(later)
 
 
 def _neighbours(t):
@@ -193,17 +201,15 @@ def j7(t):
 
 
 @check("j7_interval_overlap_join_keyless", """
-with e as (select event_id, date_trunc('second', ts) as ts from events)
-select a.event_id as a_id, b.event_id as b_id, cast(epoch(least(a.ts + interval 60 second, b.ts + interval 300 second)) - epoch(greatest(a.ts, b.ts)) as bigint) as overlap_s
-from e a join e b on a.ts < b.ts + interval 300 second and b.ts < a.ts + interval 60 second""")
+with e as (select event_id, date_trunc('second', ts) as ts from events),
+s as (select id, timestamp '2024-01-01 00:00:00' + (id % 43200) * interval 1 minute as in_ts, timestamp '2024-01-01 00:05:00' + (id % 43200) * interval 1 minute as out_ts from stay_interval)
+select e.event_id, s.id as stay_id, cast(epoch(least(e.ts + interval 60 second, s.out_ts)) - epoch(greatest(e.ts, s.in_ts)) as bigint) as overlap_s
+from e join s on e.ts < s.out_ts and s.in_ts < e.ts + interval 60 second""")
 def j7_keyless(t):
-    def spans(prefix, seconds):
-        return t.sql(f"""
-            select event_id as {prefix}_id, date_trunc('second', ts) as {prefix}_in,
-              date_trunc('second', ts) + interval '{seconds}' second as {prefix}_out from events""")
-
-    pairs = intervals.overlap_join(spans("a", 60), spans("b", 300), ("a_in", "a_out"), ("b_in", "b_out"))
-    return pairs.select("a_id", "b_id", "overlap_s")
+    events = t.sql("select event_id, date_trunc('second', ts) as a_in, date_trunc('second', ts) + interval '60' second as a_out from events")
+    stays_ = t.sql("select id as stay_id, timestamp '2024-01-01 00:00:00' + interval '1' minute * (id % 43200) as b_in, timestamp '2024-01-01 00:05:00' + interval '1' minute * (id % 43200) as b_out from stay_interval")
+    pairs = intervals.overlap_join(events, stays_, ("a_in", "a_out"), ("b_in", "b_out"))
+    return pairs.select("event_id", "stay_id", "overlap_s")
 
 
 @check("j8_distinct_dim_join", _ROUTE + """
@@ -216,7 +222,7 @@ def j8(t):
 # ---------------------------------------------------------------- aggregations
 
 
-@check("a1_collect_list", "select agent_id, cast(0 as bigint) as part, string_agg(geo_unit_id, ';' order by geo_unit_id) as geo_units from staypoint group by agent_id")
+@check("a1_collect_list", "select agent_id, floor(split_part(geo_unit_id, '_', 4)::double / 0.1)::bigint as tile_lon, floor(split_part(geo_unit_id, '_', 5)::double / 0.1)::bigint as tile_lat, string_agg(geo_unit_id, ';' order by geo_unit_id) as geo_units from staypoint group by all")
 def a1(t):
     return M.visited_units(t["staypoint"]).withColumn("geo_units", F.array_join("geo_units", ";"))
 
@@ -290,9 +296,9 @@ def a4_weighted(t):
 _PATH = "string_agg(cast(lon_s::double as varchar) || ',' || cast(lat_s::double as varchar) || ',' || ts_s || ',1,' || cgi, ';' order by ts_s, lon_s::double, lat_s::double, cgi)"
 
 
-@check("a5_build_trajectory", f"select agent_id, cast(0 as bigint) as part, agent_id || ';' || {_PATH} as value from lbs_event group by agent_id")
+@check("a5_build_trajectory", f"select agent_id, substr(ts_s, 1, 10) as day, agent_id || ';' || {_PATH} as value from lbs_event group by agent_id, day")
 def a5(t):
-    return T.build_trajectories(updates(t)).select("agent_id", "part", format_trajectories().alias("value"))
+    return T.build_trajectories(updates(t)).select("agent_id", "day", format_trajectories().alias("value"))
 
 
 @check("a6_count_distinct", f"""
@@ -385,17 +391,17 @@ def a14(t):
 
 
 @check("a15_time_slot_group", f"""
-select agent_id, {_SLOT} || '+0000' as slot_key, cast(0 as bigint) as part, count(*)::int as n, string_agg(ts_s, ';' order by ts_s) as times from lbs_event group by agent_id, {_SLOT}""")
+select agent_id, {_SLOT} || '+0000' as slot_key, count(*)::int as n, string_agg(ts_s, ';' order by ts_s) as times from lbs_event group by agent_id, {_SLOT}""")
 def a15(t):
     groups = stays.slot_groups(updates(t), 21600)
     times = F.array_join(F.transform("updates", lambda u: u["timestamp"]), ";")
-    return groups.select("agent_id", "slot_key", "part", F.size("updates").alias("n"), times.alias("times"))
+    return groups.select("agent_id", "slot_key", F.size("updates").alias("n"), times.alias("times"))
 
 
-@check("o1_sort_in_group", f"select agent_id, {_PATH} as path from lbs_event group by agent_id")
+@check("o1_sort_in_group", f"select agent_id, substr(ts_s, 1, 10) as day, {_PATH} as path from lbs_event group by agent_id, day")
 def o1(t):
     built = T.build_trajectories(updates(t))
-    return built.select("agent_id", F.regexp_replace(format_trajectories(), "^[^;]*;", "").alias("path"))
+    return built.select("agent_id", "day", F.regexp_replace(format_trajectories(), "^[^;]*;", "").alias("path"))
 
 
 @check("o2_sort_slots", f"""
@@ -442,10 +448,10 @@ def e2(t):
 
 
 @check("e3_job_trajectories", _LOCATED + """
-select agent_id, cast(0 as bigint) as part, agent_id || ';' || string_agg(cast(new_lon as varchar) || ',' || cast(new_lat as varchar) || ',' || ts_s || ',1,' || cgi, ';' order by ts_s, new_lon, new_lat, cgi) as value
-from located where regexp_full_match(agent_id, 'A[0-9]{1,2}') group by agent_id""")
+select agent_id, substr(ts_s, 1, 10) as day, agent_id || ';' || string_agg(cast(new_lon as varchar) || ',' || cast(new_lat as varchar) || ',' || ts_s || ',1,' || cgi, ';' order by ts_s, new_lon, new_lat, cgi) as value
+from located where regexp_full_match(agent_id, 'A[0-9]*[0-4]') group by agent_id, day""")
 def e3(t):
-    return T.trajectory_lines(t["lbs_line"], t["cell_line"], id_regex="A[0-9]{1,2}")
+    return T.trajectory_lines(t["lbs_line"], t["cell_line"], id_regex="A[0-9]*[0-4]")
 
 
 @check("e4_job_cell_inventory", f"""

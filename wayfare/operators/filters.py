@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.functions.time import parse_any
+
 
 def known_home_and_work(df: DataFrame, home: str = "home", work: str = "work", unknown: str = "NA") -> DataFrame:
     """Rows with both places known; nulls go as well."""
@@ -17,18 +19,27 @@ def full_match(column: Column | str, pattern: str) -> Column:
     return c.rlike(rf"\A(?:{pattern})\z")
 
 
-def updates_between(df: DataFrame, start: str, end: str | None = None, column: str = "timestamp") -> DataFrame:
-    """Long-form updates from start to end, both included."""
-    kept = df.where(F.col(column) >= start)
-    return kept if end is None else kept.where(F.col(column) <= end)
+def _instant(text: Column | str, tz: str) -> Column:
+    return parse_any(F.lit(text) if isinstance(text, str) else text, tz)
+
+
+def updates_between(df: DataFrame, start: str, end: str | None = None, column: str = "timestamp", tz: str = "UTC") -> DataFrame:
+    """Long-form updates from start to end, both included, compared as instants; ``tz`` is the zone of times without one.
+
+    Updates whose time cannot be read go.
+    """
+    at = _instant(F.col(column), tz)
+    kept = at >= _instant(start, tz)
+    return df.where(kept if end is None else kept & (at <= _instant(end, tz)))
 
 
-def filter_updates(df: DataFrame, start: str, end: str | None = None, column: str = "updates") -> DataFrame:
-    """Nested updates from start to end, both included; a trajectory stays even when none is left."""
+def filter_updates(df: DataFrame, start: str, end: str | None = None, column: str = "updates", tz: str = "UTC") -> DataFrame:
+    """Nested updates from start to end, as ``updates_between``; a trajectory stays even when none is left."""
 
     def wanted(u: Column) -> Column:
-        after = u["timestamp"] >= start
-        return after if end is None else after & (u["timestamp"] <= end)
+        at = _instant(u["timestamp"], tz)
+        after = at >= _instant(start, tz)
+        return after if end is None else after & (at <= _instant(end, tz))
 
     return df.withColumn(column, F.filter(column, wanted))
 

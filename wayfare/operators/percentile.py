@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wayfare.operators.parts import join_null_safe
+from wayfare.operators.joins import join_null_safe
 
 _STEPS_PER_OCTAVE = 64
 _OCTAVES = 1100

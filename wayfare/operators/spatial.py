@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import geometry as G
 from wayfare.functions import polygon as P
-from wayfare.operators.parts import bounded_groups
 from wayfare.operators.tiles import cover_level, levels_in, tile_of, tiles_at
-from wayfare.session import materialize
 
 _REL_TOLERANCE = 1e-9
 
@@ -190,12 +190,10 @@ def with_geodesic(df: DataFrame, a_wkt: str, b_wkt: str, out: str = "distance_m"
     return df.withColumn(out, P.geodesic_distance_wkt(F.col(a_wkt), F.col(b_wkt)))
 
 
-def coverage_lists(
-    pairs: DataFrame, cell: str, area: str, percentage: str = "percentage", max_areas: int = 1_000_000
-) -> DataFrame:
-    """Per cell a JSON array of its areas and their shares, sorted by area; above ``max_areas`` in parts."""
-    item = pairs.select(cell, F.col(area).alias("geoUnit"), F.col(percentage).alias("percentage"))
-    # The pairs are counted and then gathered; the join behind them must not run twice.
-    grouped = bounded_groups(materialize(item, "coverage"), [cell], ["geoUnit"], max_areas)
-    listed = F.array_sort(F.collect_list(F.struct("geoUnit", "percentage")))
-    return grouped.groupBy(cell, "part").agg(F.to_json(listed).alias("coverage"))
+def coverage_lists(pairs: DataFrame, cell: str, area: str, percentage: str = "percentage", by: Sequence[str] = ()) -> DataFrame:
+    """JSON arrays of areas and their shares, sorted by area: one for each cell and value of ``by``.
+
+    ``by`` names columns that keep a list small whatever the number of areas, such as the tile of the area.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(area).alias("geoUnit"), F.col(percentage).alias("percentage"))))
+    return pairs.groupBy(cell, *by).agg(F.to_json(listed).alias("coverage"))

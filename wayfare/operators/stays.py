@@ -10,7 +10,6 @@ from pyspark.sql import Window
 
 from wayfare.functions.geo import haversine
 from wayfare.functions.time import floor_time, format_offset_ts, parse_any
-from wayfare.operators.parts import bounded_groups
 
 SLOT_SECONDS = 300
 
@@ -26,19 +25,12 @@ def slot_groups(
     seconds: int = SLOT_SECONDS,
     tz: str = "UTC",
     fields: Sequence[str] = ("lon", "lat", "timestamp", "cell_type", "cell"),
-    max_updates: int = 1_000_000,
 ) -> DataFrame:
     """Updates of each agent by slot, in order of time; ``slot_key`` is the slot's start with its offset."""
     slotted = with_slot(updates.select("agent_id", *fields), seconds, tz)
-    order = ["at", *fields]
-    parted = bounded_groups(slotted, ["agent_id", "slot"], order, max_updates, F.unix_timestamp("at"))
-    gathered = parted.groupBy("agent_id", "slot", "part").agg(
-        F.array_sort(F.collect_list(F.struct(*order))).alias("_u")
-    )
+    gathered = slotted.groupBy("agent_id", "slot").agg(F.array_sort(F.collect_list(F.struct("at", *fields))).alias("_u"))
     bare = F.transform("_u", lambda u: F.struct(*[u[f].alias(f) for f in fields]))
-    return gathered.select(
-        "agent_id", "slot", format_offset_ts("slot", tz).alias("slot_key"), "part", bare.alias("updates")
-    )
+    return gathered.select("agent_id", "slot", format_offset_ts("slot", tz).alias("slot_key"), bare.alias("updates"))
 
 
 def sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

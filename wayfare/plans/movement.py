@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.geo import grid_distance, home_work_distance, movement_index
+from wayfare.functions.geo import grid_distance, grid_to_coord, home_work_distance, movement_index
 from wayfare.operators.filters import known_home_and_work
-from wayfare.operators.parts import bounded_groups
 from wayfare.operators.percentile import weighted_summary
 
 MIN_HOME_WORK_M = 1000
@@ -32,11 +31,15 @@ def repeat_by_weight(weights: DataFrame) -> DataFrame:
     return weights.where(weight_number() > 0).select(F.explode(times).alias("agent_id"))
 
 
-def visited_units(visits: DataFrame, max_units: int = 1_000_000) -> DataFrame:
-    """Visited areas per agent as a sorted list, repeats kept and nulls left out; long lists come in parts."""
+def visited_units(visits: DataFrame, tile: float = 0.1) -> DataFrame:
+    """Visited areas per agent and tile (squares of ``tile`` degrees) as a sorted list, repeats kept and nulls left out.
+
+    Areas whose id holds no coordinates share the tile without numbers.
+    """
     known = visits.select("agent_id", "geo_unit_id").where(F.col("geo_unit_id").isNotNull())
-    parted = bounded_groups(known, ["agent_id"], ["geo_unit_id"], max_units)
-    return parted.groupBy("agent_id", "part").agg(F.array_sort(F.collect_list("geo_unit_id")).alias("geo_units"))
+    tiles = {f"tile_{c}": F.floor(grid_to_coord("geo_unit_id", c) / F.lit(tile)).cast("long") for c in ("lon", "lat")}
+    gathered = known.withColumns(tiles).groupBy("agent_id", *tiles)
+    return gathered.agg(F.array_sort(F.collect_list("geo_unit_id")).alias("geo_units"))
 
 
 def radius_from_home(visits: DataFrame, homes: DataFrame) -> DataFrame:

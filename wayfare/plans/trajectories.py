@@ -1,4 +1,4 @@
-"""Location events to one ordered trajectory per agent."""
+"""Location events to ordered trajectories of agents, day by day."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from wayfare.functions.geo import CELL_TOWER
 from wayfare.functions.time import format_plain
 from wayfare.operators.filters import full_match
 from wayfare.operators.lookup import locate_events
-from wayfare.operators.parts import bounded_groups
 from wayfare.sources.events import EventLayout, parse_cells, parse_events
 from wayfare.sources.trajectories import UPDATE_FIELDS, format_trajectories
 
@@ -26,42 +25,30 @@ def event_updates(events: DataFrame) -> DataFrame:
     )
 
 
-def build_trajectories(
-    updates: DataFrame, max_updates: int = 1_000_000, sizes: DataFrame | None = None
-) -> DataFrame:
-    """``agent_id``, ``part`` and the ordered ``updates``.
+def build_trajectories(updates: DataFrame) -> DataFrame:
+    """``agent_id``, ``day`` and the ordered ``updates`` of that day.
 
-    Updates of equal time follow their other fields. An agent with more than ``max_updates`` continues in the next
-    part; parts follow one another in time. ``sizes`` is as for ``bounded_groups``.
+    A day (the date in the update's own text) is the unit of a row at every size. Updates of equal time follow their
+    other fields, and days follow one another, so an agent's rows by day are its whole path.
     """
     order = ("timestamp", "lon", "lat", "cell_type", "cell")
-    long = updates.select("agent_id", *order)
-    parted = bounded_groups(long, ["agent_id"], order, max_updates, F.substring("timestamp", 1, 16), sizes)
-    gathered = parted.groupBy("agent_id", "part").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_u"))
+    daily = updates.select("agent_id", F.substring("timestamp", 1, 10).alias("day"), *order)
+    gathered = daily.groupBy("agent_id", "day").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_u"))
     arranged = F.transform("_u", lambda u: F.struct(*[u[f].alias(f) for f in UPDATE_FIELDS]))
-    return gathered.select("agent_id", "part", arranged.alias("updates"))
+    return gathered.select("agent_id", "day", arranged.alias("updates"))
 
 
 def located_updates(
     event_lines: DataFrame, cells: DataFrame, layout: EventLayout = EventLayout(), id_regex: str = ".*"
 ) -> DataFrame:
     """Event lines to updates: parse, place by cell, keep agents whose whole id matches."""
-    return event_updates(locate_events(_wanted_events(event_lines, layout, id_regex), cells))
-
-
-def _wanted_events(event_lines: DataFrame, layout: EventLayout, id_regex: str) -> DataFrame:
-    return parse_events(event_lines, layout).where(full_match("agent_id", id_regex))
+    wanted = parse_events(event_lines, layout).where(full_match("agent_id", id_regex))
+    return event_updates(locate_events(wanted, cells))
 
 
 def trajectory_lines(
-    event_lines: DataFrame,
-    cell_lines: DataFrame,
-    layout: EventLayout = EventLayout(),
-    id_regex: str = ".*",
-    max_updates: int = 1_000_000,
+    event_lines: DataFrame, cell_lines: DataFrame, layout: EventLayout = EventLayout(), id_regex: str = ".*"
 ) -> DataFrame:
-    """The whole job: event and cell lines in, trajectory text out (column ``value``)."""
+    """The whole job: event and cell lines in, trajectory text of each agent and day out (column ``value``)."""
     updates = located_updates(event_lines, parse_cells(cell_lines), layout, id_regex)
-    # Placing events by cell only ever drops some, so the parsed events are enough to size the agents.
-    sizes = _wanted_events(event_lines, layout, id_regex).select("agent_id")
-    return build_trajectories(updates, max_updates, sizes).select("agent_id", "part", format_trajectories().alias("value"))
+    return build_trajectories(updates).select("agent_id", "day", format_trajectories().alias("value"))

@@ -43,7 +43,7 @@ def _quoted(text: str) -> str:
 def parse_events(lines: DataFrame, layout: EventLayout = EventLayout(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Pipe-separated lines (column ``value``) to events.
 
-    Coordinates that are no numbers become null. Lines that are too short or have no valid time are dropped.
+    Coordinates that are no numbers become null; ``location`` keeps the text of both as it stands. Lines that are too short or have no valid time are dropped.
     ``keep`` names further input columns to carry along.
     """
     fields = {
@@ -54,6 +54,7 @@ def parse_events(lines: DataFrame, layout: EventLayout = EventLayout(), keep: tu
         "event_type": f"p[{layout.event_type}]",
         "lat": f"try_cast(p[{layout.lat}] as double)",
         "lon": f"try_cast(p[{layout.lon}] as double)",
+        "location": f"concat(p[{layout.lat}], ',', p[{layout.lon}])",
         "imei": f"p[{layout.imei}]",
     }
     event = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
@@ -62,12 +63,8 @@ def parse_events(lines: DataFrame, layout: EventLayout = EventLayout(), keep: tu
     rows = f"filter(transform({wide}, p -> {event}), e -> e.event_time is not null)"
     parsed = lines.select(*keep, F.inline(F.expr(rows)))
     cell = split_cgi(F.col("cgi"))
-    located = F.when(
-        F.col("lat").isNotNull() & F.col("lon").isNotNull(),
-        F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")),
-    )
     complete = parsed.withColumns(
-        {"location": located, "lac": cell["lac"], "cell_id": cell["cell_id"], "grid_id": F.lit(0)}
+        {"lac": cell["lac"], "cell_id": cell["cell_id"], "grid_id": F.lit(0)}
     )
     return complete.select(*keep, *[f.name for f in EVENT.fields])
 
