@@ -249,3 +249,29 @@ def test_trajectory_text(spark):
     assert filters.filter_updates(parsed, "2021").first().updates == []
     with pytest.raises(Exception, match="malformed update"):
         parse_trajectories(spark.createDataFrame([("A;103.5,x,t,1,c",)], "value string")).collect()
+
+
+def test_cells_cover_areas_without_surface_only_where_they_lie(spark):
+    cell = "POLYGON ((0 0, 4 0, 4 1, 1 1, 1 4, 0 4, 0 0))"
+    areas = ["POLYGON ((2 2, 3 3, 2 2, 2 2))", "POLYGON ((0.2 0.2, 0.8 0.8, 0.2 0.2, 0.2 0.2))", "POLYGON ((0.5 3, 3 0.5, 0.5 3, 0.5 3))", "POLYGON ((0 0, 1 0, 1 1, 0 0))"]
+    cells = spark.createDataFrame([("l", cell)], "cell string, cell_wkt string")
+    found = spatial.spatial_join(cells, spark.createDataFrame(list(enumerate(areas)), "area int, area_wkt string"), "cell_wkt", "area_wkt")
+    assert sorted(r.area for r in found.collect()) == [1, 3]
+
+
+def test_stays_leave_out_updates_without_coordinates(spark):
+    rows = [("a", None, 10.0), ("a", 5.0, None), ("a", None, None)] + [("a", lat, 10.0) for lat in (10.0, 11.0, 12.0)]
+    df = spark.createDataFrame(rows, "agent_id string, lat double, lon double").withColumn("at", F.timestamp_seconds(F.lit(1)))
+    for centroid in ("mean", "median"):
+        row = stays.clusters(df, ["agent_id"], 1000, centroid).first()
+        assert row.n == 3 and row.centre_lat == pytest.approx(11, abs=0.01)
+
+
+def test_percentiles_with_nan_and_of_close_values(spark):
+    odd = spark.createDataFrame([(v,) for v in (100.0, 200.0, 300.0, float("nan"))], "v double")
+    assert percentile.nearest_rank_percentile(odd, "v", 0.5).first().percentile == 200
+    close = spark.range(20_000).selectExpr("id % 3 as k", "1704067200 + id * 7 % 2592000 as v")
+    found = {r.k: r.percentile for r in percentile.nearest_rank_percentile(close, "v", 0.3, ["k"]).collect()}
+    for k in range(3):
+        values = sorted(1704067200 + i * 7 % 2592000 for i in range(20_000) if i % 3 == k)
+        assert found[k] == values[math.ceil(0.3 * len(values)) - 1]

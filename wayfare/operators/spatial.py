@@ -91,7 +91,11 @@ def spatial_join(
     )
     least = F.least("cell_area", "area_area") * _REL_TOLERANCE
     if predicate == "covers":
-        found = measured.where(F.col("area_area") - F.col("common_area") <= F.col("area_area") * _REL_TOLERANCE)
+        share = F.col("area_area") - F.col("common_area") <= F.col("area_area") * _REL_TOLERANCE
+        # An area without surface has no share to compare; its lines are tested against the cell.
+        flat = F.col("area_area") == 0
+        inside = P.relation_udf("covers")(F.when(flat, F.col(cell_wkt)), F.when(flat, F.col(area_wkt)))
+        found = measured.withColumn("_inside", inside).where(F.when(flat, F.col("_inside")).otherwise(share))
         return found.select(*result)
     overlap = F.col("common_area") > least
     touch = P.boundaries_touch(F.when(~overlap, F.col("_a_boundary")), F.when(~overlap, F.col("_b_boundary")))

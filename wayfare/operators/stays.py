@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from wayfare.functions.geo import haversine
 from wayfare.functions.time import floor_time, format_offset_ts, parse_any
+from wayfare.operators.joins import join_null_safe
+from wayfare.operators.percentile import weighted_summary
 
 SLOT_SECONDS = 300
 
@@ -55,40 +56,32 @@ def clusters(
 ) -> DataFrame:
     """One row per group: bounds, size, centre, radius and status.
 
-    Updates at one place are summed up before anything is grouped, so a group costs as much as it has places.
-    The median centre takes the middle value of each axis on its own.
+    Updates without both coordinates are left out. Updates at one place are summed up before anything is grouped. The mean
+    comes from sums of each group, and the radius from the largest distance to the centre that is joined back, so
+    nothing holds or orders a whole group. The median centre takes the middle value of each axis on its own.
     """
     if centroid not in ("mean", "median"):
         raise ValueError("centroid must be mean or median")
     keys = list(keys)
-    places = updates.groupBy(*keys, "lat", "lon").agg(
+    located = updates.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    places = located.groupBy(*keys, "lat", "lon").agg(
         F.count(F.lit(1)).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last")
     )
-    x, y, z = sphere(F.col("lat"), F.col("lon"))
-    placed = places.withColumns({"_x": x, "_y": y, "_z": z})
-    group = Window.partitionBy(*keys)
-    total = F.sum("_n").over(group)
-    if centroid == "mean":
-        centre = [F.sum(F.col(a) * F.col("_n")).over(group) / total for a in ("_x", "_y", "_z")]
-        placed = placed.withColumns(dict(zip(("_cx", "_cy", "_cz"), centre)))
-    else:
-        for axis in ("_x", "_y", "_z"):
-            running = F.sum("_n").over(group.orderBy(axis).rangeBetween(Window.unboundedPreceding, 0))
-            placed = placed.withColumn(f"_run{axis}", running)
-        placed = placed.withColumn("_half", F.ceil(total / 2))
-        middle = [F.min(F.when(F.col(f"_run{a}") >= F.col("_half"), F.col(a))).over(group) for a in ("_x", "_y", "_z")]
-        placed = placed.withColumns(dict(zip(("_cx", "_cy", "_cz"), middle)))
-    lat, lon = from_sphere(F.col("_cx"), F.col("_cy"), F.col("_cz"))
-    centred = placed.withColumns({"_clat": lat, "_clon": lon})
-    away = haversine(F.col("lat"), F.col("lon"), F.col("_clat"), F.col("_clon"))
-    measured = centred.groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
-        F.min("_first").alias("first_at"),
-        F.max("_last").alias("last_at"),
-        F.first("_clat").alias("centre_lat"),
-        F.first("_clon").alias("centre_lon"),
-        F.max(away).alias("radius"),
+    axes = dict(zip(("_x", "_y", "_z"), sphere(F.col("lat"), F.col("lon"))))
+    sums = [F.sum("_n").alias("n"), F.min("_first").alias("first_at"), F.max("_last").alias("last_at")]
+    means = [(F.sum(c * F.col("_n")) / F.sum("_n")).alias(a) for a, c in axes.items()] if centroid == "mean" else []
+    groups = places.groupBy(*keys).agg(*sums, *means)
+    if centroid == "median":
+        for axis, place in axes.items():
+            middle = weighted_summary(places.select(*keys, place.alias(axis), "_n"), keys, axis, "_n")
+            groups = join_null_safe(groups, middle.select(*keys, F.col("percentile").alias(axis)), keys)
+    lat, lon = from_sphere(F.col("_x"), F.col("_y"), F.col("_z"))
+    centres = groups.select(*keys, lat.alias("centre_lat"), lon.alias("centre_lon"))
+    away = haversine(F.col("lat"), F.col("lon"), F.col("centre_lat"), F.col("centre_lon"))
+    reach = join_null_safe(places, centres, keys).groupBy(*keys).agg(
+        F.first("centre_lat").alias("centre_lat"), F.first("centre_lon").alias("centre_lon"), F.max(away).alias("radius")
     )
+    measured = join_null_safe(groups.drop("_x", "_y", "_z"), reach, keys)
     return measured.withColumn(
         "duration_s", F.unix_timestamp("last_at") - F.unix_timestamp("first_at")
     ).withColumn("status", stay_status("radius", distance))
