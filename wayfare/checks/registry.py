@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.checks.fixtures import Inputs, with_views
-from wayfare.session import ensure_utc
+from wayfare.session import ensure_utc, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def check(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ensure_utc(spark)
+            ensure_utc(ship_package(spark))
             return fn(Inputs(spark, folder))
 
         run.__name__ = name

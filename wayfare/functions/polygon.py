@@ -7,16 +7,16 @@ work on one pair at a time, after bounding boxes have thinned the pairs out on t
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.session import ship_package
+
 RELATIONS = ("contains", "within", "overlaps", "touches", "crosses", "disjoint", "intersects", "covers")
 _CHUNK = 2_000_000
 
@@ -590,11 +590,9 @@ def geodesic_distance_wkt(a: Column, b: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Make the Python-backed functions callable from SQL."""
+    ship_package(spark)
     for relation in RELATIONS:
         spark.udf.register(f"geo_{relation}", relation_udf(relation))
     spark.udf.register("geo_distance", planar_distance)
     spark.udf.register("geo_geodesic", geodesic_distance)
 
-
-# The functions above travel with the plan: executors need numpy and pandas, but no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

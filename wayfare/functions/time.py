@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 OFFSET_FORMAT = "yyyy-MM-dd HH:mm:ssZ"
 PLAIN_FORMAT = "yyyy-MM-dd HH:mm:ss"
-LENIENT_FORMAT = "yyyy-MM-dd['T'][ ]HH:mm:ss[.][,][SSS][SS][S]"
+# Fixed value: the form of event times.
+LENIENT_FORMAT = "yyyy-MM-dd['T'][' ']HH:mm:ss[.][,][SSS][SS][S]"
 
 
 def _col(c: Column | str) -> Column:

@@ -66,28 +66,6 @@ CELL_INVENTORY = T.StructType(
     [T.StructField(f.name, _INVENTORY_TYPES.get(f.name, f.dataType)) for f in _strings(_INVENTORY_COLUMNS)]
 )
 
-# The columns of a denormalised link-travel table, in file order.
-_LINK_TRAVEL_COLUMNS = """
-agent_gender
-agent_home_gcc agent_home_gcc_name agent_home_poa agent_home_sa1 agent_home_sa2 agent_home_sa2_name
-agent_home_sa3 agent_home_sa3_name agent_home_sa4 agent_home_sa4_name agent_home_state agent_home_state_name
-agent_id
-agent_work_gcc agent_work_gcc_name agent_work_poa agent_work_sa1 agent_work_sa2 agent_work_sa2_name
-agent_work_sa3 agent_work_sa3_name agent_work_sa4 agent_work_sa4_name agent_work_state agent_work_state_name
-agent_year_of_birth country_code country_name
-destination_building destination_gcc destination_gcc_name destination_poa destination_sa1 destination_sa2
-destination_sa2_name destination_sa3 destination_sa3_name destination_sa4 destination_sa4_name
-destination_state destination_state_name destination_type
-distance duration end_time
-origin_building origin_gcc origin_gcc_name origin_poa origin_sa1 origin_sa2 origin_sa2_name origin_sa3
-origin_sa3_name origin_sa4 origin_sa4_name origin_state origin_state_name origin_type
-start_time direction link_id mode trip_end_time trip_start_time
-"""
-_LINK_TRAVEL_TYPES = {"distance": T.DoubleType(), "duration": T.DecimalType(38, 0)}
-LINK_TRAVEL = T.StructType(
-    [T.StructField(f.name, _LINK_TRAVEL_TYPES.get(f.name, f.dataType)) for f in _strings(_LINK_TRAVEL_COLUMNS)]
-)
-
 LEG = T.StructType(
     [
         T.StructField("start_time", T.StringType()),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,20 @@ def build_session(app_name: str = "wayfare", master: str | None = None, **conf:
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python of the executors, once for an application, so that none needs an installed copy."""
+    context, here = spark.sparkContext, Path(__file__).resolve().parent
+    if not getattr(context, f"_{here.name}_shipped", False):
+        archive = Path(tempfile.mkdtemp(prefix=f"{here.name}-code-")) / f"{here.name}.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for file in sorted(here.rglob("*.py")):
+                packed.write(file, file.relative_to(here.parent))
+        context.addPyFile(str(archive))
+        setattr(context, f"_{here.name}_shipped", True)
+    return spark
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:

@@ -6,38 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _mode(overwrite: bool) -> str:
-    return "overwrite" if overwrite else "error"
-
-
 def _files(df: DataFrame, single_file: bool) -> DataFrame:
     return df.repartition(1) if single_file else df
 
 
-def write_csv(
-    df: DataFrame,
-    path: str,
-    delimiter: str = ",",
-    header: bool = True,
-    overwrite: bool = True,
-    single_file: bool = False,
-) -> None:
+def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", header: bool = True, mode: str = "overwrite", single_file: bool = False) -> None:
     """Delimited files. ``single_file`` sends everything through one task; it suits small results only."""
-    writer = _files(df, single_file).write.mode(_mode(overwrite))
-    writer.option("sep", delimiter).option("header", header).csv(path)
+    _files(df, single_file).write.mode(mode).option("sep", delimiter).option("header", header).csv(path)
 
 
-def append_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def append_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     _files(df, single_file).write.mode("append").csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, overwrite: bool = False, single_file: bool = False) -> None:
-    _files(df, single_file).write.mode(_mode(overwrite)).parquet(path)
+def write_parquet(df: DataFrame, path: str, *, mode: str = "error", single_file: bool = False) -> None:
+    _files(df, single_file).write.mode(mode).parquet(path)
 
 
-def write_text(df: DataFrame, column: str | Column, path: str, overwrite: bool = False) -> None:
+def write_text(df: DataFrame, column: str | Column, path: str, *, mode: str = "error") -> None:
     value = F.col(column) if isinstance(column, str) else column
-    df.select(value.alias("value")).write.mode(_mode(overwrite)).text(path)
+    df.select(value.alias("value")).write.mode(mode).text(path)
 
 
 def append_metric(df: DataFrame, path: str) -> None:
