@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from wayfare.llm.tables import hold
+from wayfare.session import ensure_utc, ship_package
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled documents, does not call toxic."""
-    model = toxicity.fit_from_tables(spark, sf_dir)
+    model = toxicity.fit_from_tables(ship_package(spark), sf_dir)
     scored = toxicity.score(docs, model)
     return scored.where(~F.col("toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -28,6 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of fingerprints that links connect, the document with the smallest id."""
+    ship_package(spark)
     return simhash.simhash_dedup(docs)
 
 
@@ -40,6 +42,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A row of tokens for each place of the sequence, with digests of the ids and of what they decode to."""
     import public_tokenizers
 
+    ship_package(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
     found = byte_bpe.decode(encoded, path)
@@ -63,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ensure_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = hold(stage(spark, docs, sf_dir), name)
     return docs

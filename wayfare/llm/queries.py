@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import byte_bpe, compact_windows, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
-from wayfare.session import ensure_utc
+from wayfare.session import ensure_utc, ship_package
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return query(ensure_utc(spark), folder)
+        return query(ensure_utc(ship_package(spark)), folder)
 
     run.__name__ = query.__name__
     return run
