@@ -60,28 +60,28 @@ def radius_from_home(visits: DataFrame, homes: DataFrame) -> DataFrame:
 def agent_index(
     visits: DataFrame, homework: DataFrame, hierarchy: DataFrame, levels: Sequence[str], min_distance: float = MIN_HOME_WORK_M
 ) -> DataFrame:
-    """Movement index of each agent with the areas its home belongs to."""
-    known = (
-        known_home_and_work(homework)
-        .select("agent_id", "home", "work")
-        .withColumn("hw_dist", home_work_distance("home", "work"))
-        .where(F.col("hw_dist") >= min_distance)
-    )
+    """Movement index of each agent, home and work with the areas the home belongs to; ``copies`` counts equal rows of ``homework``.
+
+    Both tables are read once and collapse before they meet: visits to distinct places, homes to distinct pairs.
+    """
+    pairs = known_home_and_work(homework).groupBy("agent_id", "home", "work").agg(F.count(F.lit(1)).alias("copies"))
+    known = pairs.withColumn("hw_dist", home_work_distance("home", "work")).where(F.col("hw_dist") >= min_distance)
+    places = visits.select("agent_id", "geo_unit_id").where(F.col("geo_unit_id").isNotNull()).distinct()
+    farthest = F.max(grid_distance("geo_unit_id", "home")).alias("max_dis")
+    reach = places.join(known, "agent_id").groupBy("agent_id", "home", "work", "hw_dist", "copies").agg(farthest)
     dimension = hierarchy.select(F.col("geo_hierarchy_base_id").alias("home"), *levels)
-    radius = radius_from_home(visits, known)
     return (
-        known.join(radius, ["agent_id", "home"])
-        .join(dimension, "home")
+        reach.join(dimension, "home")
         .withColumn("index", movement_index("max_dis", "hw_dist"))
         .where(F.col("index").isNotNull())
-        .select("agent_id", "home", "work", "max_dis", "hw_dist", "index", *levels)
+        .select("agent_id", "home", "work", "max_dis", "hw_dist", "index", "copies", *levels)
     )
 
 
 def weighted_index(index: DataFrame, weights: DataFrame) -> DataFrame:
-    """The index with each agent's weight; agents without a positive weight go."""
-    known = weights.select("agent_id", weight_number().alias("w")).where(F.col("w") > 0)
-    return index.join(known, "agent_id")
+    """The index with each agent's weight ``w``, times its copies; agents without a positive weight go."""
+    known = weights.select("agent_id", weight_number().alias("_w")).where(F.col("_w") > 0)
+    return index.join(known, "agent_id").withColumn("w", F.col("_w") * F.col("copies")).drop("_w")
 
 
 def by_level(weighted: DataFrame, levels: Sequence[str], date: str) -> DataFrame:
