@@ -133,3 +133,21 @@ def test_stream_equals_batch_on_closed_slots(spark, tmp_path):
     batch = {(r.agent_id, r.slot): (r.n, round(r.centre_lat, 9)) for r in slot_centroids(df, "at").collect()}
     assert got and got == {k: batch[k] for k in got}
     assert len(batch) - len(got) <= 9
+
+
+def test_geometry_text_of_every_type(spark):
+    texts = {
+        "POINT (1 -2.5)": "[1,-2.5]",
+        "MULTIPOINT (1 1, 2 2)": "[[1,1],[2,2]]",
+        "LINESTRING (0 0, 1e3 1)": "[[0,0],[1e3,1]]",
+        "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))": "[[[0,0],[1,1]],[[2,2],[3,3]]]",
+        "POLYGON ((0 0, 1 0, 1 1, 0 0))": "[[[0,0],[1,0],[1,1],[0,0]]]",
+        "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))": "[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]",
+        "POLYGON EMPTY": "[]",
+    }
+    odd = {"MULTIPOINT ((1 1), (2 2))": "[[1,1],[2,2]]", "point(1 2 3)": "[1,2]", "GEOMETRYCOLLECTION (POINT (1 1))": None, "no shape": None, None: None}
+    df = spark.createDataFrame([(t,) for t in [*texts, *odd]], "w string")
+    got = {r.w: (r.j, r.b) for r in df.withColumn("j", geojson.wkt_to_geojson("w")).withColumn("b", geojson.geojson_to_wkt("j")).collect()}
+    for w, coordinates in (texts | odd).items():
+        assert (got[w][0] and json.dumps(json.loads(got[w][0])["coordinates"])) == (coordinates and json.dumps(json.loads(coordinates))), w
+    assert all(got[w][1].replace("1000.0", "1e3") == w for w in texts), got

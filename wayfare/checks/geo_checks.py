@@ -112,10 +112,11 @@ select id, concat('MULTIPOLYGON (((', cast(x0 as string), ' ', cast(y0 as string
 from box"""
 
 
-@check("g9_polygon_area", "select id, 63.0 + (y1 - y0) / 2.0 as holed_area, cast((x1 - x0) * (y1 - y0) as double) as box_area from box")
+@check("g9_polygon_area", "select id, 63.0 + (y1 - y0) / 2.0 as holed_area, cast((x1 - x0) * (y1 - y0) as double) as box_area, 0.0::double as line_area from box")
 def g9(t):
     holed = t.sql(_HOLED).select("id", Y.wkt_area("wkt").alias("holed_area"))
-    return holed.join(t["box_wkt"].select("id", Y.wkt_area("wkt").alias("box_area")), "id")
+    line = t["box_wkt"].select("id", "wkt", F.concat(F.lit("LINESTRING "), F.regexp_extract("wkt", r"\((\(.*\))\)", 1)).alias("line"))
+    return holed.join(line.select("id", Y.wkt_area("wkt").alias("box_area"), Y.wkt_area("line").alias("line_area")), "id")
 
 
 _PAIR_COMMON = "(greatest(0, least(ax1, bx1) - greatest(ax0, bx0)) * greatest(0, least(ay1, by1) - greatest(ay0, by0)))"

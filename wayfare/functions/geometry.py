@@ -66,7 +66,9 @@ def area(polygons: str) -> Column:
 
 
 def wkt_area(wkt: str) -> Column:
-    return F.expr(area_sql(polygons_sql(wkt)))
+    """Area of a WKT text; points and lines have none."""
+    flat = f"{wkt} rlike r'(?i)^\\s*(?:MULTI)?(?:POINT|LINESTRING)\\b'"
+    return F.expr(f"case when {flat} then 0D else {area_sql(polygons_sql(wkt))} end")
 
 
 def bbox(polygons: str) -> Column:
