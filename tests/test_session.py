@@ -1,5 +1,5 @@
 from wayfare.schemas import WEIGHT
-from wayfare.session import ensure_utc, materialize, scratch_path, shared_dir
+from wayfare.session import clear_scratch, ensure_utc, materialize, scratch_path, shared_dir
 
 
 def test_configured_folder_is_used(spark, tmp_path, monkeypatch):
@@ -12,10 +12,13 @@ def test_configured_folder_is_used(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(settings, "get", get)
     assert shared_dir(spark) == str(tmp_path)
-    assert scratch_path(spark, "x").startswith(str(tmp_path) + "/x-")
+    own = f"{tmp_path}/scratch-{spark.sparkContext.applicationId}"
+    assert scratch_path(spark, "x").startswith(f"{own}/x-")
     kept = materialize(spark.createDataFrame([("a", "1")], WEIGHT), "weights")
     assert [tuple(r) for r in kept.collect()] == [("a", "1")]
-    assert list(tmp_path.glob("weights-*/*.parquet"))
+    assert list(tmp_path.glob("scratch-*/weights-*/*.parquet"))
+    clear_scratch(spark)
+    assert not list(tmp_path.glob("scratch-*"))
 
 
 def test_folder_is_chosen_once_where_none_is_set(spark):
