@@ -4,8 +4,8 @@ A fingerprint has eight positional bytes. Two fingerprints that differ in at mos
 they share at least ``8 - 2 = 6`` positional bytes. Tallying single bytes would make lists of a 256th of all fingerprints; the
 index therefore keeps its postings under every choice of six positions: two fingerprints meet under a key exactly if their
 tally reaches six there, and no pair below the minimum is ever formed. A key leaves 16 bits free, which
-bounds a list of distinct fingerprints at 65,536 whatever the data, and the pairs under a key that differ in at most two of
-those bits are found by looking the 136 possible differences up (the verification), not by trying pairs.
+bounds a list of distinct fingerprints at 65,536 whatever the data. Pairs are not tried one by one: the 136 ways to differ in at most
+two free bits are looked up. For each pair found, the shared bytes are tallied and the differing bits counted.
 
 Copies collapse before the index: each distinct fingerprint is posted once. From a list only a spanning forest of its
 links leaves the task.
@@ -27,7 +27,10 @@ from wayfare.llm.components import components
 from wayfare.llm.tables import hold, low_hex, prefixed, text_of, unused
 
 SEED = 42
-POSITIONS = list(combinations(range(8), 6))
+#: Bits in which linked fingerprints may differ, and the positional bytes of eight that they must then share.
+MOST_DIFFERENT = 2
+LEAST_SHARED = 8 - MOST_DIFFERENT
+POSITIONS = list(combinations(range(8), LEAST_SHARED))
 #: Differences of the 16 free bits: one bit, or two.
 FLIPS = np.array([1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)], np.int64)
 ADDED = ["fingerprint", "component_id"]
@@ -123,9 +126,12 @@ def list_links(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarra
         hit = code[at] == other[up]
         found.append((up[hit], at[hit]))
     a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    root = spanning(len(code), a, b)
-    linked = np.flatnonzero(root != np.arange(len(code)))
     whole = _whole(key, rest)
+    differ = whole[a] ^ whole[b]
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # shared positional bytes
+    sure = (tally >= LEAST_SHARED) & (np.bitwise_count(differ.view(np.uint64)) <= MOST_DIFFERENT)
+    root = spanning(len(code), a[sure], b[sure])
+    linked = np.flatnonzero(root != np.arange(len(code)))
     return whole[linked], whole[root[linked]]
 
 
