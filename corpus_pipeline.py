@@ -44,8 +44,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    found = byte_bpe.decode(encoded, path)
+    found = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, round_trip=True)
     return found.select(
         "doc_id", "source", "n_tokens", "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

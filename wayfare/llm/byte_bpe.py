@@ -25,7 +25,7 @@ from wayfare.llm.tables import map_column, prefixed, text_of, unused
 
 UNKNOWN = "<unknown>"
 #: Pre-tokens a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 ADDED = ["n_tokens", "token_ids"]
 
 
@@ -127,24 +127,27 @@ def _codec(model: bytes, pieces: list[bytes], pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", round_trip: bool = False) -> DataFrame:
     """Rows with ``n_tokens`` and ``token_ids`` (binary: ids as little-endian unsigned 32-bit integers); see ``ids_of``.
 
     Existing columns of these names are replaced. A null text counts as empty, which has no tokens. Texts are encoded
     whole, however long. Repeated rows encode alike. An empty table gives no rows.
-    ``vocabulary`` is the path of a rank file, read on the driver.
+    ``vocabulary`` is the path of a rank file, read on the driver. With ``round_trip`` the ids are decoded again in the same pass, as
+    ``decode`` would, to the column ``decoded``: one Python process for a task instead of two.
     """
-    docs = prefixed(docs, ADDED)
+    added = {"n_tokens": "long", "token_ids": "binary"} | ({"decoded": "binary"} if round_trip else {})
+    docs = prefixed(docs, list(added))
     pieces = read_ranks(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast((model_bytes(pieces), pieces, pattern))
 
     def tokens(texts: pa.Array) -> list[pa.Array]:
         codec = _codec(*shipped.value)
         ids = [codec.encode(t) for t in texts.to_pylist()]
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([np.asarray(x, "<u4").tobytes() for x in ids], pa.binary())]
+        columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([np.asarray(x, "<u4").tobytes() for x in ids], pa.binary())]
+        return columns + ([pa.array([codec.decode(x) for x in ids], pa.binary())] if round_trip else [])
 
     work = unused(docs, "bpe_text")
-    return map_column(docs.withColumn(work, text_of(text_col)), work, {"n_tokens": "long", "token_ids": "binary"}, tokens)
+    return map_column(docs.withColumn(work, text_of(text_col)), work, added, tokens)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -178,5 +181,5 @@ def op5_byte_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None
 
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    found = decode(encode(docs, path, pattern or public_tokenizers.PATTERN).drop("text"), path)
+    found = encode(docs, path, pattern or public_tokenizers.PATTERN, round_trip=True)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

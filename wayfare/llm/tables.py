@@ -43,6 +43,10 @@ def low_hex(number: Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 16, "0"))
 
 
+#: Rows that ``map_column`` handles at once: what Python holds besides the incoming batch stays small.
+ROWS = 512
+
+
 def map_column(df: DataFrame, work: str, added: dict[str, str], function: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``df`` without column ``work`` and with the columns ``added`` (name to type) that ``function`` makes from it, an Arrow batch at a time."""
     keep = [c for c in df.columns if c != work]
@@ -51,7 +55,9 @@ def map_column(df: DataFrame, work: str, added: dict[str, str], function: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(work)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, *function(batch.column(at))], names=[*keep, *added])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                columns = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*columns, *function(part.column(at))], names=[*keep, *added])
 
     return df.mapInArrow(run, schema)
