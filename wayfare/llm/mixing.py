@@ -100,15 +100,13 @@ def plan_mix(
     docs = prefixed(docs, ADDED)
     names = {k: unused(docs, f"mix_{k}") for k in ("key", "bucket", "source", "tie", "start", "offset", "place")}
     carried = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
-    sized = hold(
-        docs.select(
-            *carried,
-            word_count(text_of(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")).alias(names["key"]),
-            F.xxhash64(text_of(text_col)).alias(names["tie"]),
-            F.coalesce(F.concat(F.lit("0"), F.col(f"`{source_col}`").cast("string")), F.lit("1")).alias(names["source"]),
-        ),
-        "sized",
+    # Not written in between: counting the words of a text twice costs less than storing all texts once more.
+    sized = docs.select(
+        *carried,
+        word_count(text_of(text_col)).alias("size"),
+        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")).alias(names["key"]),
+        F.xxhash64(text_of(text_col)).alias(names["tie"]),
+        F.coalesce(F.concat(F.lit("0"), F.col(f"`{source_col}`").cast("string")), F.lit("1")).alias(names["source"]),
     )
     source, key, bucket, start, place = (names[k] for k in ("source", "key", "bucket", "start", "place"))
     buckets = 1 << max(4, (sized.count() // BUCKET_ROWS).bit_length())  # the count comes from the files' footers
