@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm.endings import ENDINGS
 from wayfare.llm.tables import map_column, prefixed, text_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
@@ -134,7 +135,8 @@ def _folds() -> dict[str, str]:
 
 _FOLDS = _folds()
 _FOLDED = frozenset(_FOLDS) | frozenset(INVISIBLE)
-_NOT_LATIN = re.compile(r"[^\x00-\xac\xae-\u02ff]")  # a superset of what is folded, quick to search for
+# A superset of what is folded, quick to search for: all from U+0300 on, and the keys below.
+_MAY_FOLD = re.compile(f"[{''.join(re.escape(c) for c in sorted(_FOLDED) if c < chr(0x300))}\u0300-\U0010ffff]")
 _VALUES = {w: str(i) for line in DIGIT_WORDS for i, w in enumerate(line.split())} | {"oh": "0"}
 _WORDS = "|".join(sorted(_VALUES, key=len, reverse=True))
 
@@ -150,51 +152,67 @@ def _branching(words: list[str]) -> str:
 
 _ANY_WORD = _branching(list(_VALUES))
 _SPELLED_TRIGGER = re.compile(rf"\b{_ANY_WORD}(?:[\s,-]{{1,3}}(?:{_ANY_WORD}|dot|point|punkt|punto)){{3}}")
-_SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS}|dot|point|punkt|punto)){{6,40}}(?!\w)", re.I)
+_SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS}|dot|point|punkt|punto)){{6,}}(?!\w)", re.I)
 _SPELLED_PART = re.compile(r"\w+")
-_MASK_TRIGGER = re.compile(r"\bdot\b|[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I)
+_PLAIN_AT = re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9]")  # of lower case; begins with letters, which a search finds quickly
 _DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})"
-# Endings of addresses. Written in plain words ("look at this dot on the map") an address must have one of them.
-_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|tv|app|dev|ai|eu|us|uk|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|ie|ru|ca|au|nz|in|jp|cn|kr|br|mx|za"
+# Written in plain words ("look at this dot on the map") an address must end in a top-level domain. Behind a full stop it is written in one case, as
+# in "stay at home.It rained" a sentence begins.
+_ANY_ENDING = _branching(ENDINGS)
+_WRITTEN_ENDING = rf"(?-i:{_ANY_ENDING}|{_branching([e.upper() for e in ENDINGS])})"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _MASKED_AT = re.compile(
-    rf"(?<=[A-Za-z0-9_%+-])(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}(?=[A-Za-z0-9])|\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}(?:{_ENDINGS})\b))",
+    rf"(?<=[A-Za-z0-9_%+-])(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}(?=[A-Za-z0-9])"
+    rf"|\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,126}}?(?:{_DOT}{_ANY_ENDING}|\.{_WRITTEN_ENDING})(?![A-Za-z0-9_-])))",
     re.I,
 )
 _MASKED_DOT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){_DOT}(?=[A-Za-z0-9])", re.I)
 
 
 def fold(text: str) -> list[tuple[int, int, str]]:
-    if text.isascii() or not _NOT_LATIN.search(text) or not (present := _FOLDED.intersection(text)):
+    if text.isascii() or not _MAY_FOLD.search(text) or not (present := _FOLDED.intersection(text)):
         return []
     return [(m.start(), m.end(), _FOLDS.get(m[0], "")) for m in re.finditer(f"[{''.join(map(re.escape, sorted(present)))}]", text)]
 
 
+def _numbers(text: str, start: int, end: int, breaks: tuple[str, ...] = ("\r\n", ",")) -> list[list[tuple[int, int, str]]]:
+    """The spelled numbers of a run of words: start, end and value of each word. A run that is no number is tried by lines, then by what commas part."""
+    words = [(m.start(), m.end(), _VALUES.get(m[0].lower(), "+" if m[0].lower() == "plus" else ".")) for m in _SPELLED_PART.finditer(text, start, end)]
+    digits = "".join(v for _, _, v in words if v not in "+.")
+    dots = sum(v == "." for _, _, v in words)
+    right = dots == 3 or not dots and (8 <= len(digits) <= 15 or 16 <= len(digits) <= 19 and luhn(digits))
+    if not right:
+        for k, marks in enumerate(breaks):
+            cuts = [i for i, (a, b) in enumerate(zip(words, words[1:]), 1) if any(c in text[a[1] : b[0]] for c in marks)]
+            parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)])]
+            found = [n for p in parts for n in _numbers(text, p[0][0], p[-1][1], breaks[k + 1 :])] if cuts else []
+            if found:
+                return found
+    if len(digits) < 8 and dots != 3 or len(set(digits)) < 2:
+        return []  # too short, or one word over and over
+    return [words]
+
+
 def spell(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn spelled numbers into digits: eight digits or more, or the four parts of a network address."""
     edits = []
     if not _SPELLED_TRIGGER.search(text.lower()):
         return edits
     for run in _SPELLED.finditer(text):
-        parts = list(_SPELLED_PART.finditer(text, *run.span()))
-        values = [_VALUES.get(p[0].lower(), "+" if p[0].lower() == "plus" else ".") for p in parts]
-        dots = values.count(".")
-        if len(values) - dots < 8 and dots != 3 or len(set(values) - {"+", "."}) < 2:
-            continue  # too short, or one word over and over
-        if not dots and values[0] != "+":
-            values[0] = "+" + values[0]  # a spelled number of that length is one that can be called, or a card
-        at = parts[0].start()
-        for p, v, after in zip(parts, values, [*parts[1:], None]):
-            end = after.start() if after else p.end()
-            edits.append((at, p.end(), v))
-            if after:
-                edits.append((p.end(), end, ""))
-            at = end
+        for words in _numbers(text, *run.span()):
+            plain = words[0][2] != "+" and all(v != "." for _, _, v in words)
+            for k, (start, end, value) in enumerate(words):
+                # a spelled number of that length is one that can be called, or a card
+                edits.append((start, end, "+" + value if plain and not k else value))
+                if k + 1 < len(words):
+                    edits.append((end, words[k + 1][0], ""))
     return edits
 
 
 def unmask(text: str) -> list[tuple[int, int, str]]:
-    if not _MASK_TRIGGER.search(text):
+    small = text.lower()
+    if "dot" not in small and not _BRACKETED.search(text) and not _PLAIN_AT.search(small):
         return []
     edits = [(m.start(), m.end(), "@") for m in _MASKED_AT.finditer(text)]
     edits += [(m.start(), m.end(), ".") for m in _MASKED_DOT.finditer(text)]
