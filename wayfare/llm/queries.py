@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import byte_bpe, compact_windows, conversation_trie, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
+from wayfare.llm import byte_bpe, compact_windows, conversation_trie, decontamination, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
 from wayfare.session import ensure_utc, ship_package
 
 
@@ -32,8 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         suffix_dedup.op9_suffix_dedup,
         embedding.op10_embedding,
         conversation_trie.op12_conversation_trie,
+        decontamination.op13_decontamination,
     )
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op4_mixing": mixing.SQL, "op10_embedding": embedding.SQL, "op12_conversation_trie": conversation_trie.SQL}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op4_mixing": mixing.SQL,
+    "op10_embedding": embedding.SQL,
+    "op12_conversation_trie": conversation_trie.SQL,
+    "op13_decontamination": decontamination.SQL,
+}
