@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import byte_bpe, compact_windows, conversation_trie, decontamination, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity
+from wayfare.llm import byte_bpe, compact_windows, conversation_trie, decontamination, embedding, exact_dedup, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, vector_codes
 from wayfare.session import ensure_utc, ship_package
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pii.op8_pii,
         suffix_dedup.op9_suffix_dedup,
         embedding.op10_embedding,
+        vector_codes.op11_vector_codes,
         conversation_trie.op12_conversation_trie,
         decontamination.op13_decontamination,
     )
@@ -41,6 +42,7 @@ ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op10_embedding": embedding.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op12_conversation_trie": conversation_trie.SQL,
     "op13_decontamination": decontamination.SQL,
 }
