@@ -61,7 +61,7 @@ class Union:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     frame = QUERIES[name](spark, FOLDER)
     cursor = con.execute(ORACLES[name])
@@ -70,7 +70,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 def test_components_of_chains_hubs_and_random_links(spark):

@@ -10,8 +10,8 @@ rounded down and distances up, so rounding only causes more comparisons and neve
 ``b`` adapts after each round: it becomes the shortest list that would have settled ``SETTLED`` of the parts that were compared within
 their lists, and doubles where more than ``OVERRUN`` of all parts had to see every entry.
 
-A round is one pass of tasks over a table in the shared folder: it reads vectors and lists, writes both for the next round, and beside them, for each
-task, the sums of the parts that each entry won. The driver adds up those sums (entries times components numbers, whatever the table's size) and makes the next codebooks.
+A round is one pass of tasks over a table in the shared folder: it reads vectors and lists (packed, a binary each), writes both for the next round, and
+beside them, for each task, the sums of the parts that each entry won. The driver adds up those sums (entries times components numbers, whatever the table's size) and makes the next codebooks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from wayfare.llm.tables import hold, prefixed, unused
 from wayfare.session import discard, scratch_path
@@ -126,6 +126,65 @@ def _limit(components: int) -> int:
     return math.isqrt((2**63 - 1) // max(components, 1)) // 2
 
 
+def _packed(whole: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as binaries that sort like the numbers: four bytes each, the highest first, sign turned."""
+    return _binaries((whole + 2**31).astype(">u4"))
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(_joined(column), ">u4").astype(np.int64).reshape(len(column), width) - 2**31
+
+
+def _joined(column: pa.Array) -> bytes:
+    return b"".join(column.to_pylist())
+
+
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """A binary for each row of an array."""
+    width = rows.shape[1] * rows.itemsize if rows.ndim > 1 else rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _pack(given: str, packed: str):
+    """Usable vectors as packed whole numbers; rows with other vectors go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(given)
+            column = batch.column(at)
+            lengths = np.diff(np.asarray(column.offsets))
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero((lengths == length) & column.is_valid().to_numpy(zero_copy_only=False))
+                flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = flat.reshape(len(rows), length)  # a null component reads as NaN
+                fine = np.isfinite(x).all(axis=1)
+                limit = _limit(length)
+                with np.errstate(over="ignore"):
+                    whole = np.clip(np.floor(x[fine] * SCALE), -limit, limit).astype(np.int64)
+                kept = batch.take(pa.array(rows[fine]))
+                yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(kept.columns) if k != at], _packed(whole)], names=[*[n for n in batch.schema.names if n != given], packed])
+
+    return run
+
+
+def _stored(lists: list[Lists]) -> pa.Array:
+    """The lists of a vector's parts as one binary: entries, then bounds in 32 bits, rounded down."""
+    near = np.stack([one.near for one in lists], axis=1)
+    bound = (np.stack([one.bound for one in lists], axis=1) * (1 - ROOM32)).astype("<f4")
+    n = len(near)
+    return _binaries(np.concatenate([near.reshape(n, -1).view(np.uint8), bound.reshape(n, -1).view(np.uint8)], axis=1))
+
+
+def _restored(column: pa.Array, parts: int) -> list[Lists]:
+    raw = np.frombuffer(_joined(column), np.uint8).reshape(len(column), parts, -1)
+    b = raw.shape[2] // 5
+    flat = raw.reshape(len(column), -1)
+    near = flat[:, : parts * b].view(np.int8).reshape(len(column), parts, b)
+    bound = np.ascontiguousarray(flat[:, parts * b :]).view("<f4").astype(np.float64).reshape(len(column), parts, b)
+    return [Lists(near[:, p].copy(), bound[:, p].copy()) for p in range(parts)]
+
+
 def _round(codebooks: list[np.ndarray], ways: list[np.ndarray], b: int, columns: dict[str, str], last: bool):
     """One pass: settle every part, and give lists and sums for the next round, or codes and errors in the last."""
     slices = np.cumsum([0, *[c.shape[1] for c in codebooks]]).tolist()
@@ -140,51 +199,38 @@ def _round(codebooks: list[np.ndarray], ways: list[np.ndarray], b: int, columns:
             if not n:
                 continue
             names = schema.names
-            x = np.asarray(batch.column(names.index(columns["whole"])).flatten(), np.int64).reshape(n, slices[-1])
-            near, bound = (batch.column(names.index(columns[k])) for k in ("near", "bound"))
-            known = near.null_count == 0
-            old = (np.asarray(near.flatten()).reshape(n, len(codebooks), -1), np.asarray(bound.flatten(), np.float64).reshape(n, len(codebooks), -1)) if known else None
-            settled, error = [], np.zeros(n, np.int64)
+            x = _unpacked(batch.column(names.index(columns["whole"])), slices[-1])
+            stored = batch.column(names.index(columns["lists"]))
+            known = stored.null_count == 0
+            settled, error = _restored(stored, len(codebooks)) if known else [Lists.unknown(n, b) for _ in codebooks], np.zeros(n, np.int64)
             for p, entry in enumerate(codebooks):
                 part = x[:, slices[p] : slices[p + 1]]
-                lists = Lists(old[0][:, p].copy(), old[1][:, p].copy()) if known else Lists.unknown(n, b)
                 if known:
-                    lists.moved(ways[p])
-                    lists = lists.resized(b)
-                best, needed = lists.assign(part, entry)
-                settled.append(lists)
+                    settled[p].moved(ways[p])
+                    settled[p] = settled[p].resized(b)
+                best, needed = settled[p].assign(part, entry)
                 error += best
                 if not last:
-                    won = (lists.near[:, 0, None] == np.arange(entries)).astype(np.float64)
+                    won = (settled[p].near[:, 0, None] == np.arange(entries)).astype(np.float64)
                     sums[p][:, 0] += won.sum(axis=0).astype(np.int64)
                     sums[p][:, 1:] += (won.T @ part).astype(np.int64)
                     compared += np.bincount(needed, minlength=b + 2) if known else 0
+            keep = [c for c in names if c not in (columns.values() if last else (columns["lists"], columns["sums"]))]
             if last:
-                keep = [c for c in names if c not in columns.values()]
                 codes = np.stack([lists.near[:, 0] for lists in settled], axis=1).astype(np.uint8)
                 made = {"code": pa.array([row.tobytes().hex() for row in codes]), "error": pa.array(error)}
             else:
-                keep = [c for c in names if c not in (columns["near"], columns["bound"], columns["sums"])]
-                floor = np.concatenate([lists.bound for lists in settled], axis=1) * (1 - ROOM32)
-                made = {
-                    columns["near"]: _lists(np.concatenate([lists.near for lists in settled], axis=1), pa.int8()),
-                    columns["bound"]: _lists(floor.astype(np.float32), pa.float32()),
-                    columns["sums"]: pa.nulls(n, pa.list_(pa.int64())),
-                }
+                made = {columns["lists"]: _stored(settled), columns["sums"]: pa.nulls(n, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], *made.values()], names=[*keep, *made])
         if schema is not None and not last:
             total = np.concatenate([*[s.ravel() for s in sums], compared])
-            keep = [c for c in schema.names if c not in (columns["near"], columns["bound"], columns["sums"])]
-            blank = [pa.nulls(1, schema.field(c).type) for c in keep] + [pa.nulls(1, pa.list_(pa.int8())), pa.nulls(1, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array([total.tolist()], pa.list_(pa.int64()))], names=[*keep, columns["near"], columns["bound"], columns["sums"]])
+            keep = [c for c in schema.names if c not in (columns["lists"], columns["sums"])]
+            blank = [pa.nulls(1, schema.field(c).type) for c in keep] + [pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([total.tolist()], pa.list_(pa.int64()))], names=[*keep, columns["lists"], columns["sums"]])
 
     return run
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel(), kind))
-
-
 def _next_codebooks(codebooks: list[np.ndarray], total: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
     """New entries (floors of means; unused ones stay), how far each went, and what is left of ``total``."""
     made, ways, at = [], [], 0
@@ -236,30 +282,33 @@ def encode_vectors(
         raise ValueError("entries must be 1 to 128")
     vectors = prefixed(vectors, ADDED)
     spark = vectors.sparkSession
-    columns = {}
-    for k in ("whole", "near", "bound", "sums"):
-        columns[k] = unused(vectors, f"code_{k}")
-    given, ident = F.col(f"`{vector_col}`").cast("array<double>"), F.col(f"`{id_col}`")
-    usable = vectors.where(given.isNotNull() & ~F.exists(given, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    head = usable.select(ident.alias("id"), given.alias("v")).orderBy(F.col("id").asc_nulls_last(), "v").limit(1).collect()
-    size = len(head[0]["v"]) if head else 0
-    limit = float(_limit(size))
-    whole = F.transform(given, lambda v: F.floor(F.least(F.greatest(v * float(SCALE), F.lit(-limit)), F.lit(limit))).cast("int"))
-    ready = usable.where(F.size(given) == size).withColumns(
-        {columns["whole"]: whole, columns["near"]: F.lit(None).cast("array<tinyint>"), columns["bound"]: F.lit(None).cast("array<float>"), columns["sums"]: F.lit(None).cast("array<bigint>")}
-    )
-    first = ready.select(ident.alias("id"), F.col(columns["whole"]).alias("v")).orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).collect()
-    start = np.array([r["v"] for r in first], np.int64).reshape(len(first), size)
-    codebooks = [start[:, s].copy() for s in part_slices(size, parts)]
-    added = {"code": "string", "error": "bigint"}
-    plain = [StructField(f.name, f.dataType) for f in ready.schema.fields]
-    final = StructType([f for f in plain if f.name not in columns.values()] + [StructField(n, DataType.fromDDL(t)) for n, t in added.items()])
+    columns = {k: unused(vectors, f"code_{k}") for k in ("whole", "lists", "sums")}
+    given, ident = unused(vectors, "code_given"), F.col(f"`{id_col}`")
+    carried = [StructField(f.name, f.dataType) for f in vectors.schema.fields]
+    final = StructType([*carried, StructField("code", StringType()), StructField("error", LongType())])
+    doubles = vectors.withColumn(given, F.col(f"`{vector_col}`").cast("array<double>"))
+    written = scratch_path(spark, "codes")
+    packed = StructType([*carried, StructField(columns["whole"], BinaryType())])
+    doubles.mapInArrow(_pack(given, columns["whole"]), packed).write.parquet(written)
+    table = spark.read.schema(packed).parquet(written)
+
+    def smallest(rows: DataFrame) -> list[bytes]:
+        by = [F.col("id").asc_nulls_last(), "v"]
+        return [bytes(r["v"]) for r in rows.select(ident.alias("id"), F.col(columns["whole"]).alias("v")).orderBy(*by).limit(entries).collect()]
+
+    first = smallest(table)
+    if len({len(v) for v in first}) > 1:
+        first = smallest(table.where(F.octet_length(columns["whole"]) == len(first[0])))
     if not first:
-        return spark.createDataFrame([], StructType([*final.fields, StructField("label_error", DataType.fromDDL("bigint")), StructField("codebooks_sha256", DataType.fromDDL("string"))]))
+        return spark.createDataFrame([], StructType([*final.fields, StructField("label_error", LongType()), StructField("codebooks_sha256", StringType())]))
+    size = len(first[0]) // 4
+    start = _unpacked(pa.array(first, pa.binary()), size)
+    codebooks = [start[:, s].copy() for s in part_slices(size, parts)]
+    state = StructType([*packed.fields, StructField(columns["lists"], BinaryType()), StructField(columns["sums"], ArrayType(LongType()))])
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in state.fields[-2:]}
+    ready = table.where(F.octet_length(columns["whole"]) == 4 * size).withColumns(nothing)
 
-    b, ways, written = min(max(2, entries // 4), len(first)), [np.zeros(len(first))] * parts, None
-    order = [c for c in ready.columns if c not in (columns["near"], columns["bound"], columns["sums"])] + [columns[k] for k in ("near", "bound", "sums")]
-    state = StructType([StructField(c, ready.schema[c].dataType) for c in order])
+    b, ways = min(max(2, entries // 4), len(first)), [np.zeros(len(first))] * parts
     for _ in range(rounds):
         path = scratch_path(spark, "codes")
         ready.mapInArrow(_round(codebooks, ways, b, columns, False), state).write.parquet(path)
@@ -268,14 +317,12 @@ def encode_vectors(
         total = [int(r["sum"]) for r in sorted(sums.collect(), key=lambda r: r["at"])]
         codebooks, ways, compared = _next_codebooks(codebooks, total)
         b = next_b(b, compared, len(first))
-        if written:
-            discard(spark, written)
+        discard(spark, written)
         ready, written = table.where(F.col(columns["sums"]).isNull()), path
 
     path = scratch_path(spark, "coded")
     ready.mapInArrow(_round(codebooks, ways, b, columns, True), final).write.parquet(path)
-    if written:
-        discard(spark, written)
+    discard(spark, written)
     coded = spark.read.schema(final).parquet(path)
     by = unused(coded, "code_label")
     totals = coded.groupBy(F.col(f"`{label_col}`").alias(by)).agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("bigint").alias("label_error"))
