@@ -72,9 +72,10 @@ def clusters(
     means = [(F.sum(c * F.col("_n")) / F.sum("_n")).alias(a) for a, c in axes.items()] if centroid == "mean" else []
     groups = places.groupBy(*keys).agg(*sums, *means)
     if centroid == "median":
-        for axis, place in axes.items():
-            middle = weighted_summary(places.select(*keys, place.alias(axis), "_n"), keys, axis, "_n")
-            groups = join_null_safe(groups, middle.select(*keys, F.col("percentile").alias(axis)), keys)
+        each = F.explode(F.array(*[F.struct(F.lit(axis).alias("_axis"), place.alias("_at")) for axis, place in axes.items()]))
+        middle = weighted_summary(places.select(*keys, "_n", each.alias("_p")).select(*keys, "_n", "_p.*"), [*keys, "_axis"], "_at", "_n")
+        centre = [F.max(F.when(F.col("_axis") == axis, F.col("percentile"))).alias(axis) for axis in axes]
+        groups = join_null_safe(groups, middle.groupBy(*keys).agg(*centre), keys)
     lat, lon = from_sphere(F.col("_x"), F.col("_y"), F.col("_z"))
     centres = groups.select(*keys, lat.alias("centre_lat"), lon.alias("centre_lon"))
     away = haversine(F.col("lat"), F.col("lon"), F.col("centre_lat"), F.col("centre_lon"))
