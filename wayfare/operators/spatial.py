@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geometry as G
 from wayfare.functions import polygon as P
-from wayfare.operators.tiles import cover_level, levels_in, tile_of, tiles_at
+from wayfare.operators.box_tree import BOX, box_pairs
+from wayfare.session import materialize
 
 _REL_TOLERANCE = 1e-9
 
 
 def _prepared(df: DataFrame, wkt: str, prefix: str, boundary: bool) -> DataFrame:
-    """Bounding box, level, edges, area and, if asked, the whole boundary; once per geometry, before any pairing.
+    """Number, bounding box, edges, area and, if asked, the whole boundary: a table in the shared folder, so that a geometry is read once.
 
     Empty polygons go, since nothing matches them; a text that is no polygon fails the query.
     """
@@ -30,12 +31,8 @@ def _prepared(df: DataFrame, wkt: str, prefix: str, boundary: bool) -> DataFrame
     columns[f"{prefix}_area"] = G.area(f"{prefix}_polygons")
     if boundary:
         columns[f"{prefix}_boundary"] = G.all_edges(f"{prefix}_polygons")
-    extent = F.greatest(
-        F.col(f"{prefix}_x1") - F.col(f"{prefix}_x0"), F.col(f"{prefix}_y1") - F.col(f"{prefix}_y0")
-    )
-    return box.withColumns(columns).withColumn(f"{prefix}_level", cover_level(extent)).drop(
-        f"{prefix}_polygons", f"{prefix}_box"
-    )
+    columns[f"{prefix}_id"] = F.monotonically_increasing_id()
+    return materialize(box.withColumns(columns).drop(f"{prefix}_polygons", f"{prefix}_box"), "geometries")
 
 
 def spatial_join(
@@ -46,41 +43,17 @@ def spatial_join(
     ``covers`` keeps areas that lie wholly in the cell, ``intersects`` also those that overlap or touch it. Column
     names of the two sides must differ.
 
-    A covered area lies in exactly one tile of the cell's grid with its lower left corner, so only cells are spread
-    over tiles; for ``intersects`` both are, and the lower left corner of the boxes' overlap names the one tile in
-    which the pair counts. Tile keys keep the shuffle even; a crowded tile is split by adaptive execution.
+    Numbers and boxes alone are partitioned and paired, see ``wayfare.operators.box_tree``; geometries are joined back to the pairs whose boxes
+    meet.
     """
     if predicate not in ("covers", "intersects"):
         raise ValueError("predicate must be covers or intersects")
     a = _prepared(cells, cell_wkt, "_a", predicate == "intersects")
     b = _prepared(areas, area_wkt, "_b", predicate == "intersects")
     kept = [*cells.columns, *areas.columns]
-    ax0, ay0, ax1, ay1 = (F.col(f"_a_{k}") for k in ("x0", "y0", "x1", "y1"))
-    bx0, by0, bx1, by1 = (F.col(f"_b_{k}") for k in ("x0", "y0", "x1", "y1"))
-    same_tile = (
-        (F.col("_a_grid") == F.col("_b_grid")) & (F.col("_a_t0") == F.col("_b_t0")) & (F.col("_a_t1") == F.col("_b_t1"))
-    )
-    if predicate == "covers":
-        no_levels = F.array().cast("array<int>")
-        a_tiles = tiles_at(a, "_a_level", ["_a_x0", "_a_y0"], ["_a_x1", "_a_y1"], no_levels, "_a")
-        b_tiles = tiles_at(
-            b, "_b_level", ["_b_x0", "_b_y0"], ["_b_x0", "_b_y0"], levels_in(a, "_a_level"), "_b", own=False
-        )
-        boxes = (ax0 <= bx0) & (ay0 <= by0) & (ax1 >= bx1) & (ay1 >= by1)
-    else:
-        a_tiles = tiles_at(a, "_a_level", ["_a_x0", "_a_y0"], ["_a_x1", "_a_y1"], levels_in(b, "_b_level"), "_a")
-        b_tiles = tiles_at(b, "_b_level", ["_b_x0", "_b_y0"], ["_b_x1", "_b_y1"], levels_in(a, "_a_level"), "_b")
-        grid = F.col("_a_grid")
-        boxes = (
-            (ax0 <= bx1)
-            & (bx0 <= ax1)
-            & (ay0 <= by1)
-            & (by0 <= ay1)
-            & (grid == F.greatest("_a_level", "_b_level"))
-            & (F.col("_a_t0") == tile_of(F.greatest(ax0, bx0), grid))
-            & (F.col("_a_t1") == tile_of(F.greatest(ay0, by0), grid))
-        )
-    pairs = a_tiles.join(b_tiles, same_tile & boxes, "inner")
+    boxes = [side.select(F.col(f"{p}_id").alias("id"), *[F.col(f"{p}_{k}").alias(k) for k in BOX]) for side, p in ((a, "_a"), (b, "_b"))]
+    found = box_pairs(*boxes, covers=predicate == "covers").withColumnsRenamed({"a_id": "_a_id", "b_id": "_b_id"})
+    pairs = found.join(a, "_a_id").join(b, "_b_id")
     result = [*kept, "cell_area", "area_area", "common_area"]
     measured = pairs.withColumns(
         {
