@@ -21,16 +21,20 @@ def _polygons_of_rings(rings: str) -> str:
     return f"aggregate({usable}, cast(array() as {POLYGONS}), (acc, r) -> if({is_hole}, {grown}, array_append(acc, array(r))))"
 
 
+def rings_sql(text: str, quoted: bool = False, always_multi: bool = False) -> str:
+    """WKT of the rings in an Esri text, null where none can be read."""
+    plain = f"replace({text}, r'\\', '')"
+    if quoted:
+        plain = f"substring({plain}, 2, greatest(length({plain}) - 2, 0))"
+    rings = f"from_json({plain}, 'struct<rings:array<array<array<double>>>>').rings"
+    broken = "exists(flatten(v), p -> size(p) < 2 or get(p, 0) is null or get(p, 1) is null)"
+    return f"get(transform(array({rings}), v -> if({broken}, null, {wkt_sql(_polygons_of_rings('v'), always_multi)})), 0)"
+
+
 def esri_to_wkt(text: str, on_error: str = "POLYGON EMPTY", quoted: bool = False, always_multi: bool = False) -> Column:
     """WKT of an Esri polygon held in a column.
 
     Backslashes are removed; ``quoted`` also removes the first and the last character. Text without readable
     rings gives ``on_error``.
     """
-    plain = f"replace({text}, r'\\', '')"
-    if quoted:
-        plain = f"substring({plain}, 2, greatest(length({plain}) - 2, 0))"
-    rings = f"from_json({plain}, 'struct<rings:array<array<array<double>>>>').rings"
-    broken = "exists(flatten(v), p -> size(p) < 2 or get(p, 0) is null or get(p, 1) is null)"
-    read = f"get(transform(array({rings}), v -> if({broken}, null, {wkt_sql(_polygons_of_rings('v'), always_multi)})), 0)"
-    return F.coalesce(F.expr(read), F.lit(on_error))
+    return F.coalesce(F.expr(rings_sql(text, quoted, always_multi)), F.lit(on_error))
