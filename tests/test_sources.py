@@ -151,3 +151,16 @@ def test_geometry_text_of_every_type(spark):
     for w, coordinates in (texts | odd).items():
         assert (got[w][0] and json.dumps(json.loads(got[w][0])["coordinates"])) == (coordinates and json.dumps(json.loads(coordinates))), w
     assert all(got[w][1].replace("1000.0", "1e3") == w for w in texts), got
+
+
+def test_a_rerun_replaces_its_days_only(spark, tmp_path):
+    path, kind = f"{tmp_path}/days", "n int, date string"
+    first = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03"), (4, None)], kind)
+    for fmt in ("parquet", "csv"):
+        writers.write_days(first, f"{path}-{fmt}", fmt=fmt)
+        writers.write_days(spark.createDataFrame([(20, "2024-01-02"), (21, "2024-01-02")], kind), f"{path}-{fmt}", fmt=fmt)
+        writers.write_days(first.limit(0), f"{path}-{fmt}", fmt=fmt)
+        found = readers.read_days(spark, f"{path}-{fmt}", kind, "2024-01-01", "2024-01-31", fmt=fmt)
+        assert sorted((r.n, r.date) for r in found.collect()) == [(1, "2024-01-01"), (3, "2024-01-03"), (20, "2024-01-02"), (21, "2024-01-02")]
+        one = readers.read_days(spark, f"{path}-{fmt}", kind, "2024-01-03", fmt=fmt)
+        assert [r.n for r in one.collect()] == [3] and "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().toString()

@@ -104,3 +104,14 @@ def read_dated(
     if path is None:
         raise FileNotFoundError(f"no {module} folder for {date} under {', '.join(roots)}")
     return spark.read.format(fmt).load(path)
+
+
+def read_days(
+    spark: SparkSession, path: str, schema: T.StructType | str, first: str, last: str | None = None, *, day: str = "date", fmt: str = "parquet", **options
+) -> DataFrame:
+    """The days from ``first`` to ``last`` (default: ``first`` alone) of a table of ``write_days``; other days' folders are not read.
+
+    ``schema`` names the columns with the day, which is text.
+    """
+    rows = spark.read.schema(schema).format(fmt).options(**options).load(path)
+    return rows.where(F.col(day).between(first, last or first))

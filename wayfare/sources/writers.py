@@ -31,3 +31,12 @@ def write_text(df: DataFrame, column: str | Column, path: str, *, mode: str = "e
 def append_metric(df: DataFrame, path: str) -> None:
     """Append one run's metric row, without a header, to the metric's folder."""
     df.coalesce(1).write.mode("append").csv(path)
+
+
+def write_days(df: DataFrame, path: str, *, day: str = "date", fmt: str = "parquet", **options) -> None:
+    """One folder for each day that ``df`` has rows of (``path/date=2024-01-01``); a rerun replaces those days and no other.
+
+    Days are replaced when the job commits, so a failed or repeated run leaves what was there. Formats are Spark's (parquet, csv, ...), with
+    their options; for text the other column is the line. Rows of a day stay in as many files as there are tasks that have some.
+    """
+    df.write.mode("overwrite").format(fmt).options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(day).save(path)
