@@ -40,7 +40,7 @@ HOLED_SAME_WAY = "POLYGON ((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))
         (HOLED_SAME_WAY, 12.0),
         ("  multipolygon(((0 0,1 0,1 1,0 1,0 0)) ,\n((5 5, 7 5, 7 7, 5 7, 5 5),(5.5 5.5, 6 5.5, 6 6, 5.5 5.5)))", 4.875),
         ("POLYGON EMPTY", 0.0),
-        ("POINT (1 2)", None),
+        ("POINT (1 2)", 0.0),
         ("POLYGON ((0 0, 1 x, 1 1, 0 0))", None),
         (None, None),
     ],

@@ -34,9 +34,26 @@ def test_trajectories_by_day_make_the_whole_path(spark):
 def test_visit_lists_by_tile(spark):
     rows = [("a", f"g_1_2_103.{k % 4}5_1.25") for k in range(12)] + [("a", None), ("a", "NA"), ("b", "g_1_2_103.05_1.25")]
     visits = spark.createDataFrame(rows, "agent_id string, geo_unit_id string")
-    found = {(r.agent_id, r.tile_lon): r.geo_units for r in movement.visited_units(visits).collect()}
-    assert found.pop(("a", None)) == ["NA"]
-    assert {k: len(v) for k, v in found.items()} == {("a", 1030): 3, ("a", 1031): 3, ("a", 1032): 3, ("a", 1033): 3, ("b", 1030): 1}
+    found = {(r.agent_id, r.tile_lon, r.part): r.geo_units for r in movement.visited_units(visits, size=2).collect()}
+    assert found.pop(("a", None, 0)) == ["NA"]
+    expected = {("a", 1030 + k, part): n for k in range(4) for part, n in ((0, 2), (1, 1))}
+    assert {k: len(v) for k, v in found.items()} == expected | {("b", 1030, 0): 1}
+
+
+def test_whole_paths_in_bounded_rows(spark):
+    rows = [("busy" if k % 3 else f"a{k % 7}", float(k % 11), 1.0, f"2024-01-{k % 28 + 1:02d} 00:00:{k % 60:02d}", 1, f"c{k}") for k in range(500)]
+    updates = spark.createDataFrame(rows, "agent_id string, lon double, lat double, timestamp string, cell_type int, cell string").repartition(6)
+    plan = trajectories.whole_trajectories(updates)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    placed = trajectories.whole_trajectories(updates).collect()
+    parts = trajectories.path_rows(updates, 40).collect()
+    assert max(len(r.updates) for r in parts) == 40
+    for agent in {r[0] for r in rows}:
+        order = sorted((r[3], r[1], r[2], r[4], r[5]) for r in rows if r[0] == agent)
+        mine = sorted((r for r in placed if r.agent_id == agent), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(len(order))) and [(r.timestamp, r.lon, r.lat, r.cell_type, r.cell) for r in mine] == order
+        told = [u for r in sorted((r for r in parts if r.agent_id == agent), key=lambda r: r.part) for u in r.updates]
+        assert [(u.timestamp, u.lon, u.lat, u.cell_type, u.cell) for u in told] == order
 
 
 def brute_percentile(values, p):
@@ -85,6 +102,27 @@ def test_weights_that_are_no_numbers(spark):
     assert Counter(r.agent_id for r in movement.repeat_by_weight(weights).collect()) == {"a": 2, "f": 2}
 
 
+def test_a_weight_of_millions_is_made_in_blocks(spark):
+    weights = spark.createDataFrame([("a", "3000001"), ("b", "1024"), ("c", "1025"), ("d", "0")], "agent_id string, weight string")
+    copies = movement.repeat_by_weight(weights)
+    assert {r.agent_id: r["count"] for r in copies.groupBy("agent_id").count().collect()} == {"a": 3_000_001, "b": 1_024, "c": 1_025}
+
+
+def test_percentile_of_close_values_beside_an_outlier(spark):
+    values = [1e6 + k * 1e-9 for k in range(30_000)] + [1e300, float("nan")]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
+    found = percentile.weighted_summary(frame, [], "v", None, 0.5).first()
+    assert (found.total, found.percentile) == (30_002, brute_percentile([*values[:-1], math.inf], 0.5))
+
+
+def test_counts_of_the_pass_that_writes(spark, tmp_path):
+    frame = spark.createDataFrame([("1", 1), ("x", 2), (None, 3), ("4", 4)], "v string, k int")
+    counts = quality.write_counted(frame, F.col("v").try_cast("int"), f"{tmp_path}/out", conditions={"even": F.col("k") % 2 == 0, "none": F.col("k") > 9})
+    assert (counts.rows, counts.failures, counts.others) == (4, 2, {"even": 1, "none": 0})
+    read = spark.read.schema("v string, k int, is_valid boolean").parquet(f"{tmp_path}/out")
+    assert {(r.v, r.is_valid) for r in read.collect()} == {("1", True), ("4", True), ("x", False), (None, False)}
+
+
 def test_overlap_join_against_all_pairs(spark):
     rnd = random.Random(11)
 

@@ -82,14 +82,22 @@ def test_lines_are_split_once(spark):
     assert plan(parse_events(lines)).count("split(value") == 1
 
 
-def test_movement_shuffles_distinct_values_once(spark):
+def test_percentiles_order_nothing_in_windows(spark):
     t = Inputs(spark, FOLDER)
     result = movement.movement_index_by_level(t["staypoint"], t["homework"], t["geo_hierarchy"], t["weight"], "d")
-    result.collect()
-    assert "ReusedExchange" in plan(result)
+    assert "Window" not in plan(result)
 
 
-@pytest.mark.parametrize("name", ["a1_collect_list", "a5_build_trajectory", "a15_time_slot_group", "a16_coverage_list", "e3_job_trajectories", "e9_job_cell_coverage", "x10_geojson_write"])
+def test_geometries_are_read_once_and_not_shuffled_to_tiles(spark):
+    t = Inputs(spark, FOLDER)
+    both = t["box_wkt"].selectExpr("id as a", "wkt as a_wkt"), t["box_wkt"].selectExpr("id as b", "wkt as b_wkt")
+    text = plan(spatial.spatial_join(*both, "a_wkt", "b_wkt"))
+    assert "regexp_extract" not in text
+    pairing = text[text.index("FlatMapGroupsInPandas") :]
+    assert "edges" not in pairing.split("Scan parquet")[0] and "wkt" not in pairing.split("Scan parquet")[0]
+
+
+@pytest.mark.parametrize("name", ["a5_build_trajectory", "a15_time_slot_group", "e3_job_trajectories", "x10_geojson_write"])
 def test_nothing_runs_while_a_query_is_built(spark, name):
     """Only the schemas of parquet files are read before the first action."""
     spark.sparkContext.setJobGroup(name, name)

@@ -22,6 +22,10 @@ select event_id, concat('A', cast(user_id as string)) as agent_id, event_type, t
   concat('1.', lpad(cast(200 + (event_id * 7) % 280 as string), 3, '0')) as lat_s,
   concat('103.', lpad(cast(600 + event_id % 400 as string), 3, '0')) as lon_s
 from events""",
+    # One agent has half of all events.
+    "lbs_crowd": """
+select event_id, case when event_id % 2 = 0 then 'A0' else agent_id end as agent_id, ts_s, cgi, lat_s, lon_s
+from lbs_event""",
     "lbs_line": """
 select event_id, case
     when event_id % 23 = 0 then concat_ws('|', ts_s, agent_id, 'short')
@@ -113,6 +117,16 @@ select id, concat(cast(id as string), '|', case
       cast(x0 as string), ',', cast(y1 as string), '],[', cast(x1 as string), ',', cast(y1 as string), '],[',
       cast(x1 as string), ',', cast(y0 as string), '],[', cast(x0 as string), ',', cast(y0 as string), ']]]}', chr(34)) end) as value
 from box""",
+    # Half of the sites stand in one small city, and so do a tenth of the zones; one zone holds the whole city.
+    "site": """
+select id, x0, y0, x0 + 1 + id % 3 as x1, y0 + 1 + id % 2 as y1 from (select o_orderkey as id,
+  case when o_orderkey % 2 = 0 then 100000 + (o_orderkey * 7919) % 1000 else (o_orderkey * 104729) % 200000 end as x0,
+  case when o_orderkey % 2 = 0 then 100000 + (o_orderkey * 6101) % 1000 else (o_orderkey * 15485863) % 200000 end as y0 from orders) s""",
+    "zone": """
+select id, x0, y0, x0 + side as x1, y0 + side as y1 from (select c_custkey as id,
+  case when c_custkey = 100 then 99990 when c_custkey % 10 = 0 then 100000 + c_custkey % 900 else (c_custkey * 7919) % 200000 end as x0,
+  case when c_custkey = 100 then 99990 when c_custkey % 10 = 0 then 100000 + (c_custkey * 31) % 900 else (c_custkey * 3571) % 200000 end as y0,
+  case when c_custkey = 100 then 1020 when c_custkey % 10 = 0 then 20 + c_custkey % 40 else 40 * (1 + c_custkey % 50) end as side from customer) z""",
     "box_geojson": """
 select id, kind, concat('{"type":"Polygon","coordinates":[[[', cast(x0 as string), '.0,', cast(y0 as string), '.0],[', cast(x1 as string), '.0,', cast(y0 as string),
   '.0],[', cast(x1 as string), '.0,', cast(y1 as string), '.0],[', cast(x0 as string), '.0,', cast(y1 as string), '.0],[', cast(x0 as string), '.0,', cast(y0 as string), '.0]]]}') as geometry

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfare.checks.registry import check, r
 from wayfare.functions import geo as G
 from wayfare.functions import geometry as Y
+from wayfare.functions.sql import register
 from wayfare.operators import spatial as S
 from wayfare.plans import cells as C
 from wayfare.sources import esri
@@ -257,6 +258,18 @@ def j6_intersects(t):
     return pairs.select("cell", "geo_unit", r("percentage", 9).alias("percentage"))
 
 
+# Half of the areas in one city: leaves of the tree follow the crowd.
+@check("j6_crowded_city", """
+select z.id as zone, s.id as site, round(s.area / z.area, 12) + 0.0 as share
+from (select *, (x1 - x0) * (y1 - y0) as area from zone) z join (select *, (x1 - x0) * (y1 - y0) as area from site) s
+  on z.x0 <= s.x0 and z.y0 <= s.y0 and z.x1 >= s.x1 and z.y1 >= s.y1""")
+def j6_city(t):
+    zones = t.sql(f"select id as zone, {_ring('')} as zone_wkt from zone")
+    sites = t.sql(f"select id as site, {_ring('')} as site_wkt from site")
+    pairs = S.spatial_join(zones, sites, "zone_wkt", "site_wkt")
+    return pairs.select("zone", "site", r(S.coverage_ratio(), 12).alias("share"))
+
+
 _LIST = f"""
 with p as (select concat('c', a.id) as cell, concat('x', chr(92), 't', 'u', b.id, chr(92), 't', 'y') as unit, concat('x', chr(9), 'u', b.id, chr(9), 'y') as unit_raw, {_SHARE} as share, floor(b.x0 / 16.0)::bigint as tile_x, floor(b.y0 / 16.0)::bigint as tile_y {_COVERS_SQL})
 select cell, tile_x, tile_y, concat('[', string_agg(concat('{{"geoUnit":"', unit, '","percentage":', cast(round(share, 6) as varchar), '}}'), ',' order by unit_raw), ']') as coverage
@@ -293,3 +306,40 @@ def x8(t):
         esri.esri_to_wkt("quoted", on_error="", quoted=True).alias("quoted_wkt"),
         esri.esri_to_wkt("plain").alias("plain_wkt"),
     )
+
+
+# ---------------------------------------------------------------- functions by name in SQL
+
+_TWO_RADII = f"""
+with place as (select distinct agent_id, geo_unit_id from staypoint), one as (select agent_id, min(home) as home from homework where home <> 'NA' group by agent_id)
+select p.agent_id, max({unit_distance_sql('p.geo_unit_id', 'o.home')}) as metres from place p join one o on p.agent_id = o.agent_id group by 1"""
+
+
+@check("sql_functions", f"""
+with radius as ({_TWO_RADII}),
+copies as (select w.agent_id, count(*) as n from weight w join range(0, 4) k(i) on k.i < try_cast(w.weight as int) group by 1)
+select 'overlap' as what, id::varchar as id, null as id2, cast(greatest(0, epoch(least(out_ts, in_ts + interval 36 hour)) - epoch(greatest(in_ts, in_ts + interval 12 hour))) as double) as number, null as text from stay_interval
+union all select 'home_work', agent_id, home, round({unit_distance_sql('home', 'work')}, 3) + 0.0, null from homework
+union all select 'radius', agent_id, null, round(metres, 3) + 0.0, null from radius
+union all select 'copies', agent_id, null, n, null from copies
+union all select 'size_diff', a_id::varchar, b_id::varchar, round(abs((ax1 - ax0) * (ay1 - ay0) - (bx1 - bx0) * (by1 - by0)) / ((bx1 - bx0) * (by1 - by0) + 0.0), 9) + 0.0, null from box_pair
+union all select 'area', id::varchar, null, (x1 - x0) * (y1 - y0), null from box
+union all select 'esri', id::varchar, null, null, case when x1 - x0 in (4, 5) then 'POLYGON EMPTY' else {_BOX_TEXT} end from box
+union all select 'contains', a_id::varchar, b_id::varchar, {_A_HAS_B}::int, null from box_pair
+union all select 'distance', a_id::varchar, b_id::varchar, round(sqrt(pow(greatest(0, bx0 - ax1, ax0 - bx1), 2) + pow(greatest(0, by0 - ay1, ay0 - by1), 2)), 9) + 0.0, null from box_pair""")
+def sql_functions(t):
+    register(t.spark)
+    pair = f"select a_id, b_id, {_ring('a')} as a_wkt, {_ring('b')} as b_wkt from box_pair"
+    return t.sql(f"""
+select 'overlap' as what, cast(id as string) as id, cast(null as string) as id2,
+  cast(overlap_seconds(in_ts, out_ts, in_ts + interval '12' hour, in_ts + interval '36' hour) as double) as number, cast(null as string) as text from stay_interval
+union all select 'home_work', agent_id, home, round(home_work_m(home, work), 3) + 0.0D, null from homework
+union all select 'radius', agent_id, null, round(radius_m(geo_units, home), 3) + 0.0D, null from
+  (select s.agent_id, any_value(o.home) as home, collect_set(s.geo_unit_id) as geo_units
+   from staypoint s join (select agent_id, min(home) as home from homework where home <> 'NA' group by agent_id) o on s.agent_id = o.agent_id group by s.agent_id)
+union all select 'copies', agent_id, null, cast(count(*) as double), null from weight, lateral weight_copies(weight) group by agent_id
+union all select 'size_diff', cast(a_id as string), cast(b_id as string), round(size_diff(a_wkt, b_wkt), 9) + 0.0D, null from ({pair})
+union all select 'area', cast(id as string), null, wkt_area(wkt), null from box_wkt
+union all select 'esri', cast(id as string), null, null, esri_wkt(split_part(value, '|', 2)) from esri_line
+union all select 'contains', cast(a_id as string), cast(b_id as string), cast(cast(geo_contains(a_wkt, b_wkt) as int) as double), null from ({pair})
+union all select 'distance', cast(a_id as string), cast(b_id as string), round(geo_distance(a_wkt, b_wkt), 9) + 0.0D, null from ({pair})""")

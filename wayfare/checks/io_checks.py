@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from wayfare import schemas as S
 from wayfare.checks.registry import check, r
-from wayfare.checks.table_checks import _LEVELS_SQL, updates
+from wayfare.checks.table_checks import _LEVELS_SQL, _PARSES, updates
+from wayfare.operators import quality
 from wayfare.plans.cells import cell_inventory
 from wayfare.plans.movement import movement_index_by_level, write_levels
 from wayfare.session import scratch_path
@@ -155,6 +156,45 @@ def k5(t):
     return t.spark.read.schema("date string, cell_count long, in_building_count long").csv(path)
 
 
+# Three days are written; then the second runs again with other figures and the third has no rows any more. A run replaces its own days only.
+@check("k3_rerun_of_a_day", """
+with d as (select o_orderkey, o_totalprice, case o_orderkey % 3 when 0 then '2024-01-01' when 1 then '2024-01-02' else '2024-01-03' end as date from orders)
+select date, o_orderkey, case when date = '2024-01-02' then o_totalprice * 2 else o_totalprice end as metric from d where date < '2024-01-02' or date > '2024-01-02' or o_orderkey % 2 = 0""")
+def k3_rerun(t):
+    path = scratch_path(t.spark, "days")
+    third = F.col("o_orderkey") % 3
+    dated = t["orders"].select("o_orderkey", F.col("o_totalprice").alias("metric"), F.when(third == 0, "2024-01-01").when(third == 1, "2024-01-02").otherwise("2024-01-03").alias("date"))
+    K.write_days(dated, path)
+    K.write_days(dated.where("date = '2024-01-02' and o_orderkey % 2 = 0").withColumn("metric", F.col("metric") * 2), path)
+    return R.read_days(t.spark, path, "o_orderkey long, metric double, date string", "2024-01-01", "2024-01-03").select("date", "o_orderkey", "metric")
+
+
+@check("k1_rerun_of_a_day_csv", "select trip_id, category, '2024-02-02' as date from trips where category <> 'sa3_sa3'")
+def k1_rerun(t):
+    path = scratch_path(t.spark, "days")
+    trips = t["trips"].select("trip_id", "category")
+    for day in ("2024-02-01", "2024-02-02", "2024-02-02"):
+        K.write_days(trips.where("category <> 'sa3_sa3'").withColumn("date", F.lit(day)), path, fmt="csv", sep="|")
+    return R.read_days(t.spark, path, "trip_id long, category string, date string", "2024-02-02", fmt="csv", sep="|")
+
+
+# Lines and faults are counted by the pass that writes both kinds; the metric rows come from those counts.
+@check("p14_counted_write", f"""
+select agent_id, count(*) as good, (select count(*) from lbs_event) as lines, (select count(*) from lbs_event where not ({_PARSES})) as failures,
+  (select count(*) from lbs_event where {_PARSES} and event_type = 'click') as clicks from lbs_event where {_PARSES} group by agent_id""")
+def p14_counted(t):
+    parts = F.split("value", "\\|", -1)
+    lines = t["lbs_line"].withColumn("agent_id", F.get(parts, F.lit(1)))
+    at = F.when(F.size(parts) >= 8, F.try_to_timestamp(F.get(parts, F.lit(0)), F.lit("yyyy-MM-dd HH:mm:ss")))
+    path, metric = scratch_path(t.spark, "lines"), scratch_path(t.spark, "metric")
+    counts = quality.write_counted(lines, at, path, conditions={"clicks": F.get(parts, F.lit(4)) == "click"})
+    K.append_metric(t.spark.createDataFrame([(counts.rows, counts.failures, counts.others["clicks"])], "lines long, failures long, clicks long"), metric)
+    good = t.spark.read.schema("agent_id string, is_valid boolean").parquet(path).where("is_valid").groupBy("agent_id").agg(F.count("*").alias("good"))
+    figures = t.spark.read.schema("lines long, failures long, clicks long").csv(metric)
+    one = {c: figures.select(F.max(c)).scalar() for c in figures.columns}
+    return good.select("agent_id", "good", *[c.alias(n) for n, c in one.items()])
+
+
 # Slots that the watermark has passed: their end lies at least ten minutes before the latest event.
 @check("stream_slot_centroids", """
 with e as (select agent_id, ts, time_bucket(interval 300 second, ts) as slot, radians(lat_s::double) as la, radians(lon_s::double) as lo from lbs_event)

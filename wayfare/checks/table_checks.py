@@ -21,11 +21,11 @@ from wayfare.sources.trajectories import format_trajectories
 DATE = "2024-01-31"
 
 
-def updates(t):
+def updates(t, events="lbs_event"):
     """The events as updates in long form."""
-    return t.sql("""
+    return t.sql(f"""
         select agent_id, cast(lon_s as double) as lon, cast(lat_s as double) as lat, ts_s as timestamp, 1 as cell_type, cgi as cell
-        from lbs_event""")
+        from {events}""")
 
 
 # ---------------------------------------------------------------- filters
@@ -222,9 +222,12 @@ def j8(t):
 # ---------------------------------------------------------------- aggregations
 
 
-@check("a1_collect_list", "select agent_id, floor(split_part(geo_unit_id, '_', 4)::double / 0.1)::bigint as tile_lon, floor(split_part(geo_unit_id, '_', 5)::double / 0.1)::bigint as tile_lat, string_agg(geo_unit_id, ';' order by geo_unit_id) as geo_units from staypoint group by all")
+@check("a1_collect_list", """
+with v as (select agent_id, floor(split_part(geo_unit_id, '_', 4)::double / 0.1)::bigint as tile_lon, floor(split_part(geo_unit_id, '_', 5)::double / 0.1)::bigint as tile_lat, geo_unit_id from staypoint),
+p as (select *, (row_number() over (partition by agent_id, tile_lon, tile_lat order by geo_unit_id) - 1) // 5 as part from v)
+select agent_id, tile_lon, tile_lat, part, string_agg(geo_unit_id, ';' order by geo_unit_id) as geo_units from p group by all""")
 def a1(t):
-    return M.visited_units(t["staypoint"]).withColumn("geo_units", F.array_join("geo_units", ";"))
+    return M.visited_units(t["staypoint"], size=5).withColumn("geo_units", F.array_join("geo_units", ";"))
 
 
 _INDEX = f"""
@@ -301,6 +304,13 @@ def a5(t):
     return T.build_trajectories(updates(t)).select("agent_id", "day", format_trajectories().alias("value"))
 
 
+@check("a5_whole_trajectory", """
+select agent_id, row_number() over (partition by agent_id order by ts_s, lon_s::double, lat_s::double, cgi) - 1 as position, ts_s as timestamp, lon_s::double as lon, lat_s::double as lat, cgi as cell
+from lbs_crowd""")
+def a5_whole(t):
+    return T.whole_trajectories(updates(t, "lbs_crowd")).select("agent_id", "position", "timestamp", "lon", "lat", "cell")
+
+
 @check("a6_count_distinct", f"""
 with c as (select distinct case technology when 'UMTS' then '505-02-' || lac || '-' || coalesce(sac_id, 'null') when 'LTE' then '505-02-' || lac || '-' || cell_id else '' end as full_id, site_type, cell_status
   from inventory where lac is not null and cell_status = 'ACTIVE')
@@ -318,9 +328,18 @@ def a7(t):
 select l_shipdate::date::varchar as day, quantile_disc(l_extendedprice, 0.9) as percentile from lineitem group by 1
 union all select 'all' as day, quantile_disc(l_extendedprice, 0.9) as percentile from lineitem""")
 def a8(t):
-    daily = t["lineitem"].withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    whole = percentile.nearest_rank_percentile(daily, "l_extendedprice", 0.9).select(F.lit("all").alias("day"), "percentile")
-    return percentile.nearest_rank_percentile(daily, "l_extendedprice", 0.9, ["day"]).unionByName(whole)
+    levels = F.explode(F.array(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("all")))
+    return percentile.nearest_rank_percentile(t["lineitem"].select("l_extendedprice", levels.alias("day")), "l_extendedprice", 0.9, ["day"])
+
+
+# All prices lie within one part in a thousand million of each other but one, which is a million times as large.
+@check("a8_percentile_of_close_values", """
+with v as (select l_returnflag, case when l_orderkey = (select min(l_orderkey) from lineitem) then 1e12 else 1e6 + l_extendedprice * 1e-9 end as x from lineitem)
+select l_returnflag, quantile_disc(x, 0.37) as percentile from v group by 1""")
+def a8_close(t):
+    least = t["lineitem"].agg(F.min("l_orderkey").alias("k")).scalar()
+    x = F.when(F.col("l_orderkey") == least, F.lit(1e12)).otherwise(F.lit(1e6) + F.col("l_extendedprice") * F.lit(1e-9))
+    return percentile.nearest_rank_percentile(t["lineitem"].select("l_returnflag", x.alias("x")), "x", 0.37, ["l_returnflag"])
 
 
 @check("a9_max_distance_from_home", f"""
@@ -449,9 +468,17 @@ def e2(t):
 
 @check("e3_job_trajectories", _LOCATED + """
 select agent_id, substr(ts_s, 1, 10) as day, agent_id || ';' || string_agg(cast(new_lon as varchar) || ',' || cast(new_lat as varchar) || ',' || ts_s || ',1,' || cgi, ';' order by ts_s, new_lon, new_lat, cgi) as value
-from located where regexp_full_match(agent_id, 'A[0-9]*[0-4]') group by agent_id, day""")
+from located where regexp_full_match(agent_id, 'A[0-9]+') group by agent_id, day""")
 def e3(t):
-    return T.trajectory_lines(t["lbs_line"], t["cell_line"], id_regex="A[0-9]*[0-4]")
+    return T.trajectory_lines(t["lbs_line"], t["cell_line"], id_regex="A[0-9]+")
+
+
+@check("e3_job_whole_trajectories", _LOCATED + """,
+placed as (select *, row_number() over (partition by agent_id order by ts_s, new_lon, new_lat, cgi) - 1 as position from located where regexp_full_match(agent_id, 'A[0-9]+'))
+select agent_id, position // 20 as part, agent_id || ';' || string_agg(cast(new_lon as varchar) || ',' || cast(new_lat as varchar) || ',' || ts_s || ',1,' || cgi, ';' order by position) as value
+from placed group by agent_id, position // 20""")
+def e3_whole(t):
+    return T.path_lines(t["lbs_line"], t["cell_line"], id_regex="A[0-9]+", size=20)
 
 
 @check("e4_job_cell_inventory", f"""

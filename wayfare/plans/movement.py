@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.geo import grid_distance, grid_to_coord, home_work_distance, movement_index
 from wayfare.operators.filters import known_home_and_work
+from wayfare.operators.ordered import with_place
 from wayfare.operators.percentile import weighted_summary
 
 MIN_HOME_WORK_M = 1000
+#: Copies that are made at once, and areas of a list.
+REPEAT_BLOCK, LIST_UNITS = 1_024, 1_000
 INDEX_LEVELS = ("sa2", "gcc", "state", "nation")
 AREA_LEVELS = ("sa1", "sa2")
 
@@ -27,18 +30,24 @@ def repeat_by_weight(weights: DataFrame) -> DataFrame:
 
     The jobs never do this: they carry the weight as a factor.
     """
-    times = F.array_repeat(F.col("agent_id"), weight_number())
-    return weights.where(weight_number() > 0).select(F.explode(times).alias("agent_id"))
+    positive = weights.select("agent_id", weight_number().alias("_w")).where("_w > 0")
+    blocks = positive.select("agent_id", "_w", F.explode(F.sequence(F.lit(0), F.floor((F.col("_w") - 1) / REPEAT_BLOCK).cast("int"))).alias("_block"))
+    # Blocks are dealt anew, so that the copies of one large weight are made by many tasks.
+    dealt = blocks.repartition("agent_id", "_block")
+    inside = F.least(F.lit(REPEAT_BLOCK), F.col("_w") - F.col("_block") * REPEAT_BLOCK)
+    return dealt.select(F.explode(F.array_repeat("agent_id", inside)).alias("agent_id"))
 
 
-def visited_units(visits: DataFrame, tile: float = 0.1) -> DataFrame:
-    """Visited areas per agent and tile (squares of ``tile`` degrees) as a sorted list, repeats kept and nulls left out.
+def visited_units(visits: DataFrame, tile: float = 0.1, size: int = LIST_UNITS) -> DataFrame:
+    """Visited areas per agent and tile (squares of ``tile`` degrees) as sorted lists, repeats kept and nulls left out.
 
-    Areas whose id holds no coordinates share the tile without numbers.
+    A list has at most ``size`` areas; longer ones go on in further rows, in order of ``part``. Areas whose id holds no coordinates share the
+    tile without numbers.
     """
     known = visits.select("agent_id", "geo_unit_id").where(F.col("geo_unit_id").isNotNull())
     tiles = {f"tile_{c}": F.floor(grid_to_coord("geo_unit_id", c) / F.lit(tile)).cast("long") for c in ("lon", "lat")}
-    gathered = known.withColumns(tiles).groupBy("agent_id", *tiles)
+    placed = with_place(known.withColumns(tiles), ["agent_id", *tiles], ["geo_unit_id"])
+    gathered = placed.groupBy("agent_id", *tiles, F.floor(F.col("position") / size).alias("part"))
     return gathered.agg(F.array_sort(F.collect_list("geo_unit_id")).alias("geo_units"))
 
 
