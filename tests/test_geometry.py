@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.functions import geo, geometry, polygon
+from wayfare.functions import forest, geo, geometry, polygon, relations
 from wayfare.functions.polygon import Shape, relate
 from wayfare.operators import spatial
 from wayfare.sources.esri import esri_to_wkt
@@ -67,7 +67,7 @@ def test_common_area(spark, a, b, expected):
 
 
 def inside(shape, points):
-    return polygon.locate(points, shape, 1e-12) >= 0
+    return relations.locate(points, np.zeros(len(points), int), relations.Side([shape]), np.array([1e-12])) >= 0
 
 
 def test_common_area_of_stars_against_sampling():
@@ -132,6 +132,63 @@ def test_relation_columns_agree_with_single_pairs(spark, relation):
         assert row.r == expected, (row.a, row.b)
 
 
+def test_whole_batches_agree_with_single_pairs():
+    shapes = [(Shape(a), Shape(b)) for a, b, _ in RELATIONS]
+    left, right = [a for a, _ in shapes], [b for _, b in shapes]
+    for relation in polygon.RELATIONS:
+        assert polygon.relate_all(left, right, relation).tolist() == [relation in held for _, _, held in RELATIONS]
+    found = polygon.distances_of(left, right)
+    assert [None if np.isnan(d) else d > 0 for d in found] == [None if a.empty else "disjoint" in held for (a, _), (_, _, held) in zip(shapes, RELATIONS)]
+
+
+@pytest.mark.parametrize("chunk, fan", [(forest.CHUNK, forest.FAN), (40, 2)])
+def test_trees_against_all_rows(monkeypatch, chunk, fan):
+    monkeypatch.setattr(forest, "CHUNK", chunk)
+    monkeypatch.setattr(forest, "FAN", fan)
+    rng = np.random.default_rng(8)
+    groups = 9
+    a, b = (np.concatenate([x, x + rng.normal(size=x.shape) * rng.choice([0, 1, 8], (len(x), 1))], axis=1) for x in (rng.uniform(0, 60, (n, 2)) for n in (150, 110)))
+    ga, gb = rng.integers(0, groups - 1, len(a)), rng.integers(1, groups, len(b))
+    tree = forest.Forest(forest.segment_boxes(b), gb, groups)
+    found = {(i, j) for rows, hits in tree.meeting(forest.segment_boxes(a), ga) for i, j in zip(rows.tolist(), hits.tolist())}
+    p, q = forest.segment_boxes(a), forest.segment_boxes(b)
+    assert found == {(i, j) for i in range(len(a)) for j in range(len(b)) if ga[i] == gb[j] and (p[i, :2] <= q[j, 2:]).all() and (q[j, :2] <= p[i, 2:]).all()}
+    best = forest.nearest(a, ga, b, gb, groups)
+    for g in range(groups):
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(ga == g), np.flatnonzero(gb == g)))
+        if not len(i):
+            assert best[g] == np.inf
+            continue
+        ends = [forest.point_to_segment(a[i, :2], b[j]), forest.point_to_segment(a[i, 2:], b[j]), forest.point_to_segment(b[j, :2], a[i]), forest.point_to_segment(b[j, 2:], a[i])]
+        crossing, _ = forest.cross_at(a[i], b[j], np.zeros(len(i)))
+        assert best[g] == (0.0 if crossing.any() else pytest.approx(np.min(ends), abs=1e-12))
+
+
+def test_polygons_of_a_hundred_thousand_edges():
+    """Near, apart, overlapping and nested; memory does not follow the product of the edges."""
+    import tracemalloc
+
+    def round_star(x, size, edges=100_000):
+        shape = Shape.__new__(Shape)
+        turn = np.linspace(0, 2 * np.pi, edges + 1)[:-1]
+        radius = size * (1 + 0.0001 * (np.arange(edges) % 2))
+        ring = np.stack([x + radius * np.cos(turn), radius * np.sin(turn)], axis=1)
+        shape.kind, shape.dim, shape.paths = "POLYGON", 2, [np.concatenate([ring, ring[:1]])]
+        shape.points = shape.paths[0]
+        shape.low, shape.high = shape.points.min(axis=0), shape.points.max(axis=0)
+        shape.segments = np.concatenate([shape.points[:-1], shape.points[1:]], axis=1)
+        return shape
+
+    a, far, over, core = round_star(0, 1), round_star(2.5, 1), round_star(1.2, 1), round_star(0.1, 0.5)
+    tracemalloc.start()
+    found = polygon.distances_of([a, a, a], [far, over, core])
+    assert found[0] == pytest.approx(2.5 - 2 * 1.0001, abs=1e-4) and found[1:].tolist() == [0, 0]
+    assert not relate(a, far, "intersects") and relate(round_star(0, 1, 20_000), round_star(1.2, 1, 20_000), "overlaps")
+    assert relate(round_star(0, 1, 20_000), round_star(0.1, 0.5, 20_000), "contains")
+    assert tracemalloc.get_traced_memory()[1] < 1_500_000_000
+    tracemalloc.stop()
+
+
 def test_contact_in_blocks(monkeypatch):
     monkeypatch.setattr(polygon, "_CHUNK", 5)
     a, b, c = (Shape(w).segments.ravel() for w in (box(0, 0, 4, 4), box(4, 4, 5, 5), box(6, 6, 7, 7)))

@@ -1,13 +1,14 @@
 """Polygon work that Column expressions cannot carry: overlay areas, relations, distances.
 
-Arrow batches in, numpy inside. The overlay works on whole batches at once; relations and planar distances
-work on one pair at a time, after bounding boxes have thinned the pairs out on the JVM side.
+Arrow batches in, numpy inside, whole batches at once: overlay and boundary contact here, relations and distances in
+``relations`` with trees over all segments of a batch.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.functions import relations
 from wayfare.session import ship_package
 
 RELATIONS = ("contains", "within", "overlaps", "touches", "crosses", "disjoint", "intersects", "covers")
@@ -239,6 +241,11 @@ class Shape:
             keep = np.any(self.segments[:, :2] != self.segments[:, 2:], axis=1)
             self.segments = self.segments[keep]
 
+    @cached_property
+    def oriented(self) -> np.ndarray:
+        """Edges of a polygon with shells counter-clockwise and holes clockwise."""
+        return _shape_edges(self)[0]
+
     @property
     def empty(self) -> bool:
         return len(self.points) == 0
@@ -250,27 +257,8 @@ class Shape:
         return unique[counts % 2 == 1]
 
 
-def _on_segments(points: np.ndarray, segments: np.ndarray, tol: float) -> np.ndarray:
-    """Which points lie on any segment."""
-    if not len(points) or not len(segments):
-        return np.zeros(len(points), bool)
-    return point_segment_distances(points, segments).min(axis=1) <= tol
-
-
-def point_segment_distances(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
-    p, q = segments[:, :2], segments[:, 2:]
-    d = q - p
-    length = (d**2).sum(axis=1)
-    rel = points[:, None, :] - p[None, :, :]
-    t = np.clip((rel * d[None]).sum(axis=2) / np.where(length == 0, 1.0, length), 0.0, 1.0)
-    near = p[None] + t[:, :, None] * d[None]
-    return np.sqrt(((points[:, None, :] - near) ** 2).sum(axis=2))
-
-
 def _inside(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
     """Even-odd test against all rings at once."""
-    if not len(points) or not len(segments):
-        return np.zeros(len(points), bool)
     x, y = points[:, :1], points[:, 1:]
     x0, y0, x1, y1 = segments.T
     straddles = (y0 > y) != (y1 > y)
@@ -279,123 +267,13 @@ def _inside(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return (straddles & (x < at)).sum(axis=1) % 2 == 1
 
 
-def locate(points: np.ndarray, shape: Shape, tol: float) -> np.ndarray:
-    """1 interior, 0 boundary, -1 exterior of the shape, for each point."""
-    on = _on_segments(points, shape.segments, tol)
-    if shape.dim == 2:
-        return np.where(on, 0, np.where(_inside(points, shape.segments), 1, -1))
-    if shape.dim == 1:
-        ends = shape.ends()
-        at_end = _on_segments(points, np.concatenate([ends, ends], axis=1), tol) if len(ends) else np.zeros(len(points), bool)
-        return np.where(on, np.where(at_end, 0, 1), -1)
-    return np.where(on, 1, -1)
-
-
-def _crossings(a: np.ndarray, b: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Intersection points of two segment sets, as (index into a, position along it) rows, and the points."""
-    d1, d2 = a[:, None, 2:] - a[:, None, :2], b[None, :, 2:] - b[None, :, :2]
-    start = b[None, :, :2] - a[:, None, :2]
-    denominator = d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]
-    scale = np.hypot(d1[..., 0], d1[..., 1]) * np.hypot(d2[..., 0], d2[..., 1])
-    parallel = np.abs(denominator) <= 1e-12 * np.where(scale == 0, 1.0, scale)
-    safe = np.where(parallel, 1.0, denominator)
-    t = (start[..., 0] * d2[..., 1] - start[..., 1] * d2[..., 0]) / safe
-    u = (start[..., 0] * d1[..., 1] - start[..., 1] * d1[..., 0]) / safe
-    slack_t = tol / np.maximum(np.hypot(d1[..., 0], d1[..., 1]), 1e-300)
-    slack_u = tol / np.maximum(np.hypot(d2[..., 0], d2[..., 1]), 1e-300)
-    hit = ~parallel & (t >= -slack_t) & (t <= 1 + slack_t) & (u >= -slack_u) & (u <= 1 + slack_u)
-    i, j = np.nonzero(hit)
-    at = t[i, j]
-    return np.stack([i, at], axis=1) if len(i) else np.zeros((0, 2)), a[i, :2] + at[:, None] * (a[i, 2:] - a[i, :2])
-
-
-def _piece_midpoints(a: np.ndarray, b: np.ndarray, tol: float) -> np.ndarray:
-    """Midpoints of the pieces that segments of ``a`` fall into when cut by segments of ``b``."""
-    cuts, _ = _crossings(a, b, tol)
-    ends = np.concatenate([b[:, :2], b[:, 2:]])
-    d = a[:, 2:] - a[:, :2]
-    length = (d**2).sum(axis=1)
-    rel = ends[None] - a[:, None, :2]
-    t = (rel * d[:, None]).sum(axis=2) / length[:, None]
-    away = np.hypot(*np.moveaxis(rel - t[..., None] * d[:, None], 2, 0))
-    i, j = np.nonzero((away <= tol) & (t > 0) & (t < 1))
-    rows = np.concatenate([cuts, np.stack([i, t[i, j]], axis=1), [[k, v] for k in range(len(a)) for v in (0.0, 1.0)]])
-    rows[:, 1] = np.clip(rows[:, 1], 0.0, 1.0)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    same = rows[1:, 0] == rows[:-1, 0]
-    seg = rows[:-1, 0].astype(int)
-    wide = (rows[1:, 1] - rows[:-1, 1]) * np.sqrt(length)[seg] > tol
-    keep = same & wide
-    middle = (rows[1:, 1] + rows[:-1, 1])[keep] / 2
-    return a[seg[keep], :2] + middle[:, None] * d[seg[keep]]
-
-
-def relation_matrix(a: Shape, b: Shape) -> dict[str, bool | int]:
-    """Which interiors, boundaries and exteriors meet, and the dimension of the interiors' meeting (-1 for none)."""
-    extent = np.ptp(np.concatenate([a.points, b.points]), axis=0).max()
-    magnitude = np.abs(np.concatenate([a.points, b.points])).max()
-    tol = 1e-10 * max(extent, 1e-300) + 4e-16 * magnitude
-    m = {"II": -1, "IB": False, "BI": False, "BB": False, "IE": False, "EI": False, "BE": False, "EB": False}
-    _half_matrix(a, b, tol, m, "{0}{1}")
-    _half_matrix(b, a, tol, m, "{1}{0}")
-    if a.dim == 2 and b.dim == 2:
-        area_a, area_b = _net_area(a), _net_area(b)
-        both = float(overlay_areas(_shape_edges(a), _shape_edges(b))[0])
-        eps = 1e-9 * min(area_a, area_b)
-        m["II"] = 2 if both > eps else m["II"]
-        m["IE"] = area_a - both > eps
-        m["EI"] = area_b - both > eps
-    elif a.dim == 2:
-        m["IE"] = True
-    elif b.dim == 2:
-        m["EI"] = True
-    return m
-
-
-def _half_matrix(a: Shape, b: Shape, tol: float, m: dict, key: str) -> None:
-    """What the parts of ``a`` say about the matrix; ``key`` orders the two letters."""
-
-    def mark(part: str, where: np.ndarray, dimension: int) -> None:
-        for code, letter in ((1, "I"), (0, "B"), (-1, "E")):
-            if not np.any(where == code):
-                continue
-            name = key.format(part, letter)
-            if name == "II":
-                m["II"] = max(m["II"], dimension)
-            elif name != "EE":
-                m[name] = True
-
-    if a.dim == 0:
-        mark("I", locate(a.points, b, tol), 0)
-        return
-    middles = _piece_midpoints(a.segments, b.segments, tol) if len(b.segments) and b.dim else (a.segments[:, :2] + a.segments[:, 2:]) / 2
-    if b.dim == 0:
-        # A finite set of points never fills a piece.
-        mark("I" if a.dim == 1 else "B", np.array([-1]), 1)
-    elif a.dim == 1:
-        mark("I", locate(middles, b, tol), 1)
-    else:
-        mark("B", locate(middles, b, tol), 1)
-    if b.dim:
-        _, crossing = _crossings(a.segments, b.segments, tol)
-        corners = np.concatenate([crossing, a.points, b.points])
-    else:
-        corners = np.concatenate([a.points, b.points])
-    in_a, in_b = locate(corners, a, tol), locate(corners, b, tol)
-    for code_a, letter_a in ((1, "I"), (0, "B")):
-        for code_b, letter_b in ((1, "I"), (0, "B"), (-1, "E")):
-            if np.any((in_a == code_a) & (in_b == code_b)):
-                name = key.format(letter_a, letter_b)
-                if name == "II":
-                    m["II"] = max(m["II"], 0)
-                elif not (letter_b == "E" and letter_a == "I"):
-                    m[name] = True
-                elif a.dim == 1:
-                    m[name] = True
-
-
-def _net_area(shape: Shape) -> float:
-    return float(overlay_areas(_shape_edges(shape), _shape_edges(shape))[0])
+def _net_area(edges: np.ndarray) -> float:
+    """Area within oriented edges."""
+    e = edges.reshape(-1, 4)
+    if not len(e):
+        return 0.0
+    y = e[:, 1::2] - e[0, 1]
+    return max(float(((e[:, 0] - e[:, 2]) * y.sum(axis=1)).sum()) / 2, 0.0)
 
 
 def _shape_edges(shape: Shape) -> list[np.ndarray]:
@@ -417,44 +295,55 @@ def boxes_apart(a: Shape, b: Shape) -> bool:
     return bool((a.low > b.high).any() or (b.low > a.high).any())
 
 
+def relate_all(a: Sequence[Shape], b: Sequence[Shape], relation: str) -> np.ndarray:
+    """One named relation of each pair of shapes."""
+    if relation not in RELATIONS:
+        raise ValueError(f"unknown relation: {relation}")
+    out = np.full(len(a), relation == "disjoint")
+    near = np.array([not (x.empty or y.empty or boxes_apart(x, y)) for x, y in zip(a, b)], bool)
+    rows = np.flatnonzero(near)
+    if len(rows):
+        left, right = [a[k] for k in rows], [b[k] for k in rows]
+        edges = [[x.oriented if x.dim == 2 else _NO_EDGES for x in side] for side in (left, right)]
+        areas = [np.array([_net_area(e) for e in side]) for side in edges]
+        common = overlay_areas(*edges)
+        mine, theirs = relations.Side(left), relations.Side(right)
+        out[rows] = relations.holds(relations.matrices(mine, theirs, (*areas, common)), mine.dim, theirs.dim, relation)
+    return out
+
+
 def relate(a: Shape, b: Shape, relation: str) -> bool:
     """One named relation between two shapes."""
-    if relation == "within":
-        return relate(b, a, "contains")
-    if a.empty or b.empty or boxes_apart(a, b):
-        if relation not in RELATIONS:
-            raise ValueError(f"unknown relation: {relation}")
-        return relation == "disjoint"
-    m = relation_matrix(a, b)
-    meet = m["II"] >= 0 or m["IB"] or m["BI"] or m["BB"]
-    if relation == "disjoint":
-        return not meet
-    if relation == "intersects":
-        return meet
-    if relation == "contains":
-        return m["II"] >= 0 and not m["EI"] and not m["EB"]
-    if relation == "covers":
-        return meet and not m["EI"] and not m["EB"]
-    if relation == "touches":
-        return m["II"] < 0 and meet
-    if relation == "overlaps":
-        return a.dim == b.dim and m["II"] == a.dim and m["IE"] and m["EI"]
-    if relation == "crosses":
-        if a.dim == b.dim:
-            return a.dim == 1 and m["II"] == 0
-        return m["II"] >= 0 and (m["IE"] if a.dim < b.dim else m["EI"])
-    raise ValueError(f"unknown relation: {relation}")
-
-
-def _per_pair(a: pd.Series, b: pd.Series, fn) -> pd.Series:
-    shapes: dict[str, Shape] = {}
-
-    def shape(text: str) -> Shape:
-        if text not in shapes:
-            shapes[text] = Shape(text)
-        return shapes[text]
-
-    return pd.Series([None if x is None or y is None else fn(shape(x), shape(y)) for x, y in zip(a, b)], dtype=object)
+    return bool(relate_all([a], [b], relation)[0])
+
+
+def distances_of(a: Sequence[Shape], b: Sequence[Shape]) -> np.ndarray:
+    """Shortest distance of each pair of shapes; NaN where one is empty."""
+    out = np.full(len(a), np.nan)
+    rows = np.flatnonzero([not (x.empty or y.empty) for x, y in zip(a, b)])
+    if len(rows):
+        out[rows] = relations.distances(relations.Side([a[k] for k in rows]), relations.Side([b[k] for k in rows]))
+    return out
+
+
+#: Coordinates of the pairs that are taken at once: a few tens of megabytes.
+_BATCH_POINTS = 500_000
+
+
+def _by_batch(a: pd.Series, b: pd.Series, fn) -> pd.Series:
+    """``fn`` of two lists of shapes over all rows that have both; equal texts are parsed once. Batches have a bounded number of points."""
+    out = pd.Series([None] * len(a), dtype=object)
+    rows = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    texts = {t: Shape(t) for t in pd.unique(pd.concat([a.iloc[rows], b.iloc[rows]], ignore_index=True))}
+    left, right = [texts[t] for t in a.iloc[rows]], [texts[t] for t in b.iloc[rows]]
+    ends = np.cumsum([len(x.points) + len(y.points) for x, y in zip(left, right)])
+    at = 0
+    while at < len(rows):
+        base = ends[at - 1] if at else 0
+        end = max(int(np.searchsorted(ends, base + _BATCH_POINTS, side="right")), at + 1)
+        out.iloc[rows[at:end]] = fn(left[at:end], right[at:end]).tolist()
+        at = end
+    return out
 
 
 def relation_udf(relation: str):
@@ -464,30 +353,15 @@ def relation_udf(relation: str):
 
     @F.pandas_udf(T.BooleanType())
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _per_pair(a, b, lambda x, y: relate(x, y, relation))
+        return _by_batch(a, b, lambda x, y: relate_all(x, y, relation))
 
     return test.asNondeterministic()
 
 
-def planar_distance_of(a: Shape, b: Shape) -> float | None:
-    if a.empty or b.empty:
-        return None
-    near = float(
-        min(
-            point_segment_distances(a.points, b.segments).min(),
-            point_segment_distances(b.points, a.segments).min(),
-        )
-    )
-    # Boundaries at a distance still leave crossing edges and a shape inside the other.
-    if near == 0.0 or boxes_apart(a, b) or not relate(a, b, "intersects"):
-        return near
-    return 0.0
-
-
 @F.pandas_udf(T.DoubleType())
 def planar_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shortest distance between two WKT geometries in coordinate units, zero when they meet."""
-    return _per_pair(a, b, planar_distance_of)
+    return _by_batch(a, b, distances_of).replace({np.nan: None})
 
 
 # ---------------------------------------------------------------- geodesic distance
