@@ -88,6 +88,27 @@ def test_percentiles_order_nothing_in_windows(spark):
     assert "Window" not in plan(result)
 
 
+def test_tables_by_agent_need_no_exchange(spark, tmp_path):
+    t = Inputs(spark, FOLDER)
+    names = ["test_visits", "test_homes", "test_weights"]
+    movement.store_by_agent(t["staypoint"], t["homework"], t["weight"], names, buckets=4, folder=str(tmp_path))
+    visits, homes, weights = (spark.table(n) for n in names)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = homes.groupBy("agent_id", "home", "work").count()
+        places = visits.distinct()
+        joined = places.join(pairs, "agent_id").groupBy("agent_id", "home").count().join(weights, "agent_id")
+        assert "Exchange" not in plan(joined)
+        index = movement.agent_index(visits, homes, t["geo_hierarchy"].hint("broadcast"), ["sa2"])
+        assert "hashpartitioning(agent_id" not in plan(movement.weighted_index(index, weights))
+        plain = movement.agent_index(t["staypoint"], t["homework"], t["geo_hierarchy"], ["sa2"])
+        assert sorted(index.collect()) == sorted(plain.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in names:
+            spark.sql(f"drop table {n}")
+
+
 def test_geometries_are_read_once_and_not_shuffled_to_tiles(spark):
     t = Inputs(spark, FOLDER)
     both = t["box_wkt"].selectExpr("id as a", "wkt as a_wkt"), t["box_wkt"].selectExpr("id as b", "wkt as b_wkt")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare import schemas
-from wayfare.sources import geojson, readers, writers
+from wayfare.sources import geojson, json_split, readers, writers
 from wayfare.sources.events import SINGAPORE, SYDNEY, format_events, parse_cells, parse_events
 from wayfare.sources.routes import format_routes, parse_routes
 from wayfare.functions.time import format_offset_ts
@@ -164,3 +164,28 @@ def test_a_rerun_replaces_its_days_only(spark, tmp_path):
         assert sorted((r.n, r.date) for r in found.collect()) == [(1, "2024-01-01"), (3, "2024-01-03"), (20, "2024-01-02"), (21, "2024-01-02")]
         one = readers.read_days(spark, f"{path}-{fmt}", kind, "2024-01-03", fmt=fmt)
         assert [r.n for r in one.collect()] == [3] and "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("split", [None, "200"])
+def test_features_of_split_files(spark, tmp_path, split):
+    """Features of documents cut anywhere, with brackets, quotes and escapes in strings, and members around the array."""
+    names = ['a"}{', "\\", '\\"', "[{", "}" * 9, "", "é\n", None] * 4
+    for k, indent in enumerate((None, 1)):
+        features = [{"type": "Feature", "properties": {"name": n, "k": i, "deep": {"a": [{"b": "}"}]}}, "geometry": {"type": "Point", "coordinates": [i, k]}} for i, n in enumerate(names)]
+        doc = {"type": "FeatureCollection", "crs": {"properties": {"name": "{["}}, "tags": ["}", {"x": 1}], "features": features, "note": "} ] {"}
+        (tmp_path / f"doc{k}.json").write_text(json.dumps(doc, indent=indent) + "\n" * k)
+    (tmp_path / "empty.json").write_text('{"type":"FeatureCollection","features":[]}')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found = json_split.feature_texts(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by_file = {}
+    for r in found:
+        by_file.setdefault(r.path[-9:], []).append((r.feature, json.loads(r.value)))
+    assert {f: len(v) for f, v in by_file.items()} == {"doc0.json": 32, "doc1.json": 32}
+    for k in (0, 1):
+        told = [v for _, v in sorted(by_file[f"doc{k}.json"], key=lambda p: p[0])]
+        assert [(v["properties"]["name"], v["properties"]["k"], v["geometry"]["coordinates"]) for v in told] == [(n, i, [i, k]) for i, n in enumerate(names)]

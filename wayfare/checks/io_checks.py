@@ -10,7 +10,7 @@ from wayfare.checks.registry import check, r
 from wayfare.checks.table_checks import _LEVELS_SQL, _PARSES, updates
 from wayfare.operators import quality
 from wayfare.plans.cells import cell_inventory
-from wayfare.plans.movement import movement_index_by_level, write_levels
+from wayfare.plans.movement import movement_index_by_level, store_by_agent, write_levels
 from wayfare.session import scratch_path
 from wayfare.sources import readers as R
 from wayfare.sources import writers as K
@@ -137,6 +137,17 @@ def k3(t):
     return t.spark.read.parquet(path).withColumns({"mean": r("mean"), "median": r("median")})
 
 
+# The day's visits, homes and weights are kept by agent once; the job then reads the tables.
+@check("e2_over_tables_by_agent", _LEVELS_SQL)
+def e2_by_agent(t):
+    folder = scratch_path(t.spark, "agents")
+    names = [f"{kind}_{folder[-32:]}" for kind in ("visits", "homes", "weights")]
+    store_by_agent(t["staypoint"], t["homework"], t["weight"], names, buckets=8, folder=folder)
+    visits, homes, weights = (t.spark.table(n) for n in names)
+    found = movement_index_by_level(visits, homes, t["geo_hierarchy"], weights, "2024-01-31")
+    return found.withColumns({"mean": r("mean"), "median": r("median")})
+
+
 @check("k4_write_text", "select agent_id || '|' || cgi as value from lbs_event")
 def k4(t):
     path = scratch_path(t.spark, "text")

@@ -11,6 +11,7 @@ from wayfare.functions.geo import grid_distance, grid_to_coord, home_work_distan
 from wayfare.operators.filters import known_home_and_work
 from wayfare.operators.ordered import with_place
 from wayfare.operators.percentile import weighted_summary
+from wayfare.sources.writers import write_bucketed
 
 MIN_HOME_WORK_M = 1000
 #: Copies that are made at once, and areas of a list.
@@ -136,3 +137,14 @@ def movement_index_by_level(
 def write_levels(result: DataFrame, path: str) -> None:
     """One folder per level, in a single pass over the result."""
     result.write.mode("error").partitionBy("level").parquet(path)
+
+
+def store_by_agent(visits: DataFrame, homework: DataFrame, weights: DataFrame, names: Sequence[str], buckets: int = 200, folder: str | None = None) -> None:
+    """Keep a day's distinct visits, the homes and the weights as tables divided by agent, under three ``names``.
+
+    ``agent_index`` and ``weighted_index`` over these tables (``spark.table``) join and group without an exchange. Visits are distinct, so the
+    busiest agent has as many rows as there are areas.
+    """
+    places = visits.select("agent_id", "geo_unit_id").where(F.col("geo_unit_id").isNotNull()).distinct()
+    for name, rows in zip(names, (places, homework.select("agent_id", "home", "work"), weights.select("agent_id", "weight"))):
+        write_bucketed(rows, name, buckets=buckets, path=f"{folder}/{name}" if folder else None)

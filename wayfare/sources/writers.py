@@ -40,3 +40,13 @@ def write_days(df: DataFrame, path: str, *, day: str = "date", fmt: str = "parqu
     their options; for text the other column is the line. Rows of a day stay in as many files as there are tasks that have some.
     """
     df.write.mode("overwrite").format(fmt).options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(day).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, *, by: str = "agent_id", buckets: int = 200, path: str | None = None, mode: str = "error") -> None:
+    """A table whose files are divided by a key, one file for each bucket and sorted by the key.
+
+    Joins and groupings by the key over tables with as many buckets need no exchange, day after day. ``path`` puts the files there;
+    otherwise they go to the warehouse. A key with very many rows makes one large bucket: store such tables as distinct rows or sums.
+    """
+    writer = df.repartition(buckets, by).write.mode(mode).format("parquet").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
