@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tools import CLASHING, SCHEMA, edge_rows, table
 
 import corpus_pipeline
@@ -112,3 +113,20 @@ def test_stages_of_the_pipeline(spark, tmp_path):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert current.columns == columns, name
         assert (current.count() == 0) == (start is not docs)
+
+
+def test_columns_of_any_name_pass_through_the_pipeline(spark, tmp_path):
+    """Columns that an operator uses for itself are columns of the documents like any other, with their values."""
+    own = "size position kept keep_id group_size toxic severity p_toxic fingerprint component_id taken positions target text_sha256".split()
+    folder = str(tmp_path)
+    docs = table(spark, edge_rows()).select("doc_id", "text", "source")
+    for name in own:
+        docs = docs.withColumn(name, F.concat(F.lit(f"own {name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs.select("doc_id", "text").write.parquet(f"{folder}/documents.parquet")
+    current = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, folder)
+        assert current.columns == docs.columns, name
+        for r in current.collect():
+            assert [r[c] for c in own] == [f"own {c} {'none' if r.doc_id is None else r.doc_id}" for c in own], name

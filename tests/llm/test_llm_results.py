@@ -434,6 +434,12 @@ def test_embedding_links_are_those_of_all_pairs(spark, monkeypatch, cell, block)
     assert embedding.embedding_groups(docs.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size_link(spark):
+    rows = [(1, [1e-200] * 4), (2, [1e-200] * 4), (3, [1e200] * 4), (4, [2e200] * 4), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1.7e308, 0.0, 1.0, 0.0]), (7, [-1e300, 1e300, 0.0, 0.0])]
+    found = embedding.embedding_groups(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7)}
+
+
 def test_copies_to_cells_lose_no_link():
     rng = np.random.default_rng(9)
     unit = rng.normal(size=(400, 8))

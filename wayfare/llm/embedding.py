@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
@@ -106,6 +106,15 @@ def _block_links(threshold: float):
     return run
 
 
+def _scaled(vector: Column) -> Column:
+    """The vector with its largest component near one where squares would under- or overflow. By powers of two, in two steps, so exact."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    power = F.when((largest > 0) & ((largest < 1e-100) | (largest > 1e100)), -F.floor(F.log2(largest))).otherwise(F.lit(0)).cast("double")
+    half = F.floor(power / 2).cast("double")
+    scaled = F.transform(vector, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half))
+    return F.when(power == 0, vector).otherwise(scaled)
+
+
 def embedding_groups(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98
 ) -> DataFrame:
@@ -114,6 +123,7 @@ def embedding_groups(
     Two vectors link if their labels are equal and not null, they have as many components, and their cosine is ``threshold`` or more.
 
     * Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: no links, own component, kept.
+    * Finite vectors of any size link: very large and very small ones are scaled by a power of two first.
     * A row without id links with nothing and is not counted as a link; its component is null and it is kept.
     * Ties and repeated rows link with each other like any vectors; rows that repeat an id are kept or dropped together.
     * An empty table gives no rows. Other columns pass through unchanged.
@@ -123,9 +133,8 @@ def embedding_groups(
     names = {k: unused(vectors, f"emb_{k}") for k in ("class", "vector", "dim")}
     doubles = F.coalesce(given.cast("array<double>"), F.array().cast("array<double>"))
     faulty = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    square = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x)
-    usable = ident.isNotNull() & label.isNotNull() & ~faulty & (square > 0) & (square < float("inf"))
-    marked = vectors.withColumns({names["class"]: F.when(usable, label.cast("string")), names["vector"]: F.when(usable, doubles), names["dim"]: F.size(doubles)})
+    usable = ident.isNotNull() & label.isNotNull() & ~faulty & F.exists(doubles, lambda x: x != 0)
+    marked = vectors.withColumns({names["class"]: F.when(usable, label.cast("string")), names["vector"]: F.when(usable, _scaled(doubles)), names["dim"]: F.size(doubles)})
     able = marked.where(F.col(names["class"]).isNotNull())
     same = able.groupBy(F.col(names["class"]).alias("class"), F.col(names["vector"]).alias("vector"), F.col(names["dim"]).alias("dim"))
     nodes = hold(same.agg(F.min(ident).cast("long").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
