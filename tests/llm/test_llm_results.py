@@ -274,6 +274,17 @@ DISGUISED = {
     "by ｊоhn@ехample.com, who left": ("email", "ｊоhn@ехample.com"),
     "ring +１ ４１５ ５５５ ０１２３ today": ("phone", "+１ ４１５ ５５５ ０１２３"),
     "it is jo​hn@exa​mple.com or so": ("email", "jo​hn@exa​mple.com"),
+    "mail joℎn@example.com or not": ("email", "joℎn@example.com"),
+    "mail jℴe@example.com or not": ("email", "jℴe@example.com"),
+    "mail ⓙoe@example.com or not": ("email", "ⓙoe@example.com"),
+    "mail ρeter@example.com or not": ("email", "ρeter@example.com"),
+    "ring 555 five five five zero one two three please": ("phone", "555 five five five zero one two three"),
+    "ring four one double five five oh one two three please": ("phone", "four one double five five oh one two three"),
+    "ring plus forty nine one seven 0 triple three one two please": ("phone", "plus forty nine one seven 0 triple three one two"),
+    "the host ten dot twenty dot one dot one answers": ("ip", "ten dot twenty dot one dot one"),
+    "the host ten dot twenty-four dot zero dot eleven answers": ("ip", "ten dot twenty-four dot zero dot eleven"),
+    "write to jane @ example . com today": ("email", "jane @ example . com"),
+    "write to jane@ mail . example.co . uk today": ("email", "jane@ mail . example.co . uk"),
 }
 
 
@@ -283,13 +294,14 @@ def test_disguised_identifiers(text):
     assert (kind, text.index(source), text.index(source) + len(source), False) in pii.find_spans(text)
 
 
-@pytest.mark.parametrize("text", ["the end of it at dot", "is at ble. The dot", "un un un un un un un un un un", "look at this dot on the map", "one two three four", "Привет @ мир. Да"])
+@pytest.mark.parametrize("text", ["the end of it at dot", "is at ble. The dot", "un un un un un un un un un un", "look at this dot on the map", "one two three four", "Привет @ мир. Да", "one two three four five six seven eight nine", "nine eight seven six five four three two one zero",
+        "seven eight nine ten eleven twelve thirteen", "nineteen twenty twenty-one twenty-two twenty-three twenty-four", "meet me @ home. It was fine", "in 1999 2000 2001 2002 one of them", "x² + y² = 4"])
 def test_clean_texts_stay_clean(text):
     assert pii.find_spans(text) == []
 
 
 def test_detectors_are_linear():
-    for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "at dot " * 30_000, "one " * 50_000):
+    for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "at dot " * 30_000, "one " * 50_000, "one 12 " * 40_000, "double " * 40_000, "a @ b . " * 40_000, "@ a . " * 40_000):
         pii.find_spans(text)
 
 
@@ -337,6 +349,16 @@ def test_substring_dedup_of_periodic_and_chunked_texts(spark, monkeypatch, tmp_p
     assert found == without_repeats({i: t.encode() for i, t in texts.items()})
 
 
+def test_substring_dedup_of_thue_morse_texts(spark, tmp_path):
+    """Texts that sums modulo a power of two cannot tell apart: a Thue-Morse word and its complement behind and before the same bytes."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1_024))
+    other, head = word.translate(str.maketrans("ab", "ba")), prose(5, 40)
+    texts = {0: head + word[:256] + head, 1: head + other[:256] + head, 2: word, 3: other, 4: word[:128] * 3, 5: other[128:512] + head, 6: head[:150] + word[:400]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert found == without_repeats({i: t.encode() for i, t in texts.items()})
+
+
 def test_runs_do_not_depend_on_the_pack():
     rng = np.random.default_rng(7)
     text = bytes(rng.integers(97, 101, 3_000, dtype=np.uint8))
@@ -487,3 +509,77 @@ def test_pipeline_is_the_stages_by_brute_force(spark, texts, encoder):
     found = corpus_pipeline.run(spark, FOLDER).collect()
     assert Counter((r.doc_id, r.ids_sha256) for r in found) == expected
     assert all(r.decoded_sha256 == sha(texts[r.doc_id].encode()) for r in found)
+
+
+def disguise(kind: str, rng: random.Random) -> str:
+    """An identifier of a kind in one of the disguises that are undone."""
+    words = dict(zip("0123456789", pii.DIGIT_WORDS[0].split()))
+    spelled = lambda digits: " ".join(words[d] for d in digits)
+    if kind == "email":
+        user, host, end = rng.choice(["ana.lee", "bob", "c_d"]), rng.choice(["mail", "post-box"]), rng.choice(["com", "org", "co.uk"])
+        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", " . ")])
+        if at == " @ ":
+            return f"{user}{at}{host}{dot}{end}"
+        plain = f"{user.replace('.', dot)}{at}{host}{dot}{end.replace('.', dot)}"
+        return rng.choice([plain, f"{user}@{host}.{end}".replace("o", "о").replace("a", "а").replace("e", "ⓔ")])
+    if kind == "ip":
+        parts = [str(rng.randint(0, 255)) for _ in range(4)]
+        return rng.choice([" dot ".join(map(spelled, parts)), ".".join(parts).translate({48 + i: 0xFF10 + i for i in range(10)})])
+    if kind == "card":
+        digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
+        digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+        return rng.choice([spelled(digits), digits.translate({48 + i: 0x0660 + i for i in range(10)})])
+    digits = "4" + "".join(str(rng.randint(0, 9)) for _ in range(10))
+    return rng.choice([f"plus {spelled(digits)}", f"{digits[:3]} {spelled(digits[3:])}", f"+{digits}".translate({48 + i: 0x1D7CE + i for i in range(10)})])
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_recall_of_planted_disguises(kind):
+    rng, found = random.Random(kind), 0
+    for k in range(400):
+        text, hidden = prose(k, 40).split(), disguise(kind, rng)
+        source = " ".join([*text[:20], "so:", hidden, "; and", *text[20:]])
+        at = source.index(hidden)
+        found += any(k == kind and s <= at and e >= at + len(hidden) for k, s, e, _ in pii.find_spans(source))
+    assert found >= 360
+
+
+def test_likelihood_and_scores_by_brute_force():
+    """The fit is a stationary point of the penalised likelihood, by numeric differences, and no other start or step does better."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 5))) for _ in range(300)]
+    grades = np.array([min(3, int((r < 4).sum() + (rng.random() < 0.2))) for r in rows])
+    ridge = 1e-2
+    model = toxicity.fit(rows, grades, rounds=6_000, rate=0.05, ridge=ridge)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for row, grade in zip(rows, grades):
+            above = [1.0, *(1 / (1 + np.exp(t - sum(weights[s] for s in row))) for t in thresholds), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(rows) + ridge / 2 * (weights**2).sum()
+
+    weights, thresholds = model.weights[:12].copy(), model.thresholds.copy()
+    best = loss(weights, thresholds)
+    for k in range(12):
+        step = np.zeros(12)
+        step[k] = 1e-4
+        assert abs(loss(weights + step, thresholds) - loss(weights - step, thresholds)) / 2e-4 < 2e-3
+    for k in range(3):
+        step = np.zeros(3)
+        step[k] = 1e-4
+        assert abs(loss(weights, thresholds + step) - loss(weights, thresholds - step)) / 2e-4 < 2e-3
+    for _ in range(30):
+        assert loss(weights + rng.normal(size=12) * 0.1, np.sort(thresholds + rng.normal(size=3) * 0.1)) > best
+    assert not model.weights[12:].any()
+    for row in rows[:50]:
+        above = 1 / (1 + np.exp(thresholds - weights[row].sum()))
+        assert np.allclose(model.above(row), above)
+
+
+def test_toxicity_query_by_plain_sums(spark, texts):
+    model = toxicity.fit_from_tables(spark, FOLDER)
+    for r in QUERIES["op2_toxicity"](spark, FOLDER).collect():
+        score = sum(model.weights[s] for s in toxicity.features(texts[r.doc_id]).tolist())
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(above)) and r.p_toxic == pytest.approx(above[0]) and r.toxic == (r.p_toxic >= toxicity.CUT)

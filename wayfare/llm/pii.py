@@ -3,10 +3,11 @@
 Plain identifiers are found in the text itself (the base spans). Disguised ones are found by three transducers that rewrite the
 text and keep, for every piece of their output, where it came from:
 
-1. ``fold``: look-alike letters, full-width and mathematical characters and the digits of other scripts become ASCII, and invisible
-   characters vanish;
-2. ``spell``: runs of spelled-out digits become digits, ``dot`` between them a full stop;
-3. ``unmask``: ``[at]``, ``(dot)``, `` at `` and `` dot `` become the characters they stand for, where an address can stand around them.
+1. ``fold``: characters that are compatible with one ASCII character (full-width, mathematical, circled and the like), look-alikes of other scripts
+   and their digits become ASCII, and invisible characters vanish;
+2. ``spell``: runs of spelled-out numbers, alone or among digits, become digits, ``dot`` between them a full stop; counting is left alone;
+3. ``unmask``: ``[at]``, ``(dot)``, `` at `` and `` dot `` become the characters they stand for, and spaces beside an ``@`` and the dots behind it go, where
+   an address can stand around them.
 
 The detectors of the base spans then read the rewritten text, and what they find is mapped back through the transducers.
 A found span is added if it contains something rewritten and does not lie in a base span of its kind.
@@ -106,8 +107,11 @@ class Tape:
         return begin, (a + end - self.starts[last] if copied else b)
 
 
-# Letters of other scripts that look like ASCII letters.
-LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡ", "ABEKMHOPCTYXaeopcyxijsdhqwABEZHIKMNOPTYXog"))
+# Letters of other scripts that look like ASCII letters, and those letters (Cyrillic, Greek, Armenian, Latin).
+LOOKALIKES = dict(zip(
+    "АВЕКМНОРСТУХЅІЈаеорсухіјѕԁһԛԝҽүӏгΑΒΕΖΗΙΚΜΝΟΡΤΥΧανιορυγօոսհցɡɑıⅼ",
+    "ABEKMHOPCTYXSIJaeopcyxijsdhqweylrABEZHIKMNOPTYXaviopuyonuhggail",
+))
 # Digits in words, from zero to nine.
 DIGIT_WORDS = (
     "zero one two three four five six seven eight nine",
@@ -120,24 +124,27 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 
 def _folds() -> dict[str, str]:
-    """Look-alikes, and by rule full-width forms, mathematical letters and the decimal digits of other scripts."""
-    table = dict(LOOKALIKES)
-    table |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    for c in map(chr, range(0x1D400, 0x1D800)):
+    """By rule every character whose compatibility form is one visible ASCII character, and decimal digits of other scripts; then look-alikes."""
+    table = {}
+    for c in map(chr, range(0x80, 0x1FBFA)):
         plain = unicodedata.normalize("NFKC", c)
-        if len(plain) == 1 and plain.isascii():
+        if len(plain) == 1 and "!" <= plain <= "~":
             table[c] = plain
-    for c in map(chr, range(0x80, 0x1FBFA)):
-        if unicodedata.category(c) == "Nd":
+        elif unicodedata.category(c) == "Nd":
             table[c] = str(unicodedata.digit(c))
-    return table
+    return table | LOOKALIKES
 
 
 _FOLDS = _folds()
 _FOLDED = frozenset(_FOLDS) | frozenset(INVISIBLE)
 # A superset of what is folded, quick to search for: all from U+0300 on, and the keys below.
 _MAY_FOLD = re.compile(f"[{''.join(re.escape(c) for c in sorted(_FOLDED) if c < chr(0x300))}\u0300-\U0010ffff]")
+# From ten to nineteen, the tens from twenty, and how often a word in front says a digit stands in all.
+TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
+TIMES = {"double": 2, "triple": 3, "treble": 3}
 _VALUES = {w: str(i) for line in DIGIT_WORDS for i, w in enumerate(line.split())} | {"oh": "0"}
+_VALUES |= {w: str(i) for i, w in enumerate(TEENS.split(), 10)} | {w: str(10 * i) for i, w in enumerate(TENS.split(), 2)} | dict.fromkeys(TIMES, "")
 _WORDS = "|".join(sorted(_VALUES, key=len, reverse=True))
 
 
@@ -151,8 +158,10 @@ def _branching(words: list[str]) -> str:
 
 
 _ANY_WORD = _branching(list(_VALUES))
-_SPELLED_TRIGGER = re.compile(rf"\b{_ANY_WORD}(?:[\s,-]{{1,3}}(?:{_ANY_WORD}|dot|point|punkt|punto)){{3}}")
-_SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]{{1,3}}(?:{_WORDS}|dot|point|punkt|punto)){{6,}}(?!\w)", re.I)
+_SPELLED_TRIGGER = re.compile(rf"\b{_ANY_WORD}(?:[\s,-]{{1,3}}(?:{_ANY_WORD}|[0-9]{{1,4}}|dot|point|punkt|punto)){{3}}")
+_SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORDS}|[0-9]{{1,4}})(?:[\s,-]{{1,3}}(?:{_WORDS}|[0-9]{{1,4}}|dot|point|punkt|punto)){{3,}}(?!\w)", re.I)
+#: Words that a run of spelled and written digits has at least; fewer are words beside a number.
+_LEAST_WORDS = 3
 _SPELLED_PART = re.compile(r"\w+")
 _BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I)
 _PLAIN_AT = re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9]")  # of lower case; begins with letters, which a search finds quickly
@@ -170,15 +179,45 @@ _MASKED_AT = re.compile(
 _MASKED_DOT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){_DOT}(?=[A-Za-z0-9])", re.I)
 
 
+# Spaces beside an @ or the dots behind it. The address ends in a top-level domain, as above.
+_SPACED = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s{{0,3}}@\s{{0,3}}(?:{_LABEL}\s{{0,3}}\.\s{{0,3}}){{1,9}}?(?:{_WRITTEN_ENDING})(?![A-Za-z0-9_-]|\s{{0,3}}\.\s{{0,3}}(?:{_WRITTEN_ENDING})(?![A-Za-z0-9_-]))")
+_SPACES = re.compile(r"\s+")
+
+
 def fold(text: str) -> list[tuple[int, int, str]]:
     if text.isascii() or not _MAY_FOLD.search(text) or not (present := _FOLDED.intersection(text)):
         return []
     return [(m.start(), m.end(), _FOLDS.get(m[0], "")) for m in re.finditer(f"[{''.join(map(re.escape, sorted(present)))}]", text)]
 
 
+def _worth(text: str, start: int, end: int) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """What each word of a run stands for (start, end, digits, ``+`` or ``.``), and the amounts said, with tens and ones together."""
+    parts = [(m.start(), m.end(), m[0].lower()) for m in _SPELLED_PART.finditer(text, start, end)]
+    words, amounts = [], []
+    for k, (a, b, word) in enumerate(parts):
+        following = _VALUES.get(parts[k + 1][2], "") if k + 1 < len(parts) else ""
+        before = parts[k - 1][2] if k else ""
+        if word in TIMES:
+            value = following * (TIMES[word] - 1) if len(following) == 1 else ""
+        elif word.isdigit():
+            value = word
+        else:
+            value = _VALUES.get(word, "+" if word == "plus" else ".")
+        if word in TENS.split() and len(following) == 1 and following != "0":
+            value = value[0]
+        if value.isdigit() and word not in TIMES:
+            joined = before in TENS.split() and word not in TENS.split() and len(value) == 1 and value != "0" and not word.isdigit()
+            if joined and amounts:
+                amounts[-1] += int(value)
+            else:
+                amounts.append(int(_VALUES.get(word, value)))
+        words.append((a, b, value))
+    return words, amounts
+
+
 def _numbers(text: str, start: int, end: int, breaks: tuple[str, ...] = ("\r\n", ",")) -> list[list[tuple[int, int, str]]]:
     """The spelled numbers of a run of words: start, end and value of each word. A run that is no number is tried by lines, then by what commas part."""
-    words = [(m.start(), m.end(), _VALUES.get(m[0].lower(), "+" if m[0].lower() == "plus" else ".")) for m in _SPELLED_PART.finditer(text, start, end)]
+    words, amounts = _worth(text, start, end)
     digits = "".join(v for _, _, v in words if v not in "+.")
     dots = sum(v == "." for _, _, v in words)
     right = dots == 3 or not dots and (8 <= len(digits) <= 15 or 16 <= len(digits) <= 19 and luhn(digits))
@@ -191,7 +230,9 @@ def _numbers(text: str, start: int, end: int, breaks: tuple[str, ...] = ("\r\n",
                 return found
     if len(digits) < 8 and dots != 3 or len(set(digits)) < 2:
         return []  # too short, or one word over and over
-    return [words]
+    if {b - a for a, b in zip(amounts, amounts[1:])} in ({1}, {-1}):
+        return []  # counting up or down
+    return [words] if sum(not text[a].isdigit() for a, _, _ in words) >= _LEAST_WORDS else []
 
 
 def spell(text: str) -> list[tuple[int, int, str]]:
@@ -212,10 +253,12 @@ def spell(text: str) -> list[tuple[int, int, str]]:
 
 def unmask(text: str) -> list[tuple[int, int, str]]:
     small = text.lower()
-    if "dot" not in small and not _BRACKETED.search(text) and not _PLAIN_AT.search(small):
-        return []
-    edits = [(m.start(), m.end(), "@") for m in _MASKED_AT.finditer(text)]
-    edits += [(m.start(), m.end(), ".") for m in _MASKED_DOT.finditer(text)]
+    edits = []
+    if "@" in text:
+        edits = [(*gap.span(), "") for m in _SPACED.finditer(text) for gap in _SPACES.finditer(text, *m.span())]
+    if "dot" in small or _BRACKETED.search(text) or _PLAIN_AT.search(small):
+        edits += [(m.start(), m.end(), "@") for m in _MASKED_AT.finditer(text)]
+        edits += [(m.start(), m.end(), ".") for m in _MASKED_DOT.finditer(text)]
     out, free = [], 0
     for start, end, new in sorted(edits):
         if start >= free:
