@@ -11,16 +11,18 @@ Suffixes of the whole corpus are never gathered. Three steps bring together only
    (``suffix_sort``) in blocks of whole anchors; adjacent common prefixes of ``SPAN`` bytes mark the windows that repeat.
 
 Documents in which nothing repeats pass straight through; a Bloom filter of bounded size tells which others have to shuffle.
-Hashes have 128 bits for pieces (64 of the anchor, 64 of the piece) and 64 for texts; two different texts with the same 64
-bits stop the query with an error instead of being mixed up.
+Running sums of bytes only choose anchors, which equal windows do alike whatever their hashes. What is compared are 128 bits for pieces (XXH3 of the anchor
+and of the piece, 64 bits each) and 128 bits of SHA-256 for texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +37,17 @@ PIECE, BLOCK = 1 << 19, 1 << 19
 #: instead, which spread over all tasks; the result is the same.
 MOST = 4_000
 ADDED = ["kept_text", "removed"]
-_TABLES = np.random.default_rng(20_240_229).integers(0, 2**64, (2, 256), np.uint64)
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
+_TABLE = np.random.default_rng(20_240_229).integers(0, 2**64, 256, np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 2**64)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a factor and of its inverse, modulo 2**64, for the longest pack."""
-    if which not in _POWERS:
-        size = 2 * (PIECE + SPAN)
-        up, down = np.full(size, _FACTORS[which], np.uint64), np.full(size, _inverse(int(_FACTORS[which])), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[which] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[which]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse, modulo 2**64, for the longest pack."""
+    size = 2 * (PIECE + SPAN)
+    up, down = np.full(size, _FACTOR, np.uint64), np.full(size, pow(_FACTOR, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,12 +55,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(raw: np.ndarray, which: int, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-    """Hashes of raw[start:end] for arrays of bounds: differences of running sums."""
-    up, down = _powers(which)
+def _gram_ranks(raw: np.ndarray) -> np.ndarray:
+    """A number for every string of ``GRAM`` bytes: differences of running sums. Equal strings have equal numbers, most others do not."""
+    up, down = _powers()
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLES[which][raw] * up[: len(raw)], out=sums[1:])
-    return _mixed((sums[end] - sums[start]) * down[: len(raw) + 1][start])
+    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    return _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(raw) + 1 - GRAM])
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,7 +74,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of the texts laid end to end in ``raw``: first and last window start, anchor hash, piece hash, text number."""
-    grams = _hashes(raw, 0, slice(0, len(raw) - GRAM + 1), slice(GRAM, None))
+    grams = _gram_ranks(raw)
     place = np.uint64((1 << 26) - 1)
     ranked = grams & ~place | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_minimum(ranked, SPAN - GRAM + 1) & place).astype(np.int64)
@@ -91,7 +85,10 @@ def runs_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     following = np.r_[np.flatnonzero(change), len(anchor)]
     last = following[np.searchsorted(following, first, side="right")] - 1
     last = np.minimum(last, ends[text[first]] - SPAN)
-    return first, last, grams[anchor[first]].view(np.int64), _hashes(raw, 1, first, last + SPAN).view(np.int64), text[first]
+    own = raw.tobytes()
+    anchors = np.fromiter((xxhash.xxh3_64_intdigest(own[a : a + GRAM]) for a in anchor[first].tolist()), np.uint64, len(first))
+    pieces = np.fromiter((xxhash.xxh3_64_intdigest(own[a : b + SPAN], 1) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first))
+    return first, last, anchors.view(np.int64), pieces.view(np.int64), text[first]
 
 
 def _packs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,13 +109,13 @@ def _packs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield np.frombuffer(b"".join(pack), np.uint8), np.array(ends), np.array(numbers), np.array(offsets)
 
 
-_RUN = "text_id long, anchor long, piece long, first int, last int, times int"
+_RUN = "text_id binary, anchor long, piece long, first int, last int, times int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text. Of runs that a text repeats, one carries how many there are, and all are given with ``times`` 0 as settled."""
     for batch in batches:
-        ids = np.asarray(batch.column("text_id"))
+        ids = batch.column("text_id")
         texts = batch.column("raw").to_pylist()
         for raw, ends, numbers, offsets in _packs(texts):
             first, last, anchor, piece, part = runs_of(raw, ends)
@@ -133,11 +130,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             settled = order[(times > 1)[group]]
             rows = np.r_[order[fresh], settled]
             number = np.r_[times, np.zeros(len(settled), np.int64)]
-            columns = [ids[owner[rows]], anchor[rows], piece[rows], (first + shift)[rows].astype(np.int32), (last + shift)[rows].astype(np.int32), number.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_id", "anchor", "piece", "first", "last", "times"])
+            columns = [ids.take(pa.array(owner[rows])), anchor[rows], piece[rows], (first + shift)[rows].astype(np.int32), (last + shift)[rows].astype(np.int32), number.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([columns[0], *[pa.array(c) for c in columns[1:]]], names=["text_id", "anchor", "piece", "first", "last", "times"])
 
 
-_CUT = "text_id long, anchor long, times long, first int, bytes binary"
+_CUT = "text_id binary, anchor long, times long, first int, bytes binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +145,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in pieces:
                 for column, value in zip(out, (i, p["anchor"], p["times"], p["first"], raw[p["first"] : p["last"] + SPAN])):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["text_id", "anchor", "times", "first", "bytes"])
 
 
@@ -156,9 +153,10 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Both hashes of every window of the pieces."""
     for batch in batches:
         for text, times, first, raw in zip(*(batch.column(c).to_pylist() for c in ("text_id", "times", "first", "bytes"))):
-            codes, n = np.frombuffer(raw, np.uint8), len(raw) - SPAN + 1
-            low, high = (_hashes(codes, k, slice(0, n), slice(SPAN, None)).view(np.int64) for k in (0, 1))
-            columns = [np.full(n, text), np.full(n, times), np.arange(first, first + n, dtype=np.int32), low, high]
+            n = len(raw) - SPAN + 1
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + SPAN]) for i in range(n)), np.int64).reshape(n, 2)
+            low, high = both[:, 0], both[:, 1]
+            columns = [pa.array([text] * n, pa.binary()), np.full(n, times), np.arange(first, first + n, dtype=np.int32), low, high]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_id", "times", "first", "low", "high"])
 
 
@@ -180,7 +178,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts.append(text)
                     firsts.append(first + a)
                     lasts.append(first + b - 1)
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["text_id", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["text_id", "first", "last"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -209,10 +207,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
     mixed = kinds.where("mixed").select("at.*", "anchor", "times")
     crowded = hold(mixed.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor"), "crowded")
-    found = equal.union(_cut_from(texts, mixed.join(crowded, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, "text_id long, first int, last int"))
+    found = equal.union(_cut_from(texts, mixed.join(crowded, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, "text_id binary, first int, last int"))
     if crowded.isEmpty():
         return found
-    windows = _cut_from(texts, mixed.join(crowded, "anchor")).mapInArrow(_window_hashes, "text_id long, times long, first int, low long, high long")
+    windows = _cut_from(texts, mixed.join(crowded, "anchor")).mapInArrow(_window_hashes, "text_id binary, times long, first int, low long, high long")
     again = hold(windows.groupBy("low", "high").agg(F.sum(F.least("times", F.lit(2))).alias("n")).where("n > 1").select("low", "high"), "windows")
     return found.union(windows.join(again, ["low", "high"]).select("text_id", "first", F.col("first").alias("last")))
 
@@ -221,7 +219,7 @@ def _cut_from(texts: DataFrame, places: DataFrame) -> DataFrame:
     """The pieces at ``places``, cut from one row of each text."""
     wanted = places.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "times", "first", "last")).alias("pieces"))
     wanted = hold(wanted, "wanted")
-    sources = maybe_in(texts, F.col("text_id"), wanted.select("text_id"), "maybe").where("maybe")
+    sources = maybe_in(texts, F.xxhash64("text_id"), wanted.select(F.xxhash64("text_id").alias("id")), "maybe").where("maybe")
     sources = sources.groupBy("text_id").agg(F.first("raw").alias("raw"))
     return sources.join(wanted, "text_id").select("text_id", "raw", "pieces").mapInArrow(_cut, _CUT)
 
@@ -256,11 +254,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     docs = prefixed(docs, ADDED)
     ident, ranges, flag, work = (unused(docs, n) for n in ("text_id", "repeat_ranges", "maybe", "text_and_ranges"))
     raw = text_of(text_col).cast("binary")
-    texts = docs.select(F.xxhash64(raw).alias("text_id"), raw.alias("raw"))
-    slim = texts.select("text_id", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").alias("size"))
-    copies = slim.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("size").alias("size")).where("copies > 1")
-    sure = F.when(F.col("low") == F.col("high"), F.col("size")).otherwise(F.raise_error(F.lit("two texts have the same 64-bit hash")).cast("int"))
-    copies = hold(copies.select("text_id", sure.alias("size")), "copies")
+    text_id = F.unhex(F.substring(F.sha2(raw, 256), 1, 32))
+    texts = docs.select(text_id.alias("text_id"), raw.alias("raw"))
+    slim = texts.select("text_id", F.octet_length("raw").alias("size"))
+    copies = slim.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")).where("copies > 1")
+    copies = hold(copies.select("text_id", "size"), "copies")
 
     alone = repeated_windows(texts).join(copies.select("text_id"), "text_id", "left_anti")
     spans = alone.groupBy("text_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -268,7 +266,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     cuts = hold(spans.union(all_of_it), "cuts")
 
     columns = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
-    touched = maybe_in(docs.withColumn(ident, F.xxhash64(raw)), F.col(ident), cuts.select("text_id"), flag)
+    touched = maybe_in(docs.withColumn(ident, text_id), F.xxhash64(ident), cuts.select(F.xxhash64("text_id").alias("id")), flag)
     same = touched.where(~F.col(flag)).select(*columns, raw.alias("kept_text"), F.array().cast(_REMOVED).alias("removed"))
 
     def cut(pairs: pa.Array) -> list[pa.Array]:
