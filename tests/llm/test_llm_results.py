@@ -145,20 +145,51 @@ def test_simhash_groups_are_those_of_all_pairs(spark, texts):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {i: (f"{prints[i]:016x}", truth.find(i)) for i in ids}
 
 
-@given(st.lists(st.integers(0, 2**16 - 1), min_size=1, max_size=60), st.integers(0, 27))
-@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**16 - 1)), min_size=1, max_size=60), st.integers(0, 5))
+@settings(max_examples=100, deadline=None)
 def test_list_links_connect_what_pairs_connect(values, choice):
-    rest = np.array(sorted(set(values)), np.int64)
-    key = np.full(len(rest), choice << 48 | 12345, np.int64)
-    whole = simhash._whole(key, rest).view(np.uint64).tolist()
+    """Fingerprints of several lists that share four positional bytes each and differ in others."""
+    lists = sorted({(n, v | v << 20) for n, v in values})
+    places = [p for p in range(8) if p not in simhash.GROUPS[choice]]
+    node = [sum((v >> 8 * k & 255) << 8 * p for k, p in enumerate(places)) for _, v in lists]
     truth, found = Union(), Union()
-    for i, a in enumerate(whole):
-        for b in whole[:i]:
+    for k, a in enumerate(node):
+        for m in range(k):
+            if lists[m][0] == lists[k][0] and (a ^ node[m]).bit_count() <= 2:
+                truth.join((lists[k][0], a), (lists[m][0], node[m]))
+    number = np.array([n for n, _ in lists])
+    for n in set(number.tolist()):
+        mine = number == n
+        for a, b in zip(*(x.tolist() for x in simhash.list_links(number[mine], np.array(node, np.uint64).view(np.int64)[mine]))):
+            found.join((n, a % 2**64), (n, b % 2**64))
+    together = simhash.list_links(number, np.array(node, np.uint64).view(np.int64))
+    assert len(together[0]) == sum(found.find(x) != x for x in {(n, v) for (n, _), v in zip(lists, node)})
+    assert all(truth.find((n, a)) == truth.find((n, found.find((n, a))[1])) for (n, _), a in zip(lists, node))
+    assert len({truth.find((n, a)) for (n, _), a in zip(lists, node)}) == len({found.find((n, a)) for (n, _), a in zip(lists, node)})
+
+
+def test_pairs_within_two_bits_meet_in_some_list(spark):
+    rng = random.Random(6)
+    numbers = [rng.getrandbits(64) for _ in range(300)]
+    near = [n ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for n in numbers]
+    signed = lambda n: n - 2**64 if n >> 63 else n
+    keys = simhash.F.array(*[simhash._key(simhash.F.col("n"), c) for c in range(len(simhash.GROUPS))])
+    found = {r.n: set(r.keys) for r in spark.createDataFrame([(signed(n),) for n in numbers + near], "n long").select("n", keys.alias("keys")).collect()}
+    assert all(found[signed(a)] & found[signed(b)] for a, b in zip(numbers, near))
+
+
+def test_long_lists_are_cut_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_ROWS", 8)
+    rng = random.Random(4)
+    nodes = sorted({rng.getrandbits(10) | 5 << 40 for _ in range(150)})
+    truth, found = Union(), Union()
+    for k, a in enumerate(nodes):
+        for b in nodes[:k]:
             if (a ^ b).bit_count() <= 2:
                 truth.join(a, b)
-    for a, b in zip(*(x.view(np.uint64).tolist() for x in simhash.list_links(key, rest))):
-        found.join(a, b)
-    assert [truth.find(x) for x in whole] == [found.find(x) for x in whole]
+    for r in simhash.fingerprint_links(spark.createDataFrame([(n,) for n in nodes], "node long")).collect():
+        found.join(r.a, r.b)
+    assert [truth.find(n) for n in nodes] == [found.find(n) for n in nodes]
 
 
 def test_mix_meets_targets_and_repeats_itself(spark):

@@ -1,14 +1,13 @@
 """SimHash near-duplicates found through an inverted index on byte positions, with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints that differ in at most two bits differ in at most two bytes, so
-they share at least ``8 - 2 = 6`` positional bytes. Tallying single bytes would make lists of a 256th of all fingerprints; the
-index therefore keeps its postings under every choice of six positions: two fingerprints meet under a key exactly if their
-tally reaches six there, and no pair below the minimum is ever formed. A key leaves 16 bits free, which
-bounds a list of distinct fingerprints at 65,536 whatever the data. Pairs are not tried one by one: the 136 ways to differ in at most
-two free bits are looked up. For each pair found, the shared bytes are tallied and the differing bits counted.
-
-Copies collapse before the index: each distinct fingerprint is posted once. From a list only a spanning forest of its
-links leaves the task.
+they share at least ``8 - 2 = 6`` positional bytes. Lists of single bytes would hold a 256th of all fingerprints; the index therefore
+posts groups of positional bytes: positions go by twos, and of the four twos at least two are shared whole, so a
+posting under each choice of two twos (six for each fingerprint, four bytes each) brings every such pair together. In a list the shared positional bytes of every
+pair are tallied, pairs that reach six are kept, and the differing bits of those are counted.
+
+Copies collapse before the index: each distinct fingerprint is posted once. A list of more than ``LIST_ROWS`` fingerprints, as many variants of
+one text make, is cut into blocks, and each pair of blocks is a list of its own. Pairs never leave a task: a spanning forest of a list's links does.
 """
 
 from __future__ import annotations
@@ -30,9 +29,10 @@ SEED = 42
 #: Bits in which linked fingerprints may differ, and the positional bytes of eight that they must then share.
 MOST_DIFFERENT = 2
 LEAST_SHARED = 8 - MOST_DIFFERENT
-POSITIONS = list(combinations(range(8), LEAST_SHARED))
-#: Differences of the 16 free bits: one bit, or two.
-FLIPS = np.array([1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)], np.int64)
+#: Four positional bytes each: two of the twos (0, 1), (2, 3), (4, 5) and (6, 7).
+GROUPS = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)]
+#: Fingerprints of a block of a long list.
+LIST_ROWS = 2_048
 ADDED = ["fingerprint", "component_id"]
 #: Hashes of a long text are counted in blocks of so many.
 BLOCK = 1 << 16
@@ -63,35 +63,12 @@ def fingerprint_of(text: Column, size: int = 3) -> Column:
     return run(text)
 
 
-def _posting(number: Column, choice: int) -> Column:
-    """The choice and its six bytes packed in a long, and the two bytes left."""
-
-    def packed(positions) -> Column:
-        out = F.lit(0).cast("long")
-        for p in positions:
-            out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(number, 8 * p).bitwiseAND(F.lit(255)))
-        return out
-
-    six = POSITIONS[choice]
-    rest = [p for p in range(8) if p not in six]
-    return F.struct(packed(six).bitwiseOR(F.lit(choice << 48)).alias("key"), packed(rest).cast("int").alias("rest"))
-
-
-def _whole(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Fingerprints from their postings."""
-    out = np.zeros(len(key), np.uint64)
-    choice = key >> 48
-    for c in np.unique(choice):
-        at = choice == c
-        six = POSITIONS[c]
-        left = [p for p in range(8) if p not in six]
-        value = np.zeros(int(at.sum()), np.uint64)
-        for k, p in enumerate(reversed(six)):
-            value |= ((key[at] >> (8 * k) & 255).astype(np.uint64)) << np.uint64(8 * p)
-        for k, p in enumerate(reversed(left)):
-            value |= ((rest[at] >> (8 * k) & 255).astype(np.uint64)) << np.uint64(8 * p)
-        out[at] = value
-    return out.view(np.int64)
+def _key(number: Column, choice: int) -> Column:
+    """The choice and its four positional bytes, packed in a long."""
+    out = F.lit(choice).cast("long")
+    for p in GROUPS[choice]:
+        out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(number, 8 * p).bitwiseAND(F.lit(255)))
+    return out
 
 
 def spanning(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,58 +85,64 @@ def spanning(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def list_links(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside the lists of sorted postings, reduced to one from each linked fingerprint to its list's first."""
-    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    length = np.diff(np.r_[fresh, len(key)])
-    shared = np.repeat(length > 1, length)
-    key, rest = key[shared], rest[shared].astype(np.int64)
-    if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number = np.cumsum(np.r_[True, key[1:] != key[:-1]]).astype(np.int64)
-    code = number << 16 | rest
-    found = []
-    for flip in FLIPS:
-        other = code ^ flip
-        up = np.flatnonzero(other > code)
-        at = np.minimum(np.searchsorted(code, other[up]), len(code) - 1)
-        hit = code[at] == other[up]
-        found.append((up[hit], at[hit]))
-    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    whole = _whole(key, rest)
-    differ = whole[a] ^ whole[b]
-    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # shared positional bytes
-    sure = (tally >= LEAST_SHARED) & (np.bitwise_count(differ.view(np.uint64)) <= MOST_DIFFERENT)
-    root = spanning(len(code), a[sure], b[sure])
-    linked = np.flatnonzero(root != np.arange(len(code)))
-    return whole[linked], whole[root[linked]]
+def list_links(number: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside lists of fingerprints, reduced to one from each linked fingerprint to its list's first.
+
+    ``number`` is that of a row's list; rows of a list stand together. Pairs are formed by their distance, for all lists at once.
+    """
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, apart = np.arange(len(node)), 1
+    while True:
+        at = at[at + apart < len(node)]
+        at = at[number[at] == number[at + apart]]
+        if not len(at):
+            break
+        differ = node[at] ^ node[at + apart]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # shared positional bytes
+        kept = at[tally >= LEAST_SHARED]
+        kept = kept[np.bitwise_count((node[kept] ^ node[kept + apart]).view(np.uint64)) <= MOST_DIFFERENT]
+        found_a.append(kept)
+        found_b.append(kept + apart)
+        apart += 1
+    root = spanning(len(node), np.concatenate(found_a), np.concatenate(found_b))
+    linked = np.flatnonzero(root != np.arange(len(node)))
+    return node[linked], node[root[linked]]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists may cross batches: the last list of a batch waits for the next."""
-    key, rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names = ["key", "low", "high", "node"]
+    held = [np.zeros(0, np.int64) for _ in names]
 
-    def out(k, r):
-        a, b = list_links(k, r)
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, low, high, node = columns
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+        a, b = list_links(np.cumsum(fresh), node)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        key = np.r_[key, batch.column("key").to_numpy()]
-        rest = np.r_[rest, batch.column("rest").to_numpy()]
-        if not len(key):
+        held = [np.r_[h, batch.column(batch.schema.get_field_index(n)).to_numpy().astype(np.int64)] for h, n in zip(held, names)]
+        if not len(held[0]):
             continue
-        cut = int(np.searchsorted(key, key[-1]))
+        last = np.logical_and.reduce([h == h[-1] for h in held[:3]])
+        cut = int(last.argmax())  # rows are sorted: the last list is the end of the batch
         if cut:
-            yield out(key[:cut], rest[:cut])
-        key, rest = key[cut:], rest[cut:]
-    if len(key):
-        yield out(key, rest)
+            yield out([h[:cut] for h in held])
+        held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield out(held)
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) that connect distinct fingerprints (``node``) wherever two differ in one or two bits."""
-    postings = prints.select(F.explode(F.array(*[_posting(F.col("node"), c) for c in range(len(POSITIONS))])).alias("p")).select("p.*")
-    return postings.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_linked, "a long, b long")
+    postings = prints.select("node", F.explode(F.array(*[_key(F.col("node"), c) for c in range(len(GROUPS))])).alias("key"))
+    long_lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST_ROWS)
+    blocks = hold(long_lists.select("key", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("blocks")), "long-lists")
+    cut = postings.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = cut.select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lists = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
+    return lists.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_linked, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, carry: list[str] | None = None) -> DataFrame:
