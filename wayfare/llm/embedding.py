@@ -34,6 +34,8 @@ CELL_ROWS, BLOCK_ROWS = 2_000, 2_048
 ADDED = ["n_links", "component_id", "kept"]
 #: Rounding that the bounds allow for, and the margin in which a cosine is computed anew from the given numbers.
 SLACK, CLOSE = 1e-7, 1e-9
+#: Tells the second hash of a vector from the first.
+ID_SALT = 0x5EED
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,13 +132,16 @@ def embedding_groups(
     """
     vectors = prefixed(vectors, ADDED)
     ident, given, label = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`"), F.col(f"`{label_col}`")
-    names = {k: unused(vectors, f"emb_{k}") for k in ("class", "vector", "dim")}
+    names = {k: unused(vectors, f"emb_{k}") for k in ("class", "vector", "dim", "h1", "h2")}
     doubles = F.coalesce(given.cast("array<double>"), F.array().cast("array<double>"))
     faulty = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = ident.isNotNull() & label.isNotNull() & ~faulty & F.exists(doubles, lambda x: x != 0)
     marked = vectors.withColumns({names["class"]: F.when(usable, label.cast("string")), names["vector"]: F.when(usable, _scaled(doubles)), names["dim"]: F.size(doubles)})
+    # 128 bits stand for a vector from here on: vectors are shuffled once to collapse equal ones, and once to their cells.
+    vector = F.col(names["vector"])
+    marked = marked.withColumns({names["h1"]: F.xxhash64(vector), names["h2"]: F.xxhash64(F.lit(ID_SALT), vector)})
     able = marked.where(F.col(names["class"]).isNotNull())
-    same = able.groupBy(F.col(names["class"]).alias("class"), F.col(names["vector"]).alias("vector"), F.col(names["dim"]).alias("dim"))
+    same = able.groupBy(*[F.col(names[k]).alias(k) for k in ("class", "dim", "h1", "h2", "vector")])
     nodes = hold(same.agg(F.min(ident).cast("long").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
 
     radius = float(np.sqrt(2 - 2 * threshold))
@@ -154,12 +159,11 @@ def embedding_groups(
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), ends)
     counts = found.groupBy("node").agg(F.sum("found").alias("found"))
     classes = classes.select("node", "component").join(counts, "node", "left")
-    # the number of components as a further join column makes both sides plain exchanges, which adaptive execution can split
     settled = hold(nodes.join(classes, "node").select(
-        F.col("class").alias(names["class"]), F.col("vector").alias(names["vector"]), F.col("dim").alias(names["dim"]),
+        *[F.col(k).alias(names[k]) for k in ("class", "dim", "h1", "h2")],
         (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"),
     ), "settled")
-    joined = able.join(settled, [names["class"], names["vector"], names["dim"]])
+    joined = able.join(settled, [names[k] for k in ("class", "dim", "h1", "h2")])
     columns = [F.col(f"`{c}`") for c in vectors.columns]
     rest = marked.where(F.col(names["class"]).isNull()).select(*columns, F.lit(0).cast("long").alias("n_links"), ident.cast("long").alias("component_id"))
     everything = joined.select(*columns, "n_links", "component_id").unionByName(rest)
