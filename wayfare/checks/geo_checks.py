@@ -201,7 +201,7 @@ def g13b(t):
 
 @check("g14_wkt_parse", """
 select id, case when kind = 0 then 'POLYGON' else 'LINESTRING' end as type, case when kind = 0 then 1 end as polygons, case when kind = 0 then 5 end as points,
-  case when kind = 0 then x0::double end as x0, case when kind = 0 then y1::double end as y1 from box""")
+  case when kind = 0 then x0::double end as x0, case when kind = 0 then y0::double end as y0, case when kind = 0 then x1::double end as x1, case when kind = 0 then y1::double end as y1 from box""")
 def g14(t):
     text = F.when(F.col("kind") == 0, F.col("wkt")).otherwise(
         F.regexp_replace(F.regexp_replace("wkt", "POLYGON \\(", "  LineString "), "\\)\\)$", ")")
@@ -214,8 +214,7 @@ def g14(t):
         Y.geometry_type("wkt").alias("type"),
         F.when(some, F.size("p")).alias("polygons"),
         F.when(some, F.size(F.flatten(F.flatten("p")))).alias("points"),
-        F.when(some, box["x0"]).alias("x0"),
-        F.when(some, box["y1"]).alias("y1"),
+        *[F.when(some, box[k]).alias(k) for k in ("x0", "y0", "x1", "y1")],
     )
 
 

@@ -14,7 +14,10 @@ from wayfare.plans import movement as M
 from wayfare.plans import routes as R
 from wayfare.plans import stay_clusters as E
 from wayfare.plans import trajectories as T
+from wayfare.schemas import ROUTE_CANDIDATES
+from wayfare.session import scratch_path
 from wayfare.sources.events import parse_cells, parse_events
+from wayfare.sources.readers import read_parquet_typed
 from wayfare.sources.routes import parse_routes
 from wayfare.sources.trajectories import format_trajectories
 
@@ -564,3 +567,26 @@ where d.state = '1' and len(list_filter(l, lambda x: x[7] not in ('TRAIN', 'FERR
 def e11(t):
     routes = parse_routes(t["route_line"]).withColumnRenamed("start_geo", "start_sa1")
     return R.public_transport_routes(routes, t["route_area"])
+
+
+# Nested rows of candidates, stored and read as such: the route itself, and its first leg alone.
+@check("e11_job_nested_routes", _PUBLIC + """
+select array_to_string(list_transform(list_filter(list_concat(l, l[1:1]), lambda x: x[7] in ('TRAIN', 'FERRY', 'TRAM', 'SUBWAY')), lambda x: x[8]), ';') as public_link_id
+from pub join (select distinct sa1, state from route_area) d on pub.start_geo = d.sa1
+where d.state = '1' and len(list_filter(l, lambda x: x[7] not in ('TRAIN', 'FERRY', 'TRAM', 'SUBWAY'))) = 0""")
+def e11_nested(t):
+    def candidate(legs):
+        first, last = F.get(legs, F.lit(0)), F.element_at(legs, -1)
+        return F.struct(
+            first["start_time"].alias("start_time"), last["end_time"].alias("end_time"), F.lit("").alias("polygon"), legs.alias("legs"), F.size(legs).cast("double").alias("distance")
+        )
+
+    routes = parse_routes(t["route_line"])
+    nested = routes.select(
+        "day_of_week", F.col("start_geo").alias("start_sa1"), F.col("end_geo").alias("end_sa1"), F.array("query_time").alias("time_band_start"), F.array("query_time").alias("time_band_end"),
+        F.array(candidate(F.col("route")), candidate(F.slice("route", 1, 1))).alias("candidate"),
+    )
+    path = scratch_path(t.spark, "candidates")
+    nested.write.parquet(path)
+    stored = read_parquet_typed(t.spark, path, ROUTE_CANDIDATES)
+    return R.public_transport_routes(stored, t["route_area"], legs=R.candidate_legs())
