@@ -1,5 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 from check import rows_of
@@ -9,6 +13,7 @@ from wayfare.checks import all_checks
 from wayfare.checks.fixtures import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +42,10 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("package", ["ahocorasick", "sentencepiece", "xxhash"])
+def test_entry_without_a_package_that_only_training_text_needs(package):
+    code = f"import sys; sys.modules['{package}'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout.split()
+    assert out == [str(len(all_checks.QUERIES)), "False", "True"]
