@@ -135,7 +135,7 @@ def test_trie_is_that_of_plain_python(spark, monkeypatch, band, block):
     rows = [(c, t, random.choice(["user", "user", None]), random.choice(["hi", "hé", "", None, prose(1, 3)])) for c in range(40, 160) for t in range(random.randint(1, 7))]
     rows += [(c, t, "user", f"t{t}") for c in (5, 6, 8, 205) for t in range(37)] + [(300, t, "a", "x") for t in range(60)]
     rows += [(c, 0, "user", "hi") for c in range(1_000, 1_040)] + [(1_000, 0, "user", "hi"), (7, None, "z", "first"), (7, 0, None, None), (None, 1, "u", "t")]
-    rows += [(501, t, "u", "short") for t in range(2)] + [(506, None, None, None)]
+    rows += [(501, t, "u", "short") for t in range(2)] + [(506, None, None, None), (511, 0, "user", prose(9, 30_000)), (512, 0, "user", prose(9, 30_000))]
     frame = spark.createDataFrame([(*r, "own") for r in rows], "conv_id long, turn long, role string, text string, depth string")
     found = conversation_trie.conversation_trie(frame).select(*conversation_trie.COLUMNS)
     assert Counter(map(tuple, found.collect())) == plain_trie(rows)
