@@ -132,6 +132,21 @@ def test_relation_columns_agree_with_single_pairs(spark, relation):
         assert row.r == expected, (row.a, row.b)
 
 
+COLLECTION = "GeometryCollection (POINT (9 9), GEOMETRYCOLLECTION (POLYGON ((0 0, 1 0, 1 1, 0 0)), LINESTRING (3 3, 4 4)), GEOMETRYCOLLECTION EMPTY)"
+
+
+def test_collections_are_related_by_their_members(spark):
+    assert [p.kind for p in polygon.parts_of(COLLECTION)] == ["POINT", "POLYGON", "LINESTRING", "POINT"]
+    rows = [(COLLECTION, "POINT (9 9)"), ("LINESTRING (3 4, 4 3)", COLLECTION), (COLLECTION, "POINT (6 6)"), ("GEOMETRYCOLLECTION EMPTY", COLLECTION), (COLLECTION, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for relation, held in (("intersects", [True, True, False, False, None]), ("disjoint", [False, False, True, True, None])):
+        assert [r.r for r in spatial.with_relation(df, "a", "b", relation, "r").collect()] == held
+    found = [r.distance for r in spatial.with_distance(df, "a", "b").collect()]
+    assert found[:2] == [0, 0] and found[2] == pytest.approx(8**0.5) and found[3:] == [None, None]
+    with pytest.raises(Exception, match="geometry collections"):
+        spatial.with_relation(df, "a", "b", "contains", "r").collect()
+
+
 def test_whole_batches_agree_with_single_pairs():
     shapes = [(Shape(a), Shape(b)) for a, b, _ in RELATIONS]
     left, right = [a for a, _ in shapes], [b for _, b in shapes]

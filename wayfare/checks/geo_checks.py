@@ -307,6 +307,19 @@ def x8(t):
     )
 
 
+# A collection of the first box, a point far to the left of it and, nested, a line along its lower side that goes on for two.
+@check("g12_collections", f"""
+select a_id, b_id, ({_MEET} or (by0 <= ay0 and by1 >= ay0 and bx0 <= ax1 + 2 and bx1 >= ax0)) as intersects, round(least(
+    sqrt(pow(greatest(0, bx0 - ax1, ax0 - bx1), 2) + pow(greatest(0, by0 - ay1, ay0 - by1), 2)), sqrt(pow(greatest(0, bx0 - ax0 + 1000, ax0 - 1000 - bx1), 2) + pow(greatest(0, by0 - ay0, ay0 - by1), 2)),
+    sqrt(pow(greatest(0, bx0 - ax1 - 2, ax0 - bx1), 2) + pow(greatest(0, by0 - ay0, ay0 - by1), 2))), 9) + 0.0 as distance from box_pair""")
+def g12_collections(t):
+    line = "concat('LINESTRING (', cast(ax0 as string), ' ', cast(ay0 as string), ', ', cast(ax1 + 2 as string), ' ', cast(ay0 as string), ')')"
+    point = "concat('POINT (', cast(ax0 - 1000 as string), ' ', cast(ay0 as string), ')')"
+    both = t.sql(f"select a_id, b_id, concat('GEOMETRYCOLLECTION (', {_ring('a')}, ', ', {point}, ', GEOMETRYCOLLECTION (', {line}, '))') as a_wkt, {_ring('b')} as b_wkt from box_pair")
+    related = S.with_distance(S.with_relation(both, "a_wkt", "b_wkt", "intersects"), "a_wkt", "b_wkt")
+    return related.select("a_id", "b_id", "intersects", r("distance", 9).alias("distance"))
+
+
 # ---------------------------------------------------------------- functions by name in SQL
 
 _TWO_RADII = f"""

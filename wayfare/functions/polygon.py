@@ -330,22 +330,58 @@ def distances_of(a: Sequence[Shape], b: Sequence[Shape]) -> np.ndarray:
 _BATCH_POINTS = 500_000
 
 
-def _by_batch(a: pd.Series, b: pd.Series, fn) -> pd.Series:
-    """``fn`` of two lists of shapes over all rows that have both; equal texts are parsed once. Batches have a bounded number of points."""
+_COLLECTION = re.compile(r"\s*GEOMETRYCOLLECTION\b\s*", re.I)
+
+
+def parts_of(wkt: str) -> list[Shape]:
+    """The shape of a WKT text, or those of the members of a geometry collection, nested ones too."""
+    head = _COLLECTION.match(wkt)
+    if not head:
+        return [Shape(wkt)]
+    body = wkt[head.end() :].strip()
+    if body.upper() == "EMPTY":
+        return [Shape("POINT EMPTY")]
+    if not (body.startswith("(") and body.endswith(")")):
+        raise ValueError(f"not a geometry: {wkt[:60]!r}")
+    members, depth, start = [], 0, 1
+    for at, sign in enumerate(body):
+        depth += (sign == "(") - (sign == ")")
+        if depth == 1 and sign == "," or depth == 0:
+            members.append(body[start:at])
+            start = at + 1
+    return [part for member in members for part in parts_of(member)]
+
+
+def _by_batch(a: pd.Series, b: pd.Series, fn, join: np.ufunc | None) -> pd.Series:
+    """``fn`` of two lists of shapes over all rows that have both; equal texts are parsed once. Batches have a bounded number of points.
+
+    Members of collections are taken one by one, and ``join`` makes one answer of theirs; without it a collection of several fails the query.
+    """
     out = pd.Series([None] * len(a), dtype=object)
     rows = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-    texts = {t: Shape(t) for t in pd.unique(pd.concat([a.iloc[rows], b.iloc[rows]], ignore_index=True))}
-    left, right = [texts[t] for t in a.iloc[rows]], [texts[t] for t in b.iloc[rows]]
-    ends = np.cumsum([len(x.points) + len(y.points) for x, y in zip(left, right)])
+    texts = {t: parts_of(t) for t in pd.unique(pd.concat([a.iloc[rows], b.iloc[rows]], ignore_index=True))}
+    pairs = [[(x, y) for x in texts[s] for y in texts[t]] for s, t in zip(a.iloc[rows], b.iloc[rows])]
+    if join is None and any(len(p) > 1 for p in pairs):
+        raise ValueError("only intersects, disjoint and distances are defined for geometry collections")
+    ends = np.cumsum([sum(len(x.points) + len(y.points) for x, y in p) for p in pairs])
     at = 0
     while at < len(rows):
         base = ends[at - 1] if at else 0
         end = max(int(np.searchsorted(ends, base + _BATCH_POINTS, side="right")), at + 1)
-        out.iloc[rows[at:end]] = fn(left[at:end], right[at:end]).tolist()
+        flat = [pair for p in pairs[at:end] for pair in p]
+        found = fn([x for x, _ in flat], [y for _, y in flat])
+        if join is not None:
+            sizes = np.array([len(p) for p in pairs[at:end]])
+            found = join.reduceat(found, np.cumsum(sizes) - sizes)
+        out.iloc[rows[at:end]] = found.tolist()
         at = end
     return out
 
 
+#: How answers for the members of collections make one.
+_JOINED = {"intersects": np.logical_or, "disjoint": np.logical_and}
+
+
 def relation_udf(relation: str):
     """Arrow-batched test of one relation between two WKT columns."""
     if relation not in RELATIONS:
@@ -353,15 +389,15 @@ def relation_udf(relation: str):
 
     @F.pandas_udf(T.BooleanType())
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _by_batch(a, b, lambda x, y: relate_all(x, y, relation))
+        return _by_batch(a, b, lambda x, y: relate_all(x, y, relation), _JOINED.get(relation))
 
     return test.asNondeterministic()
 
 
 @F.pandas_udf(T.DoubleType())
 def planar_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shortest distance between two WKT geometries in coordinate units, zero when they meet."""
-    return _by_batch(a, b, distances_of).replace({np.nan: None})
+    """Shortest distance between two WKT geometries, collections too, in coordinate units; zero when they meet."""
+    return _by_batch(a, b, distances_of, np.fmin).replace({np.nan: None})
 
 
 # ---------------------------------------------------------------- geodesic distance
