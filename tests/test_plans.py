@@ -127,3 +127,10 @@ def test_nothing_runs_while_a_query_is_built(spark, name):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
     assert all(s is None or s.name.startswith("parquet") or s.numTasks == 1 for s in stages)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["e11_job_nested_routes", "e11_job_public_transport"])
+def test_routes_are_not_sent_to_every_task(spark, name):
+    """However small their files look; each task builds on its share of the areas."""
+    text = plan(queries()[name](spark, FOLDER))
+    assert "BroadcastExchange" not in text and re.search(r"ShuffledHashJoin .*BuildRight", text)

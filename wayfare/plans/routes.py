@@ -37,9 +37,13 @@ def public_link_id(legs: str | Column) -> Column:
 
 
 def routes_in_state(routes: DataFrame, hierarchy: DataFrame, state: str = "1", column: str = "start_sa1") -> DataFrame:
-    """Routes that start in an area of the state."""
+    """Routes that start in an area of the state.
+
+    Nested routes pack so well that Spark takes their files for a table small enough to send to every task, through the driver. The join
+    is therefore told to build on the areas, of which each task holds its share.
+    """
     areas = hierarchy.where(F.col("state") == state).select(F.col("sa1").alias(column), "state").distinct()
-    return routes.join(areas, column)
+    return routes.join(areas.hint("shuffle_hash"), column)
 
 
 def candidate_legs(candidate: str | Column = "candidate") -> Column:
@@ -52,5 +56,5 @@ def public_transport_routes(
     routes: DataFrame, hierarchy: DataFrame, state: str = "1", legs: str | Column = "route"
 ) -> DataFrame:
     """``public_link_id`` of the routes that start in the state and use public transport throughout."""
-    wanted = routes.where(is_public_transport(legs))
-    return routes_in_state(wanted, hierarchy, state).select(public_link_id(legs).alias("public_link_id"))
+    wanted = routes.where(is_public_transport(legs)).select("start_sa1", public_link_id(legs).alias("public_link_id"))
+    return routes_in_state(wanted, hierarchy, state).select("public_link_id")
