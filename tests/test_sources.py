@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,20 @@ def test_features_of_split_files(spark, tmp_path, split):
     for k in (0, 1):
         told = [v for _, v in sorted(by_file[f"doc{k}.json"], key=lambda p: p[0])]
         assert [(v["properties"]["name"], v["properties"]["k"], v["geometry"]["coordinates"]) for v in told] == [(n, i, [i, k]) for i, n in enumerate(names)]
+
+
+def test_large_tables_make_several_documents(spark, tmp_path, monkeypatch):
+    """No task holds or writes the whole table; each file is a whole document."""
+    from wayfare.checks import codec_checks
+    from wayfare.checks.registry import QUERIES
+
+    rows = [(k, k % 3, "R", float(k)) for k in range(57)] + [(5, 2, "R", 5.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(codec_checks, "_DOCUMENT_ROWS", 10)
+    kept = {}
+    read = codec_checks.read_features
+    monkeypatch.setattr(codec_checks, "read_features", lambda s, path: kept.setdefault("f", read(kept.setdefault("s", s), kept.setdefault("path", path))))
+    found = QUERIES["x9_geojson_large_file"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.quantity) for r in found) == sorted((k, q) for k, _, _, q in rows)
+    documents = [json.loads(f.read_text()) for f in Path(kept["path"]).rglob("*.txt")]
+    assert len(documents) == 6 and max(len(d["features"]) for d in documents) < 20
