@@ -134,3 +134,16 @@ def test_routes_are_not_sent_to_every_task(spark, name):
     """However small their files look; each task builds on its share of the areas."""
     text = plan(queries()[name](spark, FOLDER))
     assert "BroadcastExchange" not in text and re.search(r"ShuffledHashJoin .*BuildRight", text)
+
+
+@pytest.mark.parametrize("name", ["g12d_touches", "g12e_crosses", "g12f_disjoint", "g12_collections", "sql_functions"])
+def test_pairs_are_dealt_over_all_tasks(spark, name):
+    """Pairs come from few splits of a small file; geometry begins above the exchange."""
+    assert "REBALANCE_PARTITIONS" in plan(queries()[name](spark, FOLDER))
+
+
+def test_pairs_of_a_crowd_are_not_shuffled(spark):
+    t = Inputs(spark, FOLDER)
+    both = t["box_wkt"].selectExpr("id as a", "wkt as a_wkt"), t["box_wkt"].selectExpr("id as b", "wkt as b_wkt")
+    text = plan(spatial.spatial_join(*both, "a_wkt", "b_wkt"))
+    assert "FlatMapGroupsInArrow" in text and "Join" not in text[: text.index("FlatMapGroupsInArrow")]
