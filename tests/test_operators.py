@@ -156,6 +156,25 @@ def test_overlap_join_against_all_pairs(spark):
         assert {(r.a_id, r.b_id): r.overlap_s for r in got} == expected
 
 
+def test_overlap_join_deals_few_candidates_over_all_tasks(spark):
+    def table(p, step, length):
+        start = F.timestamp_seconds(F.col("id") * step)
+        return spark.range(2_000).select(F.col("id").alias(f"{p}_id"), start.alias(f"{p}_in"), (start + F.make_dt_interval(secs=F.lit(length))).alias(f"{p}_out"))
+
+    a, b = table("a", 7, 60), table("b", 7, 300)
+    got = intervals.overlap_join(a, b, ("a_in", "a_out"), ("b_in", "b_out"))
+    pairs = got.count()
+    assert pairs == sum(7 * x < 7 * y + 300 and 7 * y < 7 * x + 60 for x in range(2_000) for y in range(2_000))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # not in the tasks of a few files
+    sides = [intervals._with_grid(df, (f"{p}_in", f"{p}_out"), f"_{p}") for df, p in ((a, "a"), (b, "b"))]
+    levels = [intervals.levels_in(df, f"_{p}_level") for df, p in zip(sides, "ab")]
+    left = intervals._slots(sides[0], "_a", levels[1], "role").withColumnsRenamed({"_a_grid": "grid", "_a_t0": "slot"})
+    right = intervals._slots(sides[1], "_b", levels[0], "role").withColumnsRenamed({"_b_grid": "grid", "_b_t0": "slot"})
+    assert left.count() <= 7 * 2_000 and right.count() <= 7 * 2_000
+    assert left.join(right, ["role", "grid", "slot"]).count() < 1.6 * pairs
+
+
 def test_cells_override_and_ties(spark):
     events = spark.createDataFrame(
         [("e1", "c1", 1.0, 1.0), ("e2", "c1", None, None), ("e3", "c9", 5.0, 6.0), ("e4", "c9", None, 6.0)], "id string, cgi string, lat double, lon double"
