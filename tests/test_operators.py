@@ -294,6 +294,21 @@ def test_nested_candidates(spark):
     assert [r.public_link_id for r in got] == ["r1;r2"]
 
 
+def test_median_clusters_read_the_updates_once(spark, tmp_path):
+    path = f"{tmp_path}/updates"
+    rows = [(k % 5 and f"a{k % 5}" or None, float(k % 7), 10.0, k) for k in range(60)]
+    spark.createDataFrame(rows, "agent_id string, lat double, lon double, s long").write.parquet(path)
+    stored = spark.read.parquet(path).withColumn("at", F.timestamp_seconds("s"))
+    found = stays.clusters(stored, ["agent_id"], 1000, "median")
+    assert path not in found._jdf.queryExecution().toString()  # what is left to do reads the places
+    got = {r.agent_id: r for r in found.collect()}
+    assert set(got) == {None, "a1", "a2", "a3", "a4"}
+    for k, agent in enumerate([None, "a1", "a2", "a3", "a4"]):
+        lats = sorted(r[1] for r in rows if r[0] == agent)
+        assert got[agent].n == 12 and got[agent].duration_s == 55 and got[agent].first_at.timestamp() % 60 == k
+        assert got[agent].centre_lat == pytest.approx(lats[5], abs=1e-2)
+
+
 def test_trajectory_text(spark):
     line = "A;103.5,1.25,2020-01-01 00:00:00+0000,1,c1;103.75,1.5,2020-01-01 00:01:00+0000,10,c2;;"
     parsed = parse_trajectories(spark.createDataFrame([(line,)], "value string"))
