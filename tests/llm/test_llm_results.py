@@ -416,6 +416,18 @@ def test_compact_windows(values, least):
     assert found == truth
 
 
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=30), min_size=1, max_size=6), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_compact_windows_of_texts_laid_end_to_end(texts, least):
+    ends = np.cumsum([len(x) for x in texts])
+    found = set(zip(*(x.tolist() for x in compact_windows.compact_windows(np.array(sum(texts, []), np.uint64), least, ends))))
+    truth = set()
+    for begin, values in zip([0, *ends.tolist()], texts):
+        alone = compact_windows.compact_windows(np.array(values, np.uint64), least)
+        truth |= {tuple(begin + p for p in window) for window in zip(*(x.tolist() for x in alone))}
+    assert found == truth
+
+
 def test_near_passages_recall_and_soundness(spark, texts):
     """Against all pairs of passages that share enough tokens at one shift."""
     size, tokens = compact_windows.TOKENS, {i: compact_windows.tokens_of(t) for i, t in texts.items()}
