@@ -1,5 +1,8 @@
+import time
+from pathlib import Path
+
 from wayfare.schemas import WEIGHT
-from wayfare.session import clear_scratch, ensure_utc, materialize, scratch_path, shared_dir
+from wayfare.session import clear_scratch, ensure_utc, materialize, release, scratch_path, shared_dir
 
 
 def test_configured_folder_is_used(spark, tmp_path, monkeypatch):
@@ -29,3 +32,31 @@ def test_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     ensure_utc(spark)
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They would stay on disk until the driver happens to collect garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllBlocks())}
+        return {n for n in names if n.startswith("shuffle")}
+
+    before = shuffled()
+    sums = spark.range(10_000).selectExpr("id % 100 as k", "id as v").groupBy("k").sum("v")
+    assert sums.count() == 100
+    counted = shuffled() - before
+    assert counted
+    kept = materialize(sums, "sums")
+    end = time.time() + 20
+    while shuffled() - before - counted and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before - counted
+    assert kept.count() == 100
+
+
+def test_release_deletes_the_table(spark):
+    kept = materialize(spark.range(3), "kept")
+    assert kept.count() == 3
+    release(kept)
+    assert not Path(kept._scratch).exists()
