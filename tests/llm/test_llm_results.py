@@ -505,6 +505,37 @@ def test_vectors_of_extreme_size_link(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7)}
 
 
+def test_vectors_are_neither_widened_nor_sent_for_each_pair_of_blocks(spark, monkeypatch):
+    """A label of several thousand vectors: stored as 32-bit numbers, and in a single group; before, each went to seven pairs of blocks as 64-bit numbers."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(4_500, 4)).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.r_[base, base[:20], base[100:103] * 3])]
+    seen = []
+    links = embedding._block_links
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(threshold, radius):
+        run = links(threshold, radius)
+
+        def of(group):
+            sizes.add(len(group))
+            return run(group)
+
+        return of
+
+    monkeypatch.setattr(embedding, "_block_links", counted)
+    hold = embedding.hold
+    monkeypatch.setattr(embedding, "hold", lambda df, label: seen.append((label, kept := hold(df, label))) or kept)
+    found = embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    kept = dict(seen)["vectors"]
+    assert kept.where("narrow is null or wide is not null").count() == 0 and kept.schema["narrow"].dataType.elementType.simpleString() == "float"
+    assert sizes.value == kept.count() == 4_503
+    vectors = np.array([v for _, v, _ in rows], np.float64)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert [r.n_links for r in sorted(found, key=lambda r: r.vec_id)] == expected.tolist()
+
+
 def test_copies_to_cells_lose_no_link():
     rng = np.random.default_rng(9)
     unit = rng.normal(size=(400, 8))

@@ -6,8 +6,10 @@ most ``2 r`` farther from that cell's pivot than from its own, so it is copied t
 others; of those, the ones whose dividing plane is more than ``r`` away are left out too. Every link then
 shows in the cell of each of its two vectors, and cells join independently.
 
-Equal vectors collapse first and are counted. Cells are cut into blocks of bounded size, one task's group for each pair of blocks, and a group gives back
-one row for each vector with a link: how many it found, and one vector it is connected with. Pairs never leave a group.
+Equal vectors collapse first and are counted; only those that may be equal are shuffled for it. Cells are as large as a task can hold, so that there are few and
+little is copied between them; a task cuts its cell again in the same way, where a copy is a number and not a vector. Cells that have grown too large are cut into blocks,
+one task's group for each pair of blocks. A group gives back one row for each vector with a link: how many it found, and one vector it is connected with.
+Pairs never leave a group. Vectors whose components are all 32-bit numbers are kept and sent as such.
 
 Pivots come from a bounded sample: at most ``PIVOTS`` for each of the ``LABELS`` largest labels, chosen by hash. They decide how much is copied, not
 what is found. They are broadcast: 4,096 vectors at most. Other labels are a single cell.
@@ -18,19 +20,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from wayfare.llm.components import components
+from wayfare.llm.exact_dedup import maybe_in
 from wayfare.llm.simhash import spanning
 from wayfare.llm.tables import hold, prefixed, unused
 
 PIVOTS, LABELS = 64, 64
-#: Vectors a cell aims at; vectors of a block.
-CELL_ROWS, BLOCK_ROWS = 2_000, 2_048
+#: Vectors a cell aims at; vectors of a block, and components it has at most; vectors that are compared at once, and that a cell within a task aims at.
+CELL_ROWS, BLOCK_ROWS, BLOCK_VALUES, AT_ONCE = 100_000, 1 << 18, 1 << 24, 2_048
 ADDED = ["n_links", "component_id", "kept"]
 #: Rounding that the bounds allow for, and the margin in which a cosine is computed anew from the given numbers.
 SLACK, CLOSE = 1e-7, 1e-9
@@ -54,7 +56,22 @@ def home_and_copies(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tupl
     return home, to
 
 
-def _placed(pivots: dict[tuple[str, int], np.ndarray], radius: float):
+def _matrix(narrow: pa.Array, wide: pa.Array) -> np.ndarray:
+    """Vectors of equally many components as rows, of which each is in one of two columns; 32-bit numbers if all are."""
+    if not narrow.null_count:
+        return narrow.flatten().to_numpy().reshape(len(narrow), -1)
+    if not wide.null_count:
+        return wide.flatten().to_numpy().reshape(len(wide), -1)
+    some = wide.is_valid().to_numpy(zero_copy_only=False)
+    first, second = narrow.drop_null().flatten().to_numpy(), wide.drop_null().flatten().to_numpy()
+    out = np.empty((len(wide), len(second) // int(some.sum())))
+    out[~some], out[some] = first.reshape(-1, out.shape[1]), second.reshape(-1, out.shape[1])
+    return out
+
+
+def _placed(pivots: dict[tuple[str, int], np.ndarray], radius: float, columns: list[str]):
+    """``columns`` of the vectors with the cells they are in, and whether it is their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = np.array(batch.column("class").to_pylist(), dtype=object)
@@ -67,13 +84,13 @@ def _placed(pivots: dict[tuple[str, int], np.ndarray], radius: float):
                     owns.append(np.ones(len(at), bool))
                     rows.append(at)
                     continue
-                vectors = np.array(batch.column("vector").take(pa.array(at)).to_pylist(), np.float64)
+                vectors = _matrix(*(batch.column(c).take(pa.array(at)) for c in ("narrow", "wide"))).astype(np.float64)
                 home, to = home_and_copies(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), pivots[key], radius)
                 i, cell = np.nonzero(to)
                 cells.append(cell)
                 owns.append(home[i] == cell)
                 rows.append(at[i])
-            taken = batch.take(pa.array(np.concatenate(rows)))
+            taken = batch.select(columns).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(owns))],
                 names=[*taken.schema.names, "cell", "own"],
@@ -82,28 +99,56 @@ def _placed(pivots: dict[tuple[str, int], np.ndarray], radius: float):
     return run
 
 
-def _block_links(threshold: float):
+def _forest(size: int, edges: list[np.ndarray]) -> np.ndarray:
+    """One edge for each of ``size`` items that is connected with a smaller one: to the smallest."""
+    root = spanning(size, *np.concatenate(edges, axis=1))
+    above = np.flatnonzero(root != np.arange(size))
+    return np.stack([above, root[above]])
+
+
+def _block_links(threshold: float, radius: float):
     """Links between the left and the right rows of a group."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        raw = np.array(group["vector"].tolist(), np.float64)
-        norm = np.linalg.norm(raw, axis=1)
-        unit = raw / norm[:, None]
-        left, right = np.flatnonzero(group["is_left"]), np.flatnonzero(group["is_right"])
-        cosine = unit[left] @ unit[right].T
-        linked = cosine >= threshold
-        for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE)):
-            a, b = left[i], right[j]
-            linked[i, j] = float(np.dot(raw[a], raw[b])) / (norm[a] * norm[b]) >= threshold
-        linked &= left[:, None] != right[None, :]
-        i, j = np.nonzero(linked)
-        count = np.zeros(len(group), np.int64)
-        count[left] = linked @ group["copies"].to_numpy()[right]
-        root = spanning(len(group), left[i], right[j])
-        node = group["node"].to_numpy()
-        met = np.zeros(len(group), bool)
-        met[left[i]] = met[right[j]] = True
-        return pd.DataFrame({"node": node[met], "found": count[met], "root": node[root[met]]})
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, copies, is_left, is_right = (group.column(c).to_numpy() for c in ("node", "copies", "is_left", "is_right"))
+        raw = _matrix(*(group.column(c).combine_chunks() if group.column(c).num_chunks != 1 else group.column(c).chunk(0) for c in ("narrow", "wide")))
+        parts = [slice(k, k + AT_ONCE) for k in range(0, len(raw), AT_ONCE)]
+        norm = np.concatenate([np.linalg.norm(raw[p].astype(np.float64), axis=1) for p in parts])
+
+        def unit(rows: np.ndarray | slice) -> np.ndarray:
+            return raw[rows].astype(np.float64) / norm[rows][:, None]
+
+        pivots = unit(np.unique(np.linspace(0, len(raw) - 1, min(-(-len(raw) // AT_ONCE), PIVOTS)).astype(np.int64)))
+        placed = [home_and_copies(unit(p), pivots, radius) for p in parts]
+        home, to = (np.concatenate(x) for x in zip(*placed))
+        count, edges = np.zeros(len(raw), np.int64), [np.zeros((2, 0), np.int64)]
+        for cell in range(len(pivots)):
+            lefts, rights = np.flatnonzero(is_left & (home == cell)), np.flatnonzero(is_right & to[:, cell])
+            for at in range(0, len(lefts), AT_ONCE):
+                left = lefts[at : at + AT_ONCE]
+                mine = unit(left)
+                for begin in range(0, len(rights), AT_ONCE):
+                    right = rights[begin : begin + AT_ONCE]
+                    cosine = mine @ unit(right).T
+                    linked = cosine >= threshold
+                    for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE)):
+                        a, b = left[i], right[j]
+                        linked[i, j] = float(np.dot(raw[a].astype(np.float64), raw[b].astype(np.float64))) / (norm[a] * norm[b]) >= threshold
+                    linked &= left[:, None] != right[None, :]
+                    i, j = np.nonzero(linked)
+                    if len(i):
+                        count[left] += linked @ copies[right]
+                        # one edge is kept for each vector of a part, to the first that it is connected with
+                        own = np.concatenate([left, right])
+                        edges.append(np.stack([own, own[spanning(len(own), i, len(left) + j)]]))
+                        if sum(e.shape[1] for e in edges) > 4 * len(raw):
+                            edges = [_forest(len(raw), edges)]
+        a, b = _forest(len(raw), edges)
+        root, met = np.arange(len(raw)), np.zeros(len(raw), bool)
+        root[a] = b
+        met[a] = met[b] = True
+        return pa.table({"node": node[met], "found": count[met], "root": node[root[met]]})
 
     return run
 
@@ -137,23 +182,43 @@ def embedding_groups(
     faulty = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = ident.isNotNull() & label.isNotNull() & ~faulty & F.exists(doubles, lambda x: x != 0)
     marked = vectors.withColumns({names["class"]: F.when(usable, label.cast("string")), names["vector"]: F.when(usable, _scaled(doubles)), names["dim"]: F.size(doubles)})
-    # 128 bits stand for a vector from here on: vectors are shuffled once to collapse equal ones, and once to their cells.
+    # 128 bits stand for a vector from here on.
     vector = F.col(names["vector"])
     marked = marked.withColumns({names["h1"]: F.xxhash64(vector), names["h2"]: F.xxhash64(F.lit(ID_SALT), vector)})
     able = marked.where(F.col(names["class"]).isNotNull())
-    same = able.groupBy(*[F.col(names[k]).alias(k) for k in ("class", "dim", "h1", "h2", "vector")])
-    nodes = hold(same.agg(F.min(ident).cast("long").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
+    same = ("class", "dim", "h1", "h2")
+    wide = able.select(*[F.col(names[k]).alias(k) for k in (*same, "vector")], ident.cast("long").alias("node"))
+    narrow = F.col("vector").cast("array<float>")
+    exact = F.forall(F.zip_with("vector", narrow, lambda x, y: x == y.cast("double")), lambda equal: equal)
+    sized = wide.select(*same, "node", F.when(exact, narrow).alias("narrow"), F.when(~exact, F.col("vector")).alias("wide"))
+    # Only vectors that may be there more than once are shuffled to be collapsed.
+    several = hold(wide.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1"), "repeated")
+    seen = maybe_in(sized, F.col("h1"), several, "maybe")
+    single = seen.where("not maybe").select(*same, "narrow", "wide", "node", F.lit(1).cast("long").alias("copies"))
+    repeated = seen.where("maybe").groupBy(*same, "narrow", "wide").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = hold(single.unionByName(repeated), "vectors")
 
     radius = float(np.sqrt(2 - 2 * threshold))
-    placed = hold(nodes.mapInArrow(_placed(_pivots(nodes), radius), StructType([*nodes.schema.fields, StructField("cell", IntegerType()), StructField("own", BooleanType())])), "cells")
-    sizes = placed.groupBy("class", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    cut = placed.join(hold(sizes, "cell-sizes"), ["class", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pivots = _pivots(nodes)
+
+    def placed(*columns: str) -> DataFrame:
+        if not pivots:
+            return nodes.select(*columns, F.lit(0).alias("cell"), F.lit(True).alias("own"))
+        fields = [f for c in columns for f in nodes.schema.fields if f.name == c]
+        return nodes.mapInArrow(_placed(pivots, radius, list(columns)), StructType([*fields, StructField("cell", IntegerType()), StructField("own", BooleanType())]))
+
+    # Vectors go to their cells in one shuffle; how many a cell gets is counted without them.
+    rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.floor(F.lit(BLOCK_VALUES) / F.col("dim")), F.lit(AT_ONCE)))
+    sizes = placed("class", "dim").groupBy("class", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    large = hold(sizes.where("blocks > 1"), "cell-sizes")
+    cut = placed("class", "dim", "node", "copies", "narrow", "wide").join(F.broadcast(large), ["class", "dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     block, others = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
     as_left = F.transform(others, lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(True).alias("is_left"), (j == block).alias("is_right")))
     as_right = F.transform(F.filter(others, lambda i: ~F.col("own") | (i != block)), lambda i: F.struct(i.alias("i"), block.alias("j"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))
     cut = cut.withColumn("pair", F.explode(F.when(F.col("own"), F.concat(as_left, as_right)).otherwise(as_right)))
-    grouped = cut.select("class", "dim", "cell", "pair.*", "node", "copies", "vector").groupBy("class", "dim", "cell", "i", "j")
-    found = hold(grouped.applyInPandas(_block_links(threshold), "node long, found long, root long"), "found")
+    grouped = cut.select("class", "dim", "cell", "pair.*", "node", "copies", "narrow", "wide").groupBy("class", "dim", "cell", "i", "j")
+    found = hold(grouped.applyInArrow(_block_links(threshold, radius), "node long, found long, root long"), "found")
 
     ends = nodes.select("node", F.col("node").alias("value"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), ends)
@@ -178,7 +243,8 @@ def _pivots(nodes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     wanted = {(r["class"], r["dim"]): min(PIVOTS, -(-r["count"] // CELL_ROWS)) for r in large}
     chosen = nodes.where(F.struct("class", "dim").isin([F.struct(F.lit(c), F.lit(d)) for c, d in wanted]))
     order = Window.partitionBy("class", "dim").orderBy(F.xxhash64("node"), "node")
-    rows = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("class", "dim", "place", "vector").collect()
+    rows = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    rows = rows.select("class", "dim", "place", F.coalesce(F.col("narrow").cast("array<double>"), "wide").alias("vector")).collect()
     out: dict[tuple[str, int], list] = {}
     for r in sorted(rows, key=lambda r: r["place"]):
         key = (r["class"], r["dim"])
