@@ -207,3 +207,45 @@ def test_large_tables_make_several_documents(spark, tmp_path, monkeypatch):
     assert sorted((r.id, r.quantity) for r in found) == sorted((k, q) for k, _, _, q in rows)
     documents = [json.loads(f.read_text()) for f in Path(kept["path"]).rglob("*.txt")]
     assert len(documents) == 6 and max(len(d["features"]) for d in documents) < 20
+
+
+def test_documents_go_when_their_round_is_read(spark, tmp_path, monkeypatch):
+    """The text of a whole table never lies on disk at once."""
+    from wayfare.checks import codec_checks
+    from wayfare.checks.registry import QUERIES
+
+    rows = [(k, k % 3, "R", float(k)) for k in range(95)] + [(5, 2, "R", 5.0), (None, 1, "N", 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(codec_checks, "_DOCUMENT_ROWS", 10)
+    monkeypatch.setattr(codec_checks, "_DOCUMENTS_AT_ONCE", 3)
+    paths, read = [], codec_checks.read_features
+
+    def counted(s, path):
+        paths.append((path, len(list(Path(path).rglob("*.txt"))), [p for p, *_ in paths if Path(p).exists()]))
+        return read(s, path)
+
+    monkeypatch.setattr(codec_checks, "read_features", counted)
+    found = QUERIES["x9_geojson_large_file"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.quantity) for r in found) == sorted((k, q) for k, _, _, q in rows if k is not None)
+    assert sum(n for _, n, _ in paths) == 10 and max(n for _, n, _ in paths) <= 3
+    assert not any(left for *_, left in paths) and not any(Path(p).exists() for p, *_ in paths)
+
+
+def test_text_of_documents_is_not_stored_again(spark, tmp_path, monkeypatch):
+    """Of a file in many splits only the features that cross from one to another are written, two parts for a split at most."""
+    features = [{"type": "Feature", "properties": {"k": k, "t": '} {"' * (k % 5)}, "geometry": None} for k in range(400)]
+    (tmp_path / "doc.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    kept = []
+    materialize = json_split.materialize
+    monkeypatch.setattr(json_split, "materialize", lambda df, label: kept.append(t := materialize(df, label)) or t)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        found = json_split.feature_texts(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [json.loads(r.value)["properties"]["k"] for r in sorted(found, key=lambda r: r.feature)] == list(range(400))
+    splits = kept[0].count()
+    assert splits > 5
+    texts = [t for t in kept if "value" in t.columns]
+    assert texts and all(t.count() <= 2 * splits for t in texts)
